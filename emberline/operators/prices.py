@@ -19,10 +19,11 @@ from emberline.sources.tables import parse_date_lenient
 
 def anchors_table(spark: SparkSession, series: str = "commercial") -> DataFrame:
     """The six published price anchors as (series, date, commercial_price_inr)."""
-    raw = spark.createDataFrame(list(fv.PRICE_ANCHORS), "date_str string, commercial_price_inr double")
-    return parse_date_lenient(raw, "date_str").select(
-        F.lit(series).alias("series"), "date", "commercial_price_inr"
+    raw = spark.createDataFrame(
+        [(series, d, p) for d, p in fv.PRICE_ANCHORS],
+        "series string, date_str string, commercial_price_inr double",
     )
+    return parse_date_lenient(raw, "date_str").select("series", "date", "commercial_price_inr")
 
 
 def month_grid(

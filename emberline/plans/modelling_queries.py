@@ -1 +1,153 @@
-MODEL_QUERIES = {}
+"""Queries of the modelling part.  Trees are few here; 400 is the documented setting."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberline.functions.expr import rnd
+from emberline.operators import modelling, planning, reports
+from emberline.plans import views as v
+from emberline.sources.staging import new_path, stage
+
+QUERY_SETTINGS = modelling.TreeSettings(trees=20, rate=0.2)
+NOISY = ("headcount", "duration_hrs", "log_headcount")
+
+
+def trained(spark, d):
+    """(models, predictions on held-out rows), trained once per session and folder."""
+
+    def build():
+        table, params = v.normalised(spark, d)
+        models, held_out = modelling.train_models(
+            table, params["ranges"], params["scaled"], QUERY_SETTINGS
+        )
+        predicted = modelling.predict_all(held_out, models).select(
+            "event_id", "consumption_kg", "cylinders_needed", modelling.LABEL,
+            "kg_gbt", "kg_forest", "cyl_gbt", "cyl_forest", "stockout", "stockout_score",
+        )
+        return models, stage(predicted, "held-out-predictions")
+
+    return v.once(spark, d, "models", build)
+
+
+def _split(spark, d):
+    e = v.event_table(spark, d)
+    return modelling.add_split(e).select("event_id", "is_train")
+
+
+def _train_rows(spark, d):
+    table, _ = v.normalised(spark, d)
+    return modelling.add_split(table).filter("is_train = 1").select(
+        "event_id", modelling.LABEL, *NOISY
+    )
+
+
+def _oversample(spark, d):
+    train = _train_rows(spark, d)
+    extra = modelling.oversample(train, NOISY)
+    return extra.select(
+        "event_id", F.col("copy_no"), modelling.LABEL, *[rnd(c, 4).alias(c) for c in NOISY]
+    )
+
+
+def _append(spark, d):
+    train = _train_rows(spark, d)
+    both = modelling.append_rows(train, modelling.oversample(train, NOISY))
+    return both.groupBy(modelling.LABEL).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("event_id").alias("n_events")
+    )
+
+
+def _regressors(spark, d):
+    models, predicted = trained(spark, d)
+    return modelling.regression_report(predicted, models).filter("model = 'gbt'")
+
+
+def _classifier(spark, d):
+    return modelling.classifier_report(trained(spark, d)[1])
+
+
+def _compare(spark, d):
+    models, predicted = trained(spark, d)
+    return modelling.compare_models(modelling.regression_report(predicted, models))
+
+
+def _importance(spark, d):
+    models, _ = trained(spark, d)
+    return modelling.importance_table(
+        spark, models.fitted["gbt_consumption"], models.features, "consumption"
+    )
+
+
+def _merged(spark, d):
+    return modelling.importances(spark, trained(spark, d)[0])
+
+
+def _sorted(spark, d):
+    return _merged(spark, d).orderBy(F.col("stockout").desc(), "feature")
+
+
+def _top(spark, d):
+    return reports.top_k(_merged(spark, d).select("feature", "stockout"), 10, "stockout", "feature")
+
+
+def _score(spark, d):
+    table, _ = v.normalised(spark, d)
+    return modelling.score_events(table, trained(spark, d)[0])
+
+
+def _predict(spark, d):
+    """Scoring and planning of every event: the predict request for a whole table."""
+    scored = _score(spark, d)
+    events = v.event_table(spark, d).join(scored, "event_id")
+    plans = planning.plan_events(
+        events, ml_kg="ml_consumption_kg",
+        keep=("event_id", "ml_consumption_kg", "ml_stockout_risk_pct"),
+    )
+    return plans.withColumn("action_items", F.array_join("action_items", " | "))
+
+
+def _report(spark, d):
+    models, predicted = trained(spark, d)
+    return modelling.training_report(
+        v.normalised(spark, d)[0], models,
+        modelling.regression_report(predicted, models),
+        modelling.classifier_report(predicted),
+    )
+
+
+def _save_load(spark, d):
+    """Scores of the loaded models against those of the models in memory."""
+    models, _ = trained(spark, d)
+    path = new_path(spark, "models")
+    modelling.save_models(spark, models, path)
+    loaded = modelling.load_models(spark, path, [*modelling.MODEL_NAMES, "not_there"])
+    table, _ = v.normalised(spark, d)
+    a = modelling.score_events(table, models)
+    b = modelling.score_events(table, loaded).toDF("event_id", "kg2", "risk2")
+    same = (F.col("ml_consumption_kg") == F.col("kg2")) & (
+        F.col("ml_stockout_risk_pct") == F.col("risk2")
+    )
+    return a.join(b, "event_id").agg(
+        F.count("*").alias("n_events"),
+        F.count_if(same).alias("n_same"),
+        F.lit(len(loaded.fitted)).alias("n_models"),
+    )
+
+
+MODEL_QUERIES = {
+    "split_m1": _split,
+    "oversample_m4": _oversample,
+    "append_rows_u1": _append,
+    "boosted_regressors_m2": _regressors,
+    "boosted_classifier_m3": _classifier,
+    "compare_models_m5": _compare,
+    "feature_importance_m6": _importance,
+    "merge_importance_j9": _merged,
+    "importance_sorted_l1": _sorted,
+    "importance_top_l2": _top,
+    "batch_scoring_m7": _score,
+    "predict_and_plan_m7": _predict,
+    "training_report_m8": _report,
+    "save_load_models_s5": _save_load,
+}

@@ -1 +1,34 @@
+"""DuckDB text of the modelling queries that do not depend on fitted trees."""
+
+from __future__ import annotations
+
+from emberline.plans.oracle_views import EVD, FEAT, q, r, u
+
 MODEL_SQL: dict[str, str] = {}
+
+_SPLIT = f"case when {u('42split')} < 0.8e0 then 1 else 0 end"
+MODEL_SQL["split_m1"] = q(EVD, f"select event_id, {_SPLIT} is_train from evd")
+
+_NOISY = ["headcount", "duration_hrs", "log_headcount"]
+
+
+def _z(c: str) -> str:
+    a = u(f"42z{c}a", "(event_id||':'||copy_no)")
+    b = u(f"42z{c}b", "(event_id||':'||copy_no)")
+    return f"sqrt(-2e0*ln(1e0-{a}))*cos(2e0*pi()*{b})"
+
+
+_TRAIN = f"""{FEAT},
+ mm as (select {", ".join(f"cast(min({c}) as double) lo_{c}, cast(max({c}) as double) hi_{c}" for c in _NOISY)} from feat),
+ tr as (select event_id, ran_out_of_gas, {", ".join(f"(cast({c} as double)-lo_{c})/(hi_{c}-lo_{c}) {c}" for c in _NOISY)}
+  from feat, mm where {_SPLIT} = 1),
+ cnt as (select greatest(0, count(*) filter (where ran_out_of_gas=0) // 2 - count(*) filter (where ran_out_of_gas=1))
+   / count(*) filter (where ran_out_of_gas=1) ratio from tr),
+ lim as (select {", ".join(f"min({c}) a_{c}, max({c}) b_{c}" for c in _NOISY)} from tr),
+ cp as (select tr.*, cast(floor(ratio) as int) + case when {u("42more")} < ratio - floor(ratio) then 1 else 0 end n
+  from tr, cnt where ran_out_of_gas = 1),
+ aug as (select cp.*, cast(t.k as int) copy_no from cp, unnest(generate_series(1, n)) t(k))"""
+MODEL_SQL["oversample_m4"] = q(_TRAIN, "select event_id, copy_no, ran_out_of_gas, " + ", ".join(
+    r(f"greatest(a_{c}, least(b_{c}, {c}+0.015e0*{_z(c)}))", 4) + f" {c}" for c in _NOISY) + " from aug, lim")
+MODEL_SQL["append_rows_u1"] = q(_TRAIN, """select ran_out_of_gas, count(*) n_rows, count(distinct event_id) n_events
+ from (select event_id, ran_out_of_gas from tr union all select event_id, ran_out_of_gas from aug) group by 1""")

@@ -115,10 +115,10 @@ def accuracy_tier(experience: Column | str) -> Column:
 
 
 def _ranged_draw(tier: Column, ranges: Sequence[tuple[float, float]], u: Column) -> Column:
-    out = F
-    for i, (lo, hi) in enumerate(ranges[:-1]):
-        out = out.when(tier == i, uniform_between(lo, hi, u))
-    return out.otherwise(uniform_between(*ranges[-1], u))
+    """Low end plus width of the tier's range times ``u`` (which appears once)."""
+    low = F.get(F.array(*[F.lit(float(lo)) for lo, _ in ranges]), tier)
+    width = F.get(F.array(*[F.lit(round(float(hi - lo), 10)) for lo, hi in ranges]), tier)
+    return low + width * u
 
 
 def cylinders_ordered(

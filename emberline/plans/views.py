@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emberline import fixed_values as fv
 from emberline.functions.expr import by_month, fixed_sum, flag, hash_uniform, rnd, uniform_between
 from emberline.operators import derive, features, planning, prices, recipes, wastage
-from emberline.sources.staging import stage
+from emberline.sources.staging import spread, stage
 
 AS_OF = "2024-11-01"
 CAPACITY = 200
@@ -86,7 +86,7 @@ def event_requests(spark, sf_dir) -> DataFrame:
         (F.lit(10) + F.floor(F.col("o_totalprice") / 200)).cast("int").alias("headcount"),
         (F.lit(2) + (F.col("o_orderkey") % 81) / F.lit(10.0)).alias("duration_hrs"),
     )
-    joined = base.join(lines, "event_id", "left")
+    joined = spread(base).join(lines, "event_id", "left")
     return joined.select(
         *base.columns,
         F.greatest(F.lit(2), F.coalesce("n_lines", F.lit(0)) + 1).cast("int").alias("num_dishes"),
@@ -113,7 +113,7 @@ def events_view(spark, sf_dir) -> DataFrame:
 
 
 def recipes_view(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
     course = ("Main Course", "Snack", "Dessert", "Breakfast", "Lunch", "Appetizer")
     diet = (
         F.when(F.col("lang") == "en", "Vegetarian")

@@ -9,7 +9,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # call-site capture costs several driver round trips per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# Long row-wise derivations compile to methods above the 8000-bytecode limit
+# under which HotSpot refuses to compile; pass this to drivers and executors.
+JAVA_OPTIONS = "-XX:-DontCompileHugeMethods"
 
 
 def build_session(

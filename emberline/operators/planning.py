@@ -6,24 +6,26 @@ the whole plan is one map stage.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import as_col, fixed_sum, lookup, rnd
-from emberline.sources.staging import stage
+from emberline.operators.joins import dimension_join, skew_safe_join
 
 
-def profile_join(events: DataFrame, profiles: DataFrame, on: str = "caterer_id") -> DataFrame:
+def profile_join(
+    events: DataFrame, profiles: DataFrame, on: str = "caterer_id", hot: Sequence | None = None
+) -> DataFrame:
     """Events with their caterer's profile (inner, n:1).
 
-    An equi join without hints: the optimizer broadcasts a profile table whose
-    size is under its threshold and sort-merges beyond it, where adaptive
-    execution splits the partitions of a caterer with very many events.
+    The profile table grows with the data, so it is never hinted; caterers
+    with a large share of the events (``hot``, found by counting when not
+    given) are salted.
     """
-    return events.join(profiles, on)
+    return skew_safe_join(events, profiles, on, hot)
 
 
 def lead_days(
@@ -284,14 +286,14 @@ def batch_procurement(
 ) -> DataFrame:
     """Allocation per event with its batch's status.
 
-    Batch totals are pre-aggregated and staged; joined back they have one row
-    per batch and a known size.  A batch of any size stays spread over tasks.
+    Batch totals are pre-aggregated to one row per batch and counted before
+    they are joined back, so a batch of any size stays spread over tasks.
     """
-    totals = stage(batch_totals(events, batch, batches, kg, price), "batch-totals")
+    totals = batch_totals(events, batch, batches, kg, price)
     need = F.ceil(F.col(kg) / F.lit(fv.USABLE_KG_PER_CYLINDER)).cast("int")
     ok = F.col("status") == fv.BATCH_OPTIMAL
     minimum = F.greatest(F.lit(1), need)
-    joined = events.join(totals.select(batch, "status"), batch)
+    joined = dimension_join(events, totals.select(batch, "status"), [batch], "inner")
     return joined.select(
         "event_id",
         batch,

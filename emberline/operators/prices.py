@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import rnd
+from emberline.operators.joins import dimension_join
 from emberline.sources.tables import parse_date_lenient
 
 
@@ -148,9 +149,9 @@ def price_lookup(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Events left joined to one monthly series on (year, month).
 
     A month the series does not cover takes fixed values; a covered month
-    keeps its null lags, which are imputed later.  ``prices`` is one row per
-    calendar month, so it is small by nature; whether it is broadcast is left
-    to the optimizer's size check.
+    keeps its null lags, which are imputed later.  ``prices`` has one row per
+    calendar month; it is counted before it is broadcast, because a shuffle on
+    the few (year, month) keys would pile the events up in as many tasks.
     """
     names = {
         "commercial_price_inr": "commercial_price_inr",
@@ -164,7 +165,7 @@ def price_lookup(events: DataFrame, prices: DataFrame) -> DataFrame:
         F.lit(True).alias("_hit"),
         *[F.col(src).alias(f"_{out}") for out, src in names.items()],
     )
-    joined = events.join(side, ["year", "month"], "left")
+    joined = dimension_join(events, side, ["year", "month"])
     priced = joined.withColumns(
         {
             out: F.when(F.col("_hit").isNull(), F.lit(fv.PRICE_MISS[out])).otherwise(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import rnd
-from emberline.sources.staging import stage
+from emberline.operators.joins import dimension_join
 
 
 def request_reasons(ranges: Mapping[str, tuple] = fv.REQUEST_RANGES) -> Column:
@@ -45,10 +45,8 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     merged map side).  Only rows whose hash repeats are then compared in full.
     """
     hashed = df.select(*columns).withColumn("_h", F.xxhash64(*columns))
-    repeated = stage(
-        hashed.groupBy("_h").count().filter("count > 1").select("_h"), "repeated-hashes"
-    )
-    suspects = hashed.join(repeated, "_h", "left_semi")
+    repeated = hashed.groupBy("_h").count().filter("count > 1").select("_h")
+    suspects = dimension_join(hashed, repeated, ["_h"], "left_semi")
     return suspects.groupBy(*columns).agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
 
 

@@ -128,28 +128,28 @@ def menu_lookup(
 ) -> DataFrame:
     """Adds gas intensity, typical dishes and cook time of the event's menu.
 
-    ``rates`` and ``cook_times`` have one row per profile (a vocabulary of
-    seven); without them the fixed values are used.
+    ``rates`` and ``cook_times`` have one row per profile; they are cut to the
+    vocabulary of seven, which bounds what is broadcast.  Without them the
+    fixed values are used.
     """
     fixed_gas = F.coalesce(
         lookup("menu_profile", fv.GAS_PER_SERVING), F.lit(fv.DEFAULT_GAS_PER_SERVING)
     )
     out = events
     gas = fixed_gas
+    known = F.col("menu_profile").isin(*fv.MENU_PROFILES)
     if rates is not None:
-        out = out.join(
-            rates.select("menu_profile", F.col("gas_intensity_per_serving").alias("_gas")),
-            "menu_profile",
-            "left",
+        side = rates.filter(known).select(
+            "menu_profile", F.col("gas_intensity_per_serving").alias("_gas")
         )
+        out = out.join(F.broadcast(side), "menu_profile", "left")
         gas = F.coalesce(F.col("_gas"), F.lit(fv.DEFAULT_GAS_PER_SERVING))
     cook = F.lit(fv.DEFAULT_COOK_MINUTES)
     if cook_times is not None:
-        out = out.join(
-            cook_times.select("menu_profile", F.col("avg_cook_time_mins").alias("_cook")),
-            "menu_profile",
-            "left",
+        side = cook_times.filter(known).select(
+            "menu_profile", F.col("avg_cook_time_mins").alias("_cook")
         )
+        out = out.join(F.broadcast(side), "menu_profile", "left")
         cook = F.coalesce(F.col("_cook"), F.lit(fv.DEFAULT_COOK_MINUTES))
     return out.withColumns(
         {

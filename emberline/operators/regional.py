@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import as_col, count_if, fixed_sum, flag, rnd
+from emberline.operators.joins import dimension_join
 from emberline.operators.ordered import ordered_position
 from emberline.sources.staging import stage
 
@@ -106,8 +107,8 @@ def shift_rank(
     plans: DataFrame, as_of: str, capacity: Column | int, days: int = 30, keys=("dealer",)
 ) -> DataFrame:
     """Plans of spike days ranked by risk, then id; the first half are candidates."""
-    spikes = stage(spike_days(plans, as_of, capacity, days, keys), "spike-days")
-    on_spike = plans.join(spikes, [*keys, DAY], "left_semi")
+    spikes = spike_days(plans, as_of, capacity, days, keys)
+    on_spike = dimension_join(plans, spikes, [*keys, DAY], "left_semi")
     risk_tenths = F.floor(F.col("stockout_risk_pct") * F.lit(10.0) + F.lit(0.5)).cast("int")
     ranked = ordered_position(on_spike, [*keys, DAY], risk_tenths, "event_id")
     return ranked.withColumns(

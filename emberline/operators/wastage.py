@@ -48,11 +48,14 @@ def mean_rate_by_type(processed: DataFrame) -> DataFrame:
 def rate_lookup(events: DataFrame, observed: DataFrame) -> DataFrame:
     """Adds ``wastage_rate``: observed mean, else benchmark, else the default.
 
-    ``observed`` holds one row per event type (a vocabulary of eight).
+    ``observed`` holds one row per event type; it is cut to the vocabulary of
+    eight types, which bounds what is broadcast.
     """
-    rates = observed.select("event_type", F.col("mean_wastage_rate").alias("_observed"))
+    rates = observed.filter(F.col("event_type").isin(*fv.EVENT_TYPES)).select(
+        "event_type", F.col("mean_wastage_rate").alias("_observed")
+    )
     return (
-        events.join(rates, "event_type", "left")
+        events.join(F.broadcast(rates), "event_type", "left")
         .withColumn(
             "wastage_rate",
             F.coalesce(

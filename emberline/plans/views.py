@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
-from emberline.functions.expr import by_month, fixed_sum, flag, hash_uniform, rnd, uniform_between
-from emberline.operators import derive, features, planning, prices, recipes, wastage
+from emberline.functions.expr import by_month, flag, hash_uniform, rnd, uniform_between
+from emberline.operators import derive, features, joins, planning, prices, recipes, wastage
 from emberline.sources.staging import spread, stage
 
 AS_OF = "2024-11-01"
@@ -93,9 +93,18 @@ def event_requests(spark, sf_dir) -> DataFrame:
     )
 
 
+def hot_caterers(spark, sf_dir) -> list:
+    """Counted on the order table alone: one column is read."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("caterer_id"))
+    return once(spark, sf_dir, "hot-caterers", lambda: joins.hot_keys(keys, "caterer_id"))
+
+
 def events_view(spark, sf_dir) -> DataFrame:
     """Events with their caterer's profile, the input of the planner."""
-    ev = planning.profile_join(event_requests(spark, sf_dir), caterer_profiles(spark, sf_dir))
+    ev = planning.profile_join(
+        event_requests(spark, sf_dir), caterer_profiles(spark, sf_dir),
+        hot=hot_caterers(spark, sf_dir),
+    )
     month = F.month("event_date")
     return ev.withColumns(
         {
@@ -132,8 +141,13 @@ def recipes_view(spark, sf_dir) -> DataFrame:
 
 
 def wastage_view(spark, sf_dir) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    l = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate"
+    )
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"
+    )
+    hot = once(spark, sf_dir, "hot-orders", lambda: joins.hot_keys(l, "l_orderkey"))
     kinds = {
         "1-URGENT": "Wedding", "2-HIGH": "Corporate", "3-MEDIUM": "Birthday",
         "4-NOT SPECIFIED": "Social Gathering",
@@ -143,7 +157,7 @@ def wastage_view(spark, sf_dir) -> DataFrame:
         kind = kind.when(F.col("o_orderpriority") == k, v)
     prep = F.col("l_linenumber") % 4
     month = F.month("l_shipdate")
-    return l.join(o, l.l_orderkey == o.o_orderkey).select(
+    return joins.skew_safe_join(l, o, "l_orderkey", hot).select(
         "l_orderkey",
         "l_linenumber",
         kind.alias("event_type_raw"),
@@ -161,12 +175,15 @@ def price_anchor_view(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter(F.month("o_orderdate") == 4)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # sums per customer first: the join sees one row per (customer, year)
+    per_customer = o.groupBy("o_custkey", F.year("o_orderdate").alias("yr")).agg(
+        F.sum(F.floor(F.col("o_totalprice") * 100 + F.lit(0.5))).alias("cents"),
+        F.count("*").alias("n"),
+    )
     yearly = (
-        o.join(c, o.o_custkey == c.c_custkey)
-        .groupBy("c_nationkey", F.year("o_orderdate").alias("yr"))
-        .agg(
-            rnd(fixed_sum("o_totalprice", 2) / F.count("*"), 2).alias("commercial_price_inr")
-        )
+        per_customer.join(c, per_customer.o_custkey == c.c_custkey)
+        .groupBy("c_nationkey", "yr")
+        .agg(rnd(F.sum("cents") / F.lit(100.0) / F.sum("n"), 2).alias("commercial_price_inr"))
     )
     return yearly.join(n, yearly.c_nationkey == n.n_nationkey).select(
         F.col("n_name").alias("series"),

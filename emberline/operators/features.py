@@ -184,6 +184,14 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {r["column_name"]: r["median"] for r in median_table(df, columns).collect()}
 
 
+def columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns that hold a null, from one aggregate of counts."""
+    row = df.agg(
+        F.count("*").alias("n"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]
+    ).first()
+    return [c for i, c in enumerate(columns) if row[f"n_{i}"] < row["n"]]
+
+
 def impute(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
     return df.withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()}
@@ -271,7 +279,8 @@ def normalise(
     cols = [c for c in numeric if c not in ("event_id", "caterer_id", "shock_factor", "typical_dishes")]
     enc = enc.select("event_id", *cols)
     scaled = scaled_columns(enc)
-    medians = fit_medians(enc, [*scaled, *fv.TARGETS])
+    # a median changes nothing where no value is missing, so only gaps are fitted
+    medians = fit_medians(enc, columns_with_nulls(enc, [*scaled, *fv.TARGETS]))
     filled = impute(enc, medians)
     ranges = fit_ranges(filled, [*scaled, *fv.TARGETS])
     return scale(filled, ranges), {

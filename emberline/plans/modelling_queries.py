@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberline import fixed_values as fv
 from emberline.functions.expr import rnd
-from emberline.operators import modelling, planning, reports
+from emberline.operators import modelling, planning, quality, reports
 from emberline.plans import views as v
 from emberline.sources.staging import new_path, stage
 
 QUERY_SETTINGS = modelling.TreeSettings(trees=20, rate=0.2)
+ASSOCIATED = (
+    "headcount", "num_dishes", "duration_hrs", "num_burners", "experience_yrs", "event_scale",
+    "dish_load", "kg_per_guest", "novice_peak_season", "season_intensity",
+)
 NOISY = ("headcount", "duration_hrs", "log_headcount")
 
 
@@ -87,6 +92,25 @@ def _sorted(spark, d):
     return _merged(spark, d).orderBy(F.col("stockout").desc(), "feature")
 
 
+def _association(spark, d):
+    """Two importance tables that need no model: absolute correlations."""
+    f = v.feature_table(spark, d)
+    kg, stk = (
+        quality.correlations(f, cols, target).select(
+            "feature", F.abs(F.coalesce("correlation", F.lit(0.0))).alias(name)
+        )
+        for cols, target, name in (
+            (ASSOCIATED, "consumption_kg", "consumption"),
+            ([c for c in ASSOCIATED if c not in fv.LABEL_INPUTS], modelling.LABEL, "stockout"),
+        )
+    )
+    return modelling.merge_importance(kg, stk)
+
+
+def _association_top(spark, d):
+    return reports.top_k(_association(spark, d), 10, "stockout", "feature")
+
+
 def _top(spark, d):
     return reports.top_k(_merged(spark, d).select("feature", "stockout"), 10, "stockout", "feature")
 
@@ -146,6 +170,8 @@ MODEL_QUERIES = {
     "merge_importance_j9": _merged,
     "importance_sorted_l1": _sorted,
     "importance_top_l2": _top,
+    "merge_association_j9": _association,
+    "association_top_l1": _association_top,
     "batch_scoring_m7": _score,
     "predict_and_plan_m7": _predict,
     "training_report_m8": _report,

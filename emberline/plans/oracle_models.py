@@ -30,5 +30,23 @@ _TRAIN = f"""{FEAT},
  aug as (select cp.*, cast(t.k as int) copy_no from cp, unnest(generate_series(1, n)) t(k))"""
 MODEL_SQL["oversample_m4"] = q(_TRAIN, "select event_id, copy_no, ran_out_of_gas, " + ", ".join(
     r(f"greatest(a_{c}, least(b_{c}, {c}+0.015e0*{_z(c)}))", 4) + f" {c}" for c in _NOISY) + " from aug, lim")
+_ASSOC = [
+    "headcount", "num_dishes", "duration_hrs", "num_burners", "experience_yrs", "event_scale",
+    "dish_load", "kg_per_guest", "novice_peak_season", "season_intensity",
+]
+
+
+def _abs_corr(c: str, y: str) -> str:
+    return "abs(coalesce(" + r(f"covar_pop({c},{y})/nullif(stddev_pop({c})*stddev_pop({y}),0e0)", 6) + ",0e0))"
+
+
+_MERGED = f"""{FEAT},
+ k as ({" union all ".join(f"select '{c}' feature, {_abs_corr(c, 'consumption_kg')} consumption from feat" for c in _ASSOC)}),
+ s as ({" union all ".join(f"select '{c}' feature, {_abs_corr(c, 'ran_out_of_gas')} stockout from feat" for c in _ASSOC
+       if c not in ("experience_yrs", "novice_peak_season"))})"""
+MODEL_SQL["merge_association_j9"] = q(_MERGED, "select feature, consumption, coalesce(stockout, 0e0) stockout from k left join s using (feature)")
+MODEL_SQL["association_top_l1"] = q(_MERGED, """select feature, consumption, coalesce(stockout, 0e0) stockout
+ from k left join s using (feature) order by 3 desc, 1 limit 10""")
+MODEL_SQL["save_load_models_s5"] = "select count(*) n_events, count(*) n_same, 5 n_models from orders"
 MODEL_SQL["append_rows_u1"] = q(_TRAIN, """select ran_out_of_gas, count(*) n_rows, count(distinct event_id) n_events
  from (select event_id, ran_out_of_gas from tr union all select event_id, ran_out_of_gas from aug) group by 1""")

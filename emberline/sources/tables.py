@@ -188,7 +188,10 @@ def fill_request_defaults(df: DataFrame) -> DataFrame:
 def ingest_requests(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """Batch documents (one JSON text per row) to one row per event request."""
     parsed = df.select(*keep, F.from_json(json_col, BATCH_SCHEMA).alias("b"))
-    rows = parsed.select(
-        *keep, "b.budget_inr", F.posexplode("b.events").alias("position", "r")
-    )
+    return explode_requests(parsed.select(*keep, "b.*"), keep)
+
+
+def explode_requests(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Parsed batch documents (``events``, ``budget_inr``) to one row per request."""
+    rows = df.select(*keep, "budget_inr", F.posexplode("events").alias("position", "r"))
     return fill_request_defaults(rows.select(*keep, "budget_inr", "position", "r.*"))

@@ -34,37 +34,40 @@ def _as_of(as_of: str) -> Column:
 def daily_orders(plans: DataFrame, as_of: str, days: int = 30, keys=("dealer",)) -> DataFrame:
     """Cylinders per dealer and order day inside the window.
 
-    Orders outside the window count towards no day; their dealer keeps one row
-    with a null day, so that it still gets a curve.
+    The date range is a plain filter, so it reaches the scan of a plan table.
     """
     start = _as_of(as_of)
-    inside = (F.col(DAY) >= start) & (F.col(DAY) < F.date_add(start, days))
     return (
-        plans.withColumn("date", F.when(inside, F.col(DAY)))
-        .groupBy(*keys, "date")
+        plans.filter((F.col(DAY) >= start) & (F.col(DAY) < F.date_add(start, days)))
+        .groupBy(*keys, F.col(DAY).alias("date"))
         .agg(F.sum("cylinders_to_order").alias("cylinders"))
     )
 
 
 def demand_curve(plans: DataFrame, as_of: str, days: int = 30, keys=("dealer",)) -> DataFrame:
-    """Raw demand for every dealer and every day of the window (0 where none)."""
+    """Raw demand for every dealer and every day of the window (0 where none).
+
+    One scan: sums per dealer and day, then at most ``days`` day sums per
+    dealer as a map, from which the date grid is filled.  A dealer whose
+    orders all fall outside the window still gets a curve.
+    """
     start = _as_of(as_of)
-    daily = daily_orders(plans, as_of, days, keys)
-    grid = (
-        daily.select(*keys)
-        .distinct()
-        .withColumn(
-            "date", F.explode(F.sequence(start, F.date_add(start, days - 1)))
-        )
+    inside = (F.col(DAY) >= start) & (F.col(DAY) < F.date_add(start, days))
+    daily = (
+        plans.withColumn("date", F.when(inside, F.col(DAY)))
+        .groupBy(*keys, "date")
+        .agg(F.sum("cylinders_to_order").alias("cylinders"))
     )
-    return (
-        grid.join(daily.filter(F.col("date").isNotNull()), [*keys, "date"], "left")
-        .select(
-            *keys,
-            "date",
-            F.coalesce("cylinders", F.lit(0)).cast("long").alias("raw_demand"),
-            (F.weekday("date") >= 5).alias("is_weekend"),
-        )
+    day_sum = F.when(F.col("date").isNotNull(), F.struct("date", "cylinders"))
+    per_dealer = daily.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(day_sum)).alias("_by_day")
+    )
+    grid = F.sequence(start, F.date_add(start, days - 1))
+    return per_dealer.withColumn("date", F.explode(grid)).select(
+        *keys,
+        "date",
+        F.coalesce(F.try_element_at("_by_day", F.col("date")), F.lit(0)).cast("long").alias("raw_demand"),
+        (F.weekday("date") >= 5).alias("is_weekend"),
     )
 
 
@@ -98,7 +101,7 @@ def spike_days(
     plans: DataFrame, as_of: str, capacity: Column | int, days: int = 30, keys=("dealer",)
 ) -> DataFrame:
     """Dealer-days above 80 % of the capacity: at most dealers x days rows."""
-    daily = daily_orders(plans, as_of, days, keys).filter(F.col("date").isNotNull())
+    daily = daily_orders(plans, as_of, days, keys)
     flagged = daily.withColumns(capacity_columns("cylinders", capacity))
     return flagged.filter("spike_flag").select(*keys, F.col("date").alias(DAY))
 
@@ -176,11 +179,7 @@ def smoothed_curve(
 ) -> DataFrame:
     """Curve before and after shifting; the reduction is negative on receiving days."""
     raw = demand_curve_full(plans, as_of, capacity, days, keys)
-    after = (
-        daily_orders(shifted, as_of, days, keys)
-        .filter(F.col("date").isNotNull())
-        .withColumnRenamed("cylinders", "_after")
-    )
+    after = daily_orders(shifted, as_of, days, keys).withColumnRenamed("cylinders", "_after")
     base = F.when(F.col("raw_demand") == 0, F.lit(1)).otherwise(F.col("raw_demand"))
     return (
         raw.join(after, [*keys, "date"], "left")

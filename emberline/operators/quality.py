@@ -65,8 +65,8 @@ def dataset_checks(
     base = df.agg(
         F.count("*").alias("n_rows"),
         nulls.alias("n_nulls"),
-        F.least(*[F.min(c) for c in scaled]).alias("min_scaled"),
-        F.greatest(*[F.max(c) for c in scaled]).alias("max_scaled"),
+        F.array_min(F.array(*[F.min(c) for c in scaled])).alias("min_scaled"),
+        F.array_max(F.array(*[F.max(c) for c in scaled])).alias("max_scaled"),
     ).withColumn("n_duplicates", dup.scalar())
     return base.withColumn(
         "passed",

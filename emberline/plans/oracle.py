@@ -22,6 +22,9 @@ SQL["column_ranges_s4"] = q(EVX, " union all ".join(
     f"select '{c}' column_name, count({c}) n_values, cast(min({c}) as double) min_value, "
     f"cast(max({c}) as double) max_value from evx"
     for c in [*TARGETS, "price_lag1_inr", "price_lag2_inr", "headcount"]))
+SQL["write_metadata_s4"] = q(FEAT, " union all ".join(
+    f"select '{p}' part, '{c}' column_name, cast(min({c}) as double) min_value, cast(max({c}) as double) max_value from feat"
+    for p, cols in (("features", SCALED), ("targets", TARGETS)) for c in cols))
 SQL["ingest_requests_s6"] = q(EV, """
 select event_id, case when event_id % 2 = 0 then 50000e0 end budget_inr, 0 "position", 'CAT'||caterer_id caterer_id,
  'Murugan Catering' caterer_name, case when event_id % 3 <> 0 then experience_yrs else 8 end experience_yrs, 8 num_burners,

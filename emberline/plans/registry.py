@@ -38,11 +38,12 @@ def query(name: str):
 def _(spark, d):
     padded = {n: f" {h} " for h, n in fv.PRICE_SOURCE_HEADERS.items()}
     path = new_path(spark, "anchors-csv")
-    v.price_anchor_view(spark, d).select(
+    anchors = v.price_anchor_view(spark, d).select(
         F.date_format("date", "dd-MMM-yy").alias(padded["date_str"]),
         rnd(F.col("commercial_price_inr") / 2, 2).alias(padded["domestic_price_inr"]),
         F.col("commercial_price_inr").alias(padded["commercial_price_inr"]),
-    ).write.option("header", True).csv(path)
+    )
+    tables.write_stage(anchors, path, "csv")
     return tables.read_table_csv(spark, path, tables.PRICE_SCHEMA, fv.PRICE_SOURCE_HEADERS)
 
 
@@ -74,6 +75,18 @@ def _(spark, d):
     )
 
 
+@query("write_metadata_s4")
+def _(spark, d):
+    f = v.model_inputs(v.feature_table(spark, d))
+    doc = tables.dataset_metadata(
+        f, features.scaled_columns(f), fv.TARGETS,
+        {c: {w: i for i, w in enumerate(ws)} for c, ws in features.fit_label_classes(f).items()},
+        {"wastage": fv.BENCHMARK_WASTAGE_RATE, "gas": fv.GAS_PER_SERVING},
+    )
+    path = tables.write_metadata(doc, new_path(spark, "metadata"))
+    return tables.metadata_ranges(tables.read_metadata(spark, path))
+
+
 @query("ingest_requests_s6")
 def _(spark, d):
     ev = v.events_view(spark, d)

@@ -154,6 +154,43 @@ def dataset_metadata(
     )
 
 
+METADATA_SCHEMA = (
+    "total_rows long, total_columns int, "
+    "features struct<columns: array<string>, min: array<double>, max: array<double>>, "
+    "targets struct<columns: array<string>, min: array<double>, max: array<double>>, "
+    "label_maps string, rates string"
+)
+
+
+def write_metadata(metadata: DataFrame, path: str) -> str:
+    """The one-row metadata table as a JSON text file."""
+    metadata.select(F.col("metadata_json").alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata document back as columns."""
+    return spark.read.text(path).select(F.from_json("value", METADATA_SCHEMA).alias("m")).select("m.*")
+
+
+def metadata_ranges(metadata: DataFrame) -> DataFrame:
+    """(part, column_name, min_value, max_value) rows of a metadata document."""
+    parts = [
+        metadata.select(
+            F.lit(part).alias("part"),
+            F.explode(
+                F.arrays_zip(
+                    F.col(f"{part}.columns").alias("column_name"),
+                    F.col(f"{part}.min").alias("min_value"),
+                    F.col(f"{part}.max").alias("max_value"),
+                )
+            ).alias("z"),
+        ).select("part", "z.*")
+        for part in ("features", "targets")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 REQUEST_SCHEMA = T.StructType(
     [
         T.StructField("caterer_id", T.StringType()),

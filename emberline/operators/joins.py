@@ -56,20 +56,39 @@ def skew_safe_join(
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    mark = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    return df.join(mark, list(keys), "left")
+
+
 def dimension_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS,
+    max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS, share: float = 0.001,
+    least: float = 10_000.0,
 ) -> DataFrame:
-    """Join to a pre-aggregated or small table after counting it.
+    """Join to a pre-aggregated table (one row per key) after counting it.
 
     ``small`` is staged and counted.  Up to ``max_rows`` rows it is broadcast,
-    so the rows of ``big`` do not move; beyond that every row of ``small`` is
-    repeated per salt and the join shuffles on (keys, salt), which splits any
-    hot key.
+    so the rows of ``big`` do not move.  Beyond that the join shuffles, and the
+    keys that hold more than ``share`` of the rows of ``big`` (fewer than
+    1/share, so their table may be broadcast) are salted on both sides.
     """
     side = stage(small, "dimension")
     if side.count() <= max_rows:
         return big.join(F.broadcast(side), list(keys), how)
-    left = big.withColumn("_salt", _salt(salts))
-    right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    counts = big.groupBy(*keys).count()
+    floor = max(least, big.select(F.count("*").alias("n")).first()["n"] * share)
+    hot = stage(counts.filter(F.col("count") > floor).select(*keys), "hot-keys")
+    left = _mark_hot(big, hot, keys).withColumn(
+        "_salt", F.when(F.col("_hot"), _salt(salts)).otherwise(F.lit(0))
+    )
+    right = _mark_hot(side, hot, keys).withColumn(
+        "_salt",
+        F.explode(
+            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+                F.array(F.lit(0))
+            )
+        ),
+    )
+    joined = left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how)
+    return joined.drop("_salt")

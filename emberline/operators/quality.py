@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import rnd
-from emberline.operators.joins import dimension_join
+from emberline.operators.joins import MAX_BROADCAST_ROWS
+from emberline.sources.staging import stage
 
 
 def request_reasons(ranges: Mapping[str, tuple] = fv.REQUEST_RANGES) -> Column:
@@ -42,11 +43,16 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Groups of equal rows with their count.
 
     First pass: counts per 64-bit row hash (8 bytes per row shuffled, copies
-    merged map side).  Only rows whose hash repeats are then compared in full.
+    merged map side).  When few hashes repeat, only their rows are compared in
+    full.  When very many do, most rows are suspects and all are grouped; a
+    row with many copies is merged map side.
     """
     hashed = df.select(*columns).withColumn("_h", F.xxhash64(*columns))
-    repeated = hashed.groupBy("_h").count().filter("count > 1").select("_h")
-    suspects = dimension_join(hashed, repeated, ["_h"], "left_semi")
+    repeated = stage(
+        hashed.groupBy("_h").count().filter("count > 1").select("_h"), "repeated-hashes"
+    )
+    few = repeated.count() <= MAX_BROADCAST_ROWS
+    suspects = hashed.join(F.broadcast(repeated), "_h", "left_semi") if few else hashed
     return suspects.groupBy(*columns).agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
 
 
@@ -78,20 +84,22 @@ def dataset_checks(
 
 
 def correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Pearson correlation of each feature with the target, one aggregate pass.
+    """Pearson correlation of each feature with the target.
 
-    A constant column has no correlation (null).
+    Rows are unpivoted to (feature, x, y) and combined map side, so one row
+    per feature and task is shuffled; the short aggregate compiles to native
+    code where one aggregate with a buffer per feature is too long to.  A
+    constant column has no correlation (null).
     """
-    y = F.col(target).cast("double")
-    rows = []
-    for c in features:
-        x = F.col(c).cast("double")
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        rows.append(
-            F.struct(F.lit(c).alias("feature"), rnd(r, 6).alias("correlation"))
-        )
-    wide = df.agg(F.array(*rows).alias("a"))
-    return wide.select(F.explode("a").alias("s")).select("s.*")
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+            for c in features
+        ]
+    )
+    long = df.select(F.col(target).cast("double").alias("y"), F.explode(pairs).alias("s"))
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return long.select("y", "s.*").groupBy("feature").agg(rnd(r, 6).alias("correlation"))
 
 
 def leakage_audit(

@@ -37,7 +37,10 @@ def staged(spark, sf_dir, name, build: Callable[[], DataFrame]) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of a source table; its schema is read from the footer once."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = once(spark, sf_dir, f"schema of {name}", lambda: spark.read.parquet(path).schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 # ---- events --------------------------------------------------------------

@@ -229,6 +229,12 @@ def ingest_requests(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> D
 
 
 def explode_requests(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Parsed batch documents (``events``, ``budget_inr``) to one row per request."""
-    rows = df.select(*keep, "budget_inr", F.posexplode("events").alias("position", "r"))
+    """Parsed batch documents (``events``, ``budget_inr``) to one row per request.
+
+    The outer form keeps the optimizer from adding size and null tests on the
+    array, each of which would parse the document once more.
+    """
+    rows = df.select(
+        *keep, "budget_inr", F.posexplode_outer("events").alias("position", "r")
+    ).filter(F.col("position").isNotNull())
     return fill_request_defaults(rows.select(*keep, "budget_inr", "position", "r.*"))

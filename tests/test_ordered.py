@@ -97,12 +97,12 @@ def test_regression_metrics(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_dimension_join_both_ways(spark, how, limit):
+@pytest.mark.parametrize("limit,least", [(0, 20.0), (0, 10_000.0), (1000, 0.0)])
+def test_dimension_join_both_ways(spark, how, limit, least):
     big = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k")).repartition(5)
     small = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     want = sorted(map(tuple, big.join(small, "k", how).collect()))
-    got = joins.dimension_join(big, small, ["k"], how, max_rows=limit, salts=4)
+    got = joins.dimension_join(big, small, ["k"], how, max_rows=limit, salts=4, least=least)
     assert sorted(map(tuple, got.select(*big.join(small, "k", how).columns).collect())) == want
 
 

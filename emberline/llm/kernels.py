@@ -37,7 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-_BYTE[IS_SPACE] = 0
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -77,13 +76,18 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and per row the number of the first one (rows + 1)."""
+def words(
+    data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and per row the number of the first one (rows + 1).
+
+    ``gap`` marks the bytes that stand between words.
+    """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     low = LOWER[data]
-    space = IS_SPACE[low]
+    space = gap[low]
     start = ~space
     start[1:] &= space[:-1]
     edges = offsets[:-1][offsets[:-1] < n]
@@ -94,6 +98,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), first
     up, down = powers(n)
     value = _BYTE[low]
+    value[space] = 0
     value *= up
     return mix(np.add.reduceat(value, at) * down[at] + GOLDEN), first
 
@@ -134,3 +139,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """The row of each element."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the values (rows of a matrix, too) between neighbouring offsets; 0 if none."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[full], axis=0)
+    return out

@@ -32,7 +32,7 @@ TIERS = (2048, 1024, 512, 256)
 GROUP_TOKENS = 1 << 21
 STEP_SEQUENCES = 64
 END_ID = 1
-CACHE_WORDS = 600_000  # units kept by a worker; beyond that the memory starts anew
+CACHE_WORDS = 800_000  # units kept by a worker; beyond that the memory starts anew
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -45,6 +45,19 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 NEWLINE_ID = 198  # of the line break alone, in this vocabulary
 
 
+class _Numbers(dict):
+    """Numbers units as they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class PieceTokenizer:
     """Token ids of texts, each distinct unit encoded once.
 
@@ -66,53 +79,60 @@ class PieceTokenizer:
             path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self.split = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.blank = re.compile(f"[{SPACE}]+").fullmatch
+        self.spaces = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids = np.zeros(1 << 16, np.uint16)
-        self.at = np.zeros(1 << 16, np.int64)  # of each known unit; its end is the next one's start
+        self.lo = np.zeros(1 << 16, np.int64)  # where the ids of each known unit start
+        self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, units: list[str]) -> None:
-        blank = [u for u in units if self.blank(u)]
-        units = [u for u in units if not self.blank(u)]
+    def _learn(self) -> None:
+        """Encode the units numbered since the last call."""
+        units, self.known.new = self.known.new, []
+        blank = np.array([u[-1] in self.spaces for u in units], bool)
         # a line break before each unit is always a pre-token of its own
-        joined = np.array(self.coder("".join(["\n" + u for u in units])), np.uint16)
+        words = [u for u in units if u[-1] not in self.spaces] if blank.any() else units
+        joined = np.array(self.coder("\n" + "\n".join(words) if words else ""), np.uint16)
         breaks = np.flatnonzero(joined == NEWLINE_ID)
-        sizes = np.diff(np.append(breaks, len(joined))) - 1
-        alone = [self.coder(u) for u in blank]
-        flat = np.concatenate([joined[joined != NEWLINE_ID], *[np.array(x, np.uint16) for x in alone]])
-        sizes = np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
-        units += blank
-        first, end = len(self.known), self.used + len(flat)
+        alone = [self.coder(u) for u in units if u[-1] in self.spaces] if blank.any() else []
+        flat = np.concatenate([joined, *[np.array(x, np.uint16) for x in alone]])
+        size = np.zeros(len(units), np.int64)
+        lo = np.zeros(len(units), np.int64)
+        size[~blank] = np.diff(np.append(breaks, len(joined))) - 1
+        lo[~blank] = breaks + 1
+        size[blank] = [len(x) for x in alone]
+        lo[blank] = len(joined) + np.cumsum(size[blank]) - size[blank]
+        n, end = len(self.known), self.used + len(flat)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(units) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while n > len(self.lo):
+            self.lo = np.concatenate([self.lo, np.zeros_like(self.lo)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         self.ids[self.used : end] = flat
-        self.at[first + 1 : first + 1 + len(units)] = self.used + np.cumsum(sizes)
+        self.lo[n - len(units) : n] = self.used + lo
+        self.size[n - len(units) : n] = size
         self.used = end
-        self.known.update(zip(units, range(first, first + len(units))))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > CACHE_WORDS:
+            self._clear()
+        number = self.known.__getitem__
+        codes = [np.array(list(map(number, self.split(t))), np.int64) for t in texts]
+        if self.known.new:
+            self._learn()
+        out = []
+        for code in codes:
+            size = self.size[code]
+            end = np.cumsum(size)
+            total = int(end[-1]) if len(end) else 0
+            out.append(self.ids[np.arange(total) + np.repeat(self.lo[code] - end + size, size)])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        units = self.split(text)
-        get = self.known.get
-        codes = list(map(get, units))
-        if None in codes:
-            if len(self.known) > CACHE_WORDS:
-                self._clear()
-                get = self.known.get
-            self._learn(list(dict.fromkeys(u for u in units if u not in self.known)))
-            codes = list(map(get, units))
-        if not codes:
-            return np.zeros(0, np.uint16)
-        code = np.array(codes)
-        lo = self.at[code]
-        size = self.at[code + 1] - lo
-        end = np.cumsum(size)
-        return self.ids[np.arange(end[-1]) + np.repeat(lo - end + size, size)]
+        return self.encode_all([text])[0]
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
@@ -197,7 +217,7 @@ def _pack_batches(path: str, end_id: int, group_tokens: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
-        encode = tokenizer(path).encode
+        encode = tokenizer(path).encode_all
         ids: list[object] = []
         tokens: list[np.ndarray] = []
         held = 0
@@ -225,10 +245,11 @@ def _pack_batches(path: str, end_id: int, group_tokens: int, step: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    t = np.append(encode(text or ""), np.uint16(end_id))
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                texts = encode([t or "" for t in part.column(1).to_pylist()])
+                for d, t in zip(part.column(0).to_pylist(), texts):
+                    t = np.append(t, np.uint16(end_id))
                     if held and held + len(t) > group_tokens:
                         yield flush()
                     ids.append(d)

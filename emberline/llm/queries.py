@@ -39,6 +39,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.quality import classify
 
@@ -52,6 +58,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.lm_scoring import score
+
+    scored = score(table(spark, sf_dir, "documents"), fold(5) != 1)
+    return scored.select(
+        "doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.language_id import identify
 
@@ -65,4 +86,16 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op4_quality, op5_exact_dedup, op8_language_id, op9_near_dedup)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_packing, op3_neighbours, op4_quality, op5_exact_dedup, op6_lm_scoring,
+        op7_suffix_dedup, op8_language_id, op9_near_dedup, op10_url_filter,
+    )
+}

@@ -37,18 +37,19 @@ def topic_of(text: Column) -> Column:
 
 
 def tagged(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
-    """Adds _source, _lang, _topic, _tokens and the uniform draw _u of each row."""
+    """_row (all columns), _source, _lang, _topic, _tokens and the uniform draw _u of each row."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.md5(text)))), 1, 8), 16, 10)
-    return docs.withColumns(
-        {
+    return docs.select(F.struct("*").alias("_row"), *[
+        c.alias(k)
+        for k, c in {
             "_source": F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NONE)),
             "_lang": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NONE)),
             "_topic": F.coalesce(topic_of(text) if topic is None else topic.cast("string"), F.lit(NONE)),
             "_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
             "_u": draw.cast("double") / F.lit(4294967296.0),
-        }
-    )
+        }.items()
+    ])
 
 
 def _target(cells: DataFrame, margin: str, power: float, given: Mapping[str, float] | None) -> DataFrame:
@@ -61,8 +62,8 @@ def _target(cells: DataFrame, margin: str, power: float, given: Mapping[str, flo
         for k, v in given.items():
             raw = F.when(F.col(margin) == k, F.lit(float(v))).otherwise(raw)
     sums = sums.select(margin, raw.alias("_r"))
-    total = sums.agg(F.sum("_r").alias("_all"))
-    return sums.crossJoin(F.broadcast(total)).select(margin, (F.col("_r") / F.col("_all")).alias("target"))  # one row
+    total = sums.agg(F.sum("_r").alias("all")).first()["all"] or 0.0
+    return sums.select(margin, (F.col("_r") / F.lit(total) if total else F.lit(0.0)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -76,7 +77,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     for _ in range(rounds):
         for margin in MARGINS:
             now = fitted.groupBy(margin).agg(F.sum("weight").alias("_now"))
-            factor = now.join(targets[margin], margin).select(margin, (F.col("target") / F.col("_now")).alias("_f"))
+            factor = now.join(targets[margin], margin).select(
+                margin, F.when(F.col("_now") > 0, F.col("target") / F.col("_now")).otherwise(0.0).alias("_f")
+            )
             fitted = fitted.join(factor, margin).withColumn("weight", F.col("weight") * F.col("_f")).drop("_f")
         fitted = stage(fitted.select(*MARGINS, "tokens", "weight"), "raked")
     return fitted
@@ -116,15 +119,14 @@ def mixture(
     topic_targets: Mapping[str, float] | None = None,
     budget: float = BUDGET,
 ) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, _weight, _probability, _kept.
+    """Rows of ``docs`` as the struct _row, with _source, _lang, _topic, _tokens, _weight, _probability, _kept.
 
     Without given targets, source shares follow the square root of the tokens,
     language shares too, and topics their own tokens.  Null margins form the
     value `(none)`.  A document without words has weight 0 and probability 0,
     because it brings no token.  A value whose target is 0 is never drawn.  The
     draw is a hash of the id (of the text where the id is null), so repeated
-    rows share it.  An empty table gives no rows.  Columns of ``docs`` that
-    begin with an underscore and bear these names are replaced.
+    rows share it.  An empty table gives no rows.
     """
     rows = tagged(docs, id_col, text_col, source_col, lang_col, topic)
     cells = stage(
@@ -136,7 +138,7 @@ def mixture(
         *MARGINS, F.col("weight").alias("_weight"), F.col("probability").alias("_probability")
     )
     return (
-        rows.drop("_weight", "_probability", "_kept").join(fitted, list(MARGINS), "left")
+        rows.join(fitted, list(MARGINS), "left")
         .withColumns({
             "_weight": F.coalesce("_weight", F.lit(0.0)),
             "_probability": F.when(F.col("_tokens") > 0, F.coalesce("_probability", F.lit(0.0))).otherwise(F.lit(0.0)),
@@ -147,4 +149,4 @@ def mixture(
 
 def sample_mixture(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns."""
-    return mixture(docs, **options).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixture(docs, **options).filter("_kept").select("_row.*")

@@ -24,7 +24,7 @@ from emberline.sources.staging import stage
 SHINGLE = 5
 BANDS, ROWS = 32, 6  # a pair at 0.85 is missed with probability (1 - .85**6)**32 = 3e-7
 THRESHOLD = 85  # per cent
-BLOCK = 256  # members of a bucket that are compared with each other at once
+BLOCK = 512  # members of a bucket that are compared with each other at once
 
 
 def superminhash(elements: np.ndarray, rows: np.ndarray, n_rows: int, m: int) -> np.ndarray:
@@ -102,25 +102,28 @@ def _signature_batches(bands: int, per_band: int, size: int):
     return run
 
 
-def _jaccard_batches(size: int, threshold: int):
-    def sets_of(column: pa.Array) -> list[np.ndarray]:
-        data, offsets = K.utf8(column)
-        out: list[np.ndarray] = []
-        for lo, hi in K.slices(offsets):
-            at = offsets[lo : hi + 1]
-            sets, first = K.shingles(data[at[0] : at[-1]], at - at[0], size)
-            out += [sets[a:b] for a, b in zip(first[:-1], first[1:])]
-        return out
+def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
+    data, offsets = K.utf8(column)
+    out: list[np.ndarray] = []
+    for lo, hi in K.slices(offsets):
+        at = offsets[lo : hi + 1]
+        sets, first = K.shingles(data[at[0] : at[-1]], at - at[0], size)
+        out += [sets[a:b] for a, b in zip(first[:-1], first[1:])]
+    return out
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= threshold * (len(x) + len(y) - common) and common > 0
 
+
+def _jaccard_batches(size: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ok = []
-                for x, y in zip(sets_of(part.column(2)), sets_of(part.column(3))):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= threshold * (len(x) + len(y) - both) and both > 0)
-                keep = pa.array(ok, pa.bool_())
+                pairs = zip(_sets_of(part.column(2), size), _sets_of(part.column(3), size))
+                keep = pa.array([_similar(x, y, threshold) for x, y in pairs], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"]
                 )
@@ -128,72 +131,100 @@ def _jaccard_batches(size: int, threshold: int):
     return run
 
 
-def _across_batches(threshold: int, m: int):
-    low = threshold / 100
-    low = int(np.ceil(m * (low - 5 * np.sqrt(low * (1 - low) / m))))
-
-    def pairs_of(cell: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of different components whose signatures agree in at least ``low`` slots."""
-        i, j, block = cell["i"][0], cell["j"][0], cell["block"]
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        sig, n, c, ids = cell["sig"], cell["n"], cell["c"], cell["doc_id"]
-        a, b = [], []
-        for x in left:
-            to = right[(c[right] != c[x]) & (right > x if i == j else True)]
-            to = to[100 * np.minimum(n[to], n[x]) >= threshold * np.maximum(n[to], n[x])]
-            to = to[(sig[to] == sig[x]).sum(axis=1) >= low]
-            a.append(np.full(len(to), ids[x]))
-            b.append(ids[to])
-        return np.concatenate(a), np.concatenate(b)
+CELL = ["key", "i", "j", "block", "n", "c", "doc_id", "sig"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "block", "n", "c", "doc_id", "sig"]
-        held: dict[str, np.ndarray] | None = None
-
-        def cut(rows: dict[str, np.ndarray], last: bool):
-            edge = np.flatnonzero(
-                (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])
-            ) + 1
-            at = [0, *edge.tolist(), len(rows["key"])]
-            found = [
-                pairs_of({k: v[s:e] for k, v in rows.items()})
-                for s, e in zip(at[:-1], at[1:])
-                if last or e < at[-1]
-            ]
-            keep = None if last else {k: v[at[-2] :] for k, v in rows.items()}
-            if found:
-                x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            else:
-                x = y = np.zeros(0, np.int64)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"]
-            )
-            return out, keep
 
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names[:-1]}
-            data, _ = K.utf8(batch.column("sig"))
-            rows["sig"] = data.view(np.uint16).reshape(-1, m)
-            if held is not None:
-                rows = {k: np.concatenate([held[k], rows[k]]) for k in names}
-            out, held = cut(rows, False)
-            yield out
+def _near_in_cell(cell: dict[str, np.ndarray], threshold: int, low: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, other rows) of different components whose signatures agree in at least ``low`` slots."""
+    i, j, block = cell["i"][0], cell["j"][0], cell["block"]
+    left = np.flatnonzero(block == i)
+    right = left if i == j else np.flatnonzero(block == j)
+    sig, n, c = cell["sig"], cell["n"], cell["c"]
+    for x in left:
+        to = right[(c[right] != c[x]) & (right > x if i == j else True)]
+        to = to[100 * np.minimum(n[to], n[x]) >= threshold * np.maximum(n[to], n[x])]
+        to = to[(sig[to] == sig[x]).sum(axis=1) >= low]
+        if len(to):
+            yield x, to
+
+
+def _cells(batches: Iterator[pa.RecordBatch], names: list[str], m: int) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each (key, i, j), which stand together."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names if k != "sig"}
+        rows["sig"] = K.utf8(batch.column("sig"))[0].view(np.uint16).reshape(-1, m)
         if held is not None:
-            yield cut(held, True)[0]
+            rows = {k: np.concatenate([held[k], rows[k]]) for k in names}
+        change = np.zeros(len(rows["key"]) - 1, bool)
+        for k in ("key", "i", "j"):
+            change |= rows[k][1:] != rows[k][:-1]
+        at = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for s, e in zip(at[:-1], at[1:]):
+            yield {k: v[s:e] for k, v in rows.items()}
+        held = {k: v[at[-1] :] for k, v in rows.items()}
+    if held is not None:
+        yield held
+
+
+def _least_agreement(threshold: int, m: int) -> int:
+    """Slots in which a pair at the threshold agrees, less five standard deviations."""
+    t = threshold / 100
+    return int(np.ceil(m * (t - 5 * np.sqrt(t * (1 - t) / m))))
+
+
+def _candidate_batches(threshold: int, m: int):
+    """Documents of a cell that have a candidate in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, CELL, m):
+            rows: set[int] = set()
+            for x, to in _near_in_cell(cell, threshold, _least_agreement(threshold, m)):
+                rows.add(int(x))
+                rows.update(to.tolist())
+            if rows:
+                ids = cell["doc_id"][sorted(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["doc_id"])
+
+    return run
+
+
+def _confirm_batches(size: int, threshold: int, m: int):
+    """Links that join the components of a cell: a spanning forest of them, from full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, [*CELL, "text"], m):
+            root = {c: c for c in cell["c"].tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            a, b = [], []
+            sets: list[np.ndarray] | None = None
+            for x, to in _near_in_cell(cell, threshold, _least_agreement(threshold, m)):
+                if sets is None:
+                    sets = _sets_of(pa.array(cell["text"], pa.string()), size)
+                for y in to.tolist():
+                    cx, cy = find(int(cell["c"][x])), find(int(cell["c"][y]))
+                    if cx != cy and _similar(sets[x], sets[y], threshold):
+                        root[max(cx, cy)] = min(cx, cy)
+                        a.append(int(cell["doc_id"][x]))
+                        b.append(int(cell["doc_id"][y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _across(rest: DataFrame, threshold: int, m: int) -> DataFrame:
-    """Candidate pairs (a < b) of different components, bucket by bucket.
+def _dealt(rest: DataFrame, *columns: str) -> DataFrame:
+    """Bucket members (with ``blocks`` of their bucket) dealt to cells of two blocks each.
 
     A bucket is dealt into blocks of about BLOCK members and each pair of blocks
-    is a cell of its own, so no task holds a large bucket.  Signatures are
-    compared inside the cell; only pairs within five deviations of the
-    threshold leave it.
+    is a cell of its own, so no task holds a large bucket.
     """
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = rest.withColumn("block", block).withColumn(
@@ -201,23 +232,16 @@ def _across(rest: DataFrame, threshold: int, m: int) -> DataFrame:
     )
     rows = rows.select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "n", "c", "doc_id", "sig",
-    )
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        _across_batches(threshold, m), "a long, b long"
+        "block", "n", "c", "doc_id", "sig", *columns,
     )
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("_i")
-    texts = stage(docs.join(ends, F.col("_id") == F.col("_i"), "left_semi"), "texts")
-    left = texts.toDF("a", "ta")
-    right = texts.toDF("b", "tb")
-    kind = dict(docs.dtypes)["_id"]
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(
-        _jaccard_batches(size, threshold), f"a {kind}, b {kind}"
-    )
+    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_jaccard_batches(size, threshold), "a long, b long")
 
 
 def near_groups(
@@ -228,6 +252,7 @@ def near_groups(
     threshold: int = THRESHOLD,
     bands: int = BANDS,
     per_band: int = ROWS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Every row with the component of near copies it belongs to.
 
@@ -237,7 +262,9 @@ def near_groups(
     their own texts and are one node.  Rows without an id get a null component
     and stay.  An empty table gives no rows; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    base = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")
+    )
     sig = stage(
         base.mapInArrow(
             _signature_batches(bands, per_band, size),
@@ -262,7 +289,10 @@ def near_groups(
         .select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(),
         "pairs",
     )
-    links = stage(_linked(pairs, base.filter("_id is not null"), size, threshold), "links")
+    # texts of the members of buckets: moved once, for both rounds of comparisons
+    ends = members.select(F.col("doc_id").alias("_i")).distinct().hint("merge")
+    texts = stage(base.join(ends, F.col("_id") == F.col("_i"), "left_semi"), "texts")
+    links = stage(_linked(pairs, texts, size, threshold), "links")
     labels = components(links)
     # members of one bucket in different components: compare across them
     at = members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
@@ -271,12 +301,14 @@ def near_groups(
     at = stage(at, "placed")
     mixed = at.groupBy("key").agg(
         F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("size")
-    ).filter("_lo <> _hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    ).filter("_lo <> _hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     rest = stage(at.join(mixed, "key"), "rest")
     signed = rest.join(heads.select("doc_id", "sig"), "doc_id")
-    cross = stage(_across(signed, threshold, bands * per_band).distinct(), "cross")
-    cross = cross.join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti")
-    links = links.union(_linked(cross, base.filter("_id is not null"), size, threshold)).union(same)
+    near = _dealt(signed).mapInArrow(_candidate_batches(threshold, bands * per_band), "doc_id long")
+    near = stage(near.distinct(), "candidates")
+    checked = signed.join(near, "doc_id", "left_semi").join(texts.toDF("doc_id", "text"), "doc_id")
+    cross = _dealt(checked, "text").mapInArrow(_confirm_batches(size, threshold, bands * per_band), "a long, b long")
+    links = links.union(cross).union(same)
     labels = stage(components(links), "components")
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(
         labels, F.col("doc_id") == F.col("node"), "left"
@@ -296,4 +328,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     As :func:`near_groups`; rows that repeat an id stay or go together.
     """
     gone = stage(near_groups(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -24,7 +24,7 @@ def _digest(df: DataFrame, text_col: str) -> DataFrame:
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per distinct text: _h (SHA-256), keep_id (largest id), group_size."""
-    base = _digest(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw")), "_raw")
+    base = _digest(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_raw")), "_raw")
     base = base.select("_id", "_h", "_t", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt"))
     salted = base.groupBy("_h", "_salt", "_t").agg(F.max("_id").alias("_id"), F.count("*").alias("_n"))
     texts = salted.groupBy("_h", "_t").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
@@ -41,7 +41,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are ignored.
     """
     top = stage(winners(docs, id_col, text_col, salts), "texts")
-    light = _digest(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw")), "_raw")
+    light = _digest(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_raw")), "_raw")
     light = stage(light.select("doc_id", "_h", F.md5("_t").alias("_h2")), "digests")
     if not top.groupBy("_h", "_h2").count().filter("count > 1").isEmpty():
         raise ValueError("two texts share both their SHA-256 and their MD5")
@@ -68,19 +68,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     As :func:`exact_groups`; of rows that repeat both id and text, one stays.
     """
     top = stage(winners(docs, id_col, text_col), "texts")
-    light = _digest(docs.select(F.col(id_col).alias("_keep"), F.col(text_col).alias("_raw")), "_raw")
+    light = _digest(docs.select(F.col(f"`{id_col}`").alias("_keep"), F.col(f"`{text_col}`").alias("_raw")), "_raw")
     tied = stage(light.groupBy("_h", "_keep").count().filter("count > 1").drop("count"), "tied")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    left = _digest(docs, text_col).alias("d")
-    right = top.select(F.col("_h").alias("_wh"), "keep_id").alias("w")
-    kept = left.join(
-        right,
-        (F.col("d._h") == F.col("w._wh")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("w.keep_id")),
-        "left_semi",
-    )
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_raw"))
+    left = _digest(rows, "_raw").select("_row", "_id", "_h")
+    right = top.select(F.col("_h").alias("_wh"), "keep_id")
+    kept = left.join(right, (F.col("_h") == F.col("_wh")) & F.col("_id").eqNullSafe(F.col("keep_id")), "left_semi")
     if tied.isEmpty():
-        return kept.select(*columns)
+        return kept.select("_row.*")
     mark = tied.select(F.col("_h").alias("_th"), "_keep")
-    same = (F.col("_h") == F.col("_th")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_keep"))
+    same = (F.col("_h") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_keep"))
     once = kept.join(mark, same, "left_semi").dropDuplicates(["_h"])
-    return kept.join(mark, same, "left_anti").select(*columns).unionByName(once.select(*columns))
+    return kept.join(mark, same, "left_anti").select("_row.*").unionByName(once.select("_row.*"))

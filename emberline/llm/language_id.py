@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import kernels as K
+from emberline.llm.sampling import bounded_sample
 
 BUCKETS = 1 << 15
 SAMPLE = 6000  # labelled documents the weights are fitted on, at most
@@ -161,18 +162,19 @@ def _fit(features: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, epo
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training: Column) -> LanguageModel | None:
     """Model from the rows of ``training`` with a language; None if there are none."""
-    rows = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.filter(training & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     counts = (
-        rows.select(F.col(text_col).cast("string"))
+        rows.select(F.col(f"`{text_col}`").cast("string"))
         .mapInArrow(_frequency_batches, "bucket long, n long")
         .groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
     )
+    few = bounded_sample(rows, F.col(f"`{id_col}`"), SAMPLE)
     sample = (
-        rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"),
-                    F.xxhash64(F.col(id_col).cast("string")).alias("_o"))
-        .orderBy("_o", "lang").limit(SAMPLE).select("lang", "t")
+        few.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("t"))
         .mapInArrow(_feature_batches, "lang string, x binary").collect()
     )
+    sample.sort(key=lambda r: (r["lang"], r["x"]))
+    sample = [sample[i] for i in np.random.default_rng(3).permutation(len(sample))]
     sample = [(r["lang"], np.frombuffer(r["x"], np.int32).reshape(2, -1)) for r in sample]
     sample = [r for r in sample if r[1].size]
     if not sample:
@@ -241,7 +243,7 @@ def identify(
     columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, id_col, text_col, lang_col, training)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     return rows.mapInArrow(_score_batches(model), "doc_id long, lang_pred string, score double")
 
 
@@ -255,9 +257,10 @@ def keep_known(docs: DataFrame, training: Column, least: float = 0.5, **columns)
     id_col = columns.get("id_col", "doc_id")
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, id_col, text, lang, training)))
     found = F.pandas_udf(_language_udf(model), "struct<lang_pred: string, score: double>")
-    scored = docs.withColumn("_found", found(F.col(f"`{text}`").cast("string")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    scored = rows.select("_row", found("_text").alias("_found"))
     good = (F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)
-    return scored.filter(good).drop("_found")
+    return scored.filter(good).select("_row.*")
 
 
 def _language_udf(held):

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import kernels as K
+from emberline.llm.sampling import bounded_sample
 from emberline.sources.staging import stage
 
 MAX_BITS = 1 << 28  # of the filter: 32 MB
@@ -380,10 +381,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         Filter(bits, size, data), int(total[0].sum()), int(grams[0].sum()), n_docs, np.zeros(LEVELS + 1),
         head_word[order], head["n"].to_numpy(np.int64)[order],
     )
-    sample = known.select(text, F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("_o")).orderBy("_o", "t").limit(SAMPLE)
+    sample = bounded_sample(known, F.col(f"`{id_col}`"), SAMPLE).select(text)
     first = spark.sparkContext.broadcast(pickle.dumps(model))
     model.share = _fit_shares(
-        sample.select("t").mapInArrow(_share_batches(first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+        sample.mapInArrow(_share_batches(first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     )
     first.unpersist()
     held = spark.sparkContext.broadcast(pickle.dumps(model))

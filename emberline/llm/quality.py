@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import kernels as K
+from emberline.llm.sampling import bounded_sample
 
 WORDS = 1 << 17
 BINS = 32
@@ -205,16 +206,14 @@ def classify(
     gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    few = (
-        labels.select(F.col(id_col), F.col(label_col).cast("long").alias("_y"))
-        .filter(training & F.col("_y").isNotNull() & F.col(id_col).isNotNull())
-        .orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col, "_y").limit(SAMPLE)
-        .select(F.col(id_col).alias("_lid"), "_y")
+    marked = labels.select(F.col(f"`{id_col}`"), F.col(f"`{label_col}`").cast("long").alias("_y")).filter(
+        training & F.col("_y").isNotNull() & F.col(f"`{id_col}`").isNotNull()
     )
+    few = bounded_sample(marked, F.col(f"`{id_col}`"), SAMPLE).select(F.col(f"`{id_col}`").alias("_lid"), "_y")
     text = F.col(f"`{text_col}`").cast("string").alias("t")
     chars = F.col(f"`{chars_col}`").cast("double").alias("c")
     sample = (
-        docs.join(F.broadcast(few), F.col(f"`{id_col}`") == F.col("_lid"))  # at most SAMPLE rows of two longs
+        docs.join(F.broadcast(few), F.col(f"`{id_col}`") == F.col("_lid"))  # at most 2 * SAMPLE rows of two longs
         .select("_y", text, chars).mapInArrow(_feature_batches, "y long, x binary").limit(2 * SAMPLE).collect()
     )
     if sample:

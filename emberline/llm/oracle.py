@@ -30,4 +30,58 @@ g AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN g ON a = doc_id
 """
 
-SQL = {"op5_exact_dedup": OP5, "op9_near_dedup": OP9}
+LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"'']?\s*((?:https?:)?//[^\"''\s>]+)"
+
+
+def _host(url: str) -> str:
+    rest = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    return f"coalesce(translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}'), '')"
+
+
+def _path(url: str) -> str:
+    rest = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    return f"coalesce(regexp_extract({rest}, '^[^/?#]*(/[^?#]*)', 1), '')"
+
+
+def _spread(name: str, source: str, target: str, seed: str) -> str:
+    steps = [
+        f"{name}_s AS (SELECT {source} AS src, {target} AS dst, n / sum(n) OVER (PARTITION BY {source}) AS share FROM edges)",
+        f"{name}_0 AS (SELECT host, 0.15::DOUBLE * {seed} AS mass FROM hosts WHERE {seed} > 0)",
+    ]
+    for k in range(1, 11):
+        steps.append(
+            f"{name}_{k} AS (SELECT host, sum(mass) AS mass FROM (SELECT * FROM {name}_0 UNION ALL "
+            f"SELECT dst, 0.85::DOUBLE * share * mass FROM {name}_s JOIN {name}_{k - 1} ON src = host) GROUP BY host)"
+        )
+    return ",\n".join(steps)
+
+
+OP10 = f"""
+WITH base AS (SELECT page_id, {_host('url')} AS host, {_path('url')} AS path, html FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM base
+), judged AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS by_rule
+  FROM ruled
+), links AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '{LINK}', 1)) AS to_url FROM base WHERE host <> '' AND html IS NOT NULL
+), ends AS (
+  SELECT src, {_host("(CASE WHEN starts_with(to_url, '//') THEN 'http:' || to_url ELSE to_url END)")} AS dst FROM links
+), edges AS (SELECT src, dst, count(*)::DOUBLE AS n FROM ends WHERE dst <> '' AND dst <> src GROUP BY ALL),
+hosts AS (
+  SELECT host, avg((coalesce(by_rule, '') = 'allow')::INT) AS good, avg((coalesce(by_rule, '') = 'block')::INT) AS bad
+  FROM judged WHERE host <> '' GROUP BY host
+),
+{_spread('t', 'src', 'dst', 'good')},
+{_spread('d', 'dst', 'src', 'bad')}
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE
+  WHEN coalesce(d.mass, 0) > 0.5 * 0.15 AND coalesce(d.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN t_10 t ON t.host = j.host LEFT JOIN d_10 d ON d.host = j.host
+"""
+
+SQL = {"op5_exact_dedup": OP5, "op9_near_dedup": OP9, "op10_url_filter": OP10}

@@ -24,7 +24,7 @@ RULES = (
 )
 ROUNDS = 10
 DAMPING = 0.85
-THRESHOLD = 0.15  # of distrust, in units of a blocked seed's own share
+THRESHOLD = 0.5  # of distrust, in units of what a host with blocked pages only has of itself
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

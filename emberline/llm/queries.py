@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mixed = mixture(table(spark, sf_dir, "documents"))
     return mixed.select(
-        "doc_id",
+        "_row.doc_id",
         F.col("_source").alias("source"),
         F.col("_lang").alias("lang"),
         F.col("_topic").alias("topic"),

@@ -146,10 +146,10 @@ wrate as (select event_type, {r(favg("wastage_rate", 4), 8)} mean_wastage_rate,
 
 PR = f"""
 pr as (
- select n_name series, make_date(yr, 4, 1) "date", commercial_price_inr
- from (select c_nationkey, cast(year(o_orderdate) as int) yr,
+ select n_name series, half "date", commercial_price_inr
+ from (select c_nationkey, make_date(year(o_orderdate), case when month(o_orderdate) < 7 then 1 else 7 end, 1) half,
    {r(fsum("o_totalprice", 2) + "/count(*)", 2)} commercial_price_inr
-  from orders join customer on c_custkey = o_custkey where month(o_orderdate) = 4 group by 1, 2)
+  from orders join customer on c_custkey = o_custkey group by 1, 2)
  join nation on n_nationkey = c_nationkey)"""
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emberline import fixed_values as fv
 from emberline.functions.expr import by_month, flag, hash_uniform, rnd, uniform_between
 from emberline.operators import derive, features, joins, planning, prices, recipes, wastage
-from emberline.sources.staging import spread, stage
+from emberline.sources.staging import stage
 
 AS_OF = "2024-11-01"
 CAPACITY = 200
@@ -24,9 +24,17 @@ REGION_LEAD_DAYS = {"AFRICA": 1, "AMERICA": 2, "ASIA": 2, "EUROPE": 2}
 _cache: dict[tuple, object] = {}
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files in a folder and of its sub-folders' entries."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/*")
+    found = folder.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(folder) or []
+    return tuple((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    """One build per application, folder and name."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """One build per application, state of the folder's files, and name."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir), name)
     if key not in _cache:
         _cache[key] = build()
     return _cache[key]
@@ -89,7 +97,7 @@ def event_requests(spark, sf_dir) -> DataFrame:
         (F.lit(10) + F.floor(F.col("o_totalprice") / 200)).cast("int").alias("headcount"),
         (F.lit(2) + (F.col("o_orderkey") % 81) / F.lit(10.0)).alias("duration_hrs"),
     )
-    joined = spread(base).join(lines, "event_id", "left")
+    joined = base.join(lines, "event_id", "left")
     return joined.select(
         *base.columns,
         F.greatest(F.lit(2), F.coalesce("n_lines", F.lit(0)) + 1).cast("int").alias("num_dishes"),
@@ -125,7 +133,7 @@ def events_view(spark, sf_dir) -> DataFrame:
 
 
 def recipes_view(spark, sf_dir) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     course = ("Main Course", "Snack", "Dessert", "Breakfast", "Lunch", "Appetizer")
     diet = (
         F.when(F.col("lang") == "en", "Vegetarian")
@@ -174,23 +182,24 @@ def wastage_view(spark, sf_dir) -> DataFrame:
 
 
 def price_anchor_view(spark, sf_dir) -> DataFrame:
-    """Yearly anchors per nation: the mean order price of April."""
-    o = table(spark, sf_dir, "orders").filter(F.month("o_orderdate") == 4)
+    """Half-yearly anchors per nation: the mean price of all its orders of the half-year."""
+    o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # sums per customer first: the join sees one row per (customer, year)
-    per_customer = o.groupBy("o_custkey", F.year("o_orderdate").alias("yr")).agg(
+    # sums per customer first: the join sees one row per (customer, half-year)
+    start = F.make_date(F.year("o_orderdate"), F.when(F.month("o_orderdate") < 7, 1).otherwise(7), F.lit(1))
+    per_customer = o.groupBy("o_custkey", start.alias("half")).agg(
         F.sum(F.floor(F.col("o_totalprice") * 100 + F.lit(0.5))).alias("cents"),
         F.count("*").alias("n"),
     )
     yearly = (
         per_customer.join(c, per_customer.o_custkey == c.c_custkey)
-        .groupBy("c_nationkey", "yr")
+        .groupBy("c_nationkey", "half")
         .agg(rnd(F.sum("cents") / F.lit(100.0) / F.sum("n"), 2).alias("commercial_price_inr"))
     )
     return yearly.join(n, yearly.c_nationkey == n.n_nationkey).select(
         F.col("n_name").alias("series"),
-        F.make_date("yr", F.lit(4), F.lit(1)).alias("date"),
+        F.col("half").alias("date"),
         "commercial_price_inr",
     )
 

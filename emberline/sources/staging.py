@@ -8,47 +8,42 @@ fits under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: dict[str, str] = {}
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Unset is accepted only for a local master (tests), where one temporary
-    folder per application is made and set on the session.
-    """
+    """Folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; it must name a folder all executors share"
-        )
-    app = sc.applicationId
-    if app not in _local_root:
-        _local_root[app] = tempfile.mkdtemp(prefix="emberline-")
-    return _local_root[app]
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/emberline/{app}/{name}-{uuid.uuid4().hex[:12]}"
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/emberline/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        if not _made:
+            atexit.register(clean)
+        _made[path] = spark
+    return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Splits an input with fewer partitions than task slots; else no change.
+def clean() -> None:
+    """Delete what the sessions of this driver have staged, as far as they still run."""
+    for path, spark in list(_made.items()):
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        del _made[path]
 
-    A file with a single row group is read by one task.  Large tables have
-    more splits than slots and pass through without a shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -75,18 +75,3 @@ def test_metadata_document(spark, sf_dir):
     lo, hi = features.fit_ranges(e, ["headcount"])["headcount"]
     assert (doc["features"]["min"], doc["features"]["max"]) == ([lo], [hi])
     assert json.loads(doc["label_maps"]) == classes
-
-
-def test_cluster_needs_a_shared_folder(spark):
-    class Conf:
-        def get(self, *_):
-            return None
-
-    class Context:
-        master, applicationId = "spark://host:7077", "app"
-
-    class Session:
-        conf, sparkContext = Conf(), Context()
-
-    with pytest.raises(RuntimeError):
-        staging.shared_dir(Session())

@@ -260,3 +260,4 @@ NOTE_SHIFTED = " | Shifted %dd earlier (demand smoothing)"
 BATCH_OPTIMAL = "optimal"
 BATCH_OVER_BUDGET = "fallback"
 BATCH_EMPTY = "no events"
+BATCH_UNLISTED = "not listed"

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from emberline.sources.staging import stage
 
-MAX_BROADCAST_ROWS = 500_000
 SALTS = 64
 
 
 def _salt(salts: int) -> Column:
-    """Salt by input partition: a key that fills many partitions is spread.
+    """Salt by position: neighbouring rows get different salts, so clustered keys are spread.
 
     The result of a salted join does not depend on the salt a row gets.
     """
-    return F.pmod(F.spark_partition_id(), F.lit(salts))
+    return F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
 
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.001) -> list:
@@ -48,7 +47,7 @@ def skew_safe_join(
     if not hot:
         return big.join(small, key, how)
     is_hot = F.col(key).isin(hot)
-    left = big.withColumn("_salt", F.when(is_hot, _salt(salts)).otherwise(F.lit(0)))
+    left = big.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), _salt(salts)).otherwise(F.lit(0)))
     right = small.withColumn(
         "_salt",
         F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
@@ -63,24 +62,24 @@ def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def dimension_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS, share: float = 0.001,
-    least: float = 10_000.0,
+    salts: int = SALTS, share: float = 0.001, least: float = 10_000.0,
 ) -> DataFrame:
-    """Join to a pre-aggregated table (one row per key) after counting it.
+    """Join to a pre-aggregated table (one row per key).
 
-    ``small`` is staged and counted.  Up to ``max_rows`` rows it is broadcast,
-    so the rows of ``big`` do not move.  Beyond that the join shuffles, and the
-    keys that hold more than ``share`` of the rows of ``big`` (fewer than
-    1/share, so their table may be broadcast) are salted on both sides.
+    Nothing is hinted: the optimizer broadcasts ``small`` if its known size
+    allows and shuffles otherwise.  The keys that hold more than ``share`` of
+    the rows of ``big`` (fewer than 1/share) are salted on both sides, and so
+    are rows without a key, which match nothing.
     """
     side = stage(small, "dimension")
-    if side.count() <= max_rows:
-        return big.join(F.broadcast(side), list(keys), how)
     counts = big.groupBy(*keys).count()
     floor = max(least, big.select(F.count("*").alias("n")).first()["n"] * share)
     hot = stage(counts.filter(F.col("count") > floor).select(*keys), "hot-keys")
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
     left = _mark_hot(big, hot, keys).withColumn(
-        "_salt", F.when(F.col("_hot"), _salt(salts)).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot") | keyless, _salt(salts)).otherwise(F.lit(0))
     )
     right = _mark_hot(side, hot, keys).withColumn(
         "_salt",

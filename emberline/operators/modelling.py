@@ -29,6 +29,7 @@ from emberline.operators import metrics
 from emberline.sources.staging import shared_dir, stage
 
 LABEL = "ran_out_of_gas"
+COPY_BLOCK = 1000  # copies of a row made by one task at a time
 
 
 @dataclass(frozen=True)
@@ -99,8 +100,12 @@ def oversample(
         train.filter(F.col(label) == 1)
         .withColumn("_n", copies)
         .filter("_n > 0")
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .drop("_n")
+        # blocks of copies are dealt out before they are multiplied
+        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPY_BLOCK))))
+        .repartition(key, "_b")
+        .withColumn("_last", F.least(F.col("_n").cast("long"), (F.col("_b") + 1) * COPY_BLOCK))
+        .withColumn("copy_no", F.explode(F.sequence((F.col("_b") * COPY_BLOCK + 1).cast("int"), F.col("_last").cast("int"))))
+        .drop("_n", "_b", "_last")
     )
     draw_key = F.concat_ws(":", F.col(key).cast("string"), F.col("copy_no").cast("string"))
     return rows.withColumns(
@@ -143,7 +148,7 @@ def boosted_regressor(columns: Sequence[str], label: str, pred: str, s: TreeSett
 
 def forest_regressor(columns: Sequence[str], label: str, pred: str, s: TreeSettings) -> Pipeline:
     forest = RandomForestRegressor(
-        labelCol=label, predictionCol=pred, numTrees=min(s.trees, 100),
+        labelCol=label, predictionCol=pred, numTrees=s.trees,
         maxDepth=s.regressor_depth + 3, subsamplingRate=s.subsample, seed=s.seed,
     )
     return Pipeline(stages=[_assembler(columns), forest])

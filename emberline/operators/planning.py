@@ -248,7 +248,7 @@ def batch_totals(
     minimum fits the budget.  No budget (null or 0) is no limit.  Batches
     listed in ``batches`` (batch key, budget_inr) without events are reported.
     """
-    need = F.ceil(F.col(kg) / F.lit(fv.USABLE_KG_PER_CYLINDER)).cast("int")
+    need = F.greatest(F.lit(1), F.ceil(F.col(kg) / F.lit(fv.USABLE_KG_PER_CYLINDER)).cast("int"))
     excess = F.greatest(F.lit(0.0), need * F.lit(fv.USABLE_KG_PER_CYLINDER) - F.col(kg))
     sums = events.groupBy(batch).agg(
         F.count("*").alias("n_events"),
@@ -286,14 +286,18 @@ def batch_procurement(
 ) -> DataFrame:
     """Allocation per event with its batch's status.
 
-    Batch totals are pre-aggregated to one row per batch and counted before
-    they are joined back, so a batch of any size stays spread over tasks.
+    Batch totals are pre-aggregated to one row per batch before they are joined
+    back, and hot batches are salted, so a batch of any size stays spread over
+    tasks.  Events whose batch is null or not listed in ``batches`` are kept
+    with the status of an unlisted batch and the rule's allocation.
     """
     totals = batch_totals(events, batch, batches, kg, price)
     need = F.ceil(F.col(kg) / F.lit(fv.USABLE_KG_PER_CYLINDER)).cast("int")
     ok = F.col("status") == fv.BATCH_OPTIMAL
     minimum = F.greatest(F.lit(1), need)
-    joined = dimension_join(events, totals.select(batch, "status"), [batch], "inner")
+    joined = dimension_join(events, totals.select(batch, "status"), [batch], "left").withColumn(
+        "status", F.coalesce("status", F.lit(fv.BATCH_UNLISTED))
+    )
     return joined.select(
         "event_id",
         batch,
@@ -306,9 +310,9 @@ def batch_procurement(
     )
 
 
-def batch_summary(plans: DataFrame) -> DataFrame:
-    """Totals over a set of plans; an empty set gives 0 events and nulls."""
-    return plans.agg(
+def batch_summary(plans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Totals per batch of plans, or over all; an empty set without keys gives 0 events and nulls."""
+    return plans.groupBy(*keys).agg(
         F.count("*").alias("total_events"),
         F.sum("cylinders_to_order").alias("total_cylinders"),
         fixed_sum("estimated_cost_inr", 0).alias("total_cost_inr"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import rnd
-from emberline.operators.joins import MAX_BROADCAST_ROWS
 from emberline.sources.staging import stage
 
 
@@ -43,16 +42,14 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Groups of equal rows with their count.
 
     First pass: counts per 64-bit row hash (8 bytes per row shuffled, copies
-    merged map side).  When few hashes repeat, only their rows are compared in
-    full.  When very many do, most rows are suspects and all are grouped; a
+    merged map side).  Only rows whose hash repeats are compared in full; a
     row with many copies is merged map side.
     """
     hashed = df.select(*columns).withColumn("_h", F.xxhash64(*columns))
     repeated = stage(
         hashed.groupBy("_h").count().filter("count > 1").select("_h"), "repeated-hashes"
     )
-    few = repeated.count() <= MAX_BROADCAST_ROWS
-    suspects = hashed.join(F.broadcast(repeated), "_h", "left_semi") if few else hashed
+    suspects = hashed.join(repeated, "_h", "left_semi")
     return suspects.groupBy(*columns).agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
 
 
@@ -88,8 +85,9 @@ def correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFra
 
     Rows are unpivoted to (feature, x, y) and combined map side, so one row
     per feature and task is shuffled; the short aggregate compiles to native
-    code where one aggregate with a buffer per feature is too long to.  A
-    constant column has no correlation (null).
+    code where one aggregate with a buffer per feature is too long to.  Each
+    feature is correlated over the rows that have both values; a constant
+    column, or one without such rows, has no correlation (null).
     """
     pairs = F.array(
         *[
@@ -98,7 +96,9 @@ def correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFra
         ]
     )
     long = df.select(F.col(target).cast("double").alias("y"), F.explode(pairs).alias("s"))
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    complete = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = (F.when(complete, F.col(c)) for c in "xy")
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     return long.select("y", "s.*").groupBy("feature").agg(rnd(r, 6).alias("correlation"))
 
 

@@ -179,12 +179,12 @@ _NUM = [
     "festival_flag", "demand_multiplier", "temp_mean_c", "precipitation_mm", "commercial_price_inr",
     "covid_period", "gas_intensity_per_serving", "avg_cook_time_mins", "kg_per_guest", "kg_per_burner_hr",
     "log_headcount", "month_sin", "month_cos", "season_intensity", "heat_stress", "price_index",
-    "price_surge_flag", "dish_load", "event_scale", "novice_peak_season",
+    "price_surge_flag", "dish_load", "event_scale", "novice_peak_season", "price_lag1_inr", "price_lag2_inr",
 ]
 
 
 def _corr(c: str, y: str) -> str:
-    return r(f"covar_pop({c},{y})/nullif(stddev_pop({c})*stddev_pop({y}), 0e0)", 6)
+    return r(f"case when min({c}) = max({c}) then null else corr({y}, {c}) end", 6)
 
 
 SQL["correlations_a18"] = q(FEAT, " union all ".join(
@@ -239,7 +239,8 @@ SQL["roc_auc_a16"] = q(f"""{PRED},
  f"""select cast(sum(pos) as bigint) n_pos, cast(sum(neg) as bigint) n_neg,
  {r("cast(sum(pos*(2*before+neg)) as double)/2e0/(cast(sum(pos) as double)*cast(sum(neg) as double))", 6)} auc from cu""")
 SQL["regression_metrics_a17"] = q(PRED, f"""select count(*) n_rows,
- {r("1e0-sum((actual-predicted)*(actual-predicted))/(var_pop(actual)*count(*))", 6)} r2, {r("avg(abs(actual-predicted))", 6)} mae from pred""")
+ {r("1e0-sum((actual-predicted)*(actual-predicted))/(var_pop(actual)*count(*))", 6)} r2, {r("avg(abs(actual-predicted))", 6)} mae from pred
+ where actual is not null and predicted is not null""")
 
 # ---- planning ----------------------------------------------------------------------
 
@@ -300,14 +301,15 @@ SQL["order_dates_o5"] = q(PL, "select event_id, order_date recommended_order_dat
 _BATCH = f"""{EVD},
  bud as (select n_name dealer, case when n_nationkey % 5 <> 0 then cast(b as double) end budget_inr from nation left join
   (select c_nationkey, sum(cast(floor(c_acctbal) as bigint))*28 b from customer group by 1) on c_nationkey = n_nationkey),
- need as (select *, cast(ceil(consumption_kg/17.5e0) as int) mn from evd),
+ need as (select *, greatest(1, cast(ceil(consumption_kg/17.5e0) as int)) mn from evd),
  tot as (select dealer, count(*) n, sum(mn) cyl, {fsum("greatest(0e0, mn*17.5e0-consumption_kg)", 4)} excess from need group by 1),
  bt as (select bud.dealer, bud.budget_inr, coalesce(n,0) n, cyl, excess, case when n is null then 'no events'
   when budget_inr is null or budget_inr = 0 or cyl*1910 <= budget_inr then 'optimal' else 'fallback' end status
   from bud left join tot using (dealer))"""
-SQL["batch_procurement_o12"] = q(_BATCH, """select event_id, dealer, event_date, consumption_kg, status,
- case when status='optimal' then greatest(1,mn) end cylinders_lp, greatest(1,mn) cylinders_rule,
- case when status='optimal' then 0e0 end lp_saving_pct from need join bt using (dealer)""")
+SQL["batch_procurement_o12"] = q(_BATCH, """select event_id, dealer, event_date, consumption_kg,
+ case when dealer in ('KENYA', 'PERU') then 'not listed' else bt.status end status,
+ case when bt.status='optimal' and dealer not in ('KENYA', 'PERU') then mn end cylinders_lp, mn cylinders_rule,
+ case when bt.status='optimal' and dealer not in ('KENYA', 'PERU') then 0e0 end lp_saving_pct from need join bt using (dealer)""")
 SQL["batch_totals_o12"] = q(_BATCH, f"""select dealer, status, n n_events, budget_inr,
  cast(case when status='optimal' then cyl end as bigint) total_cylinders,
  cast(case when status='optimal' then cyl*1910 end as bigint) total_cost_inr,
@@ -319,6 +321,9 @@ SQL["delivery_cap_o13"] = q(PL, """select event_id, cast(run as bigint) running_
 SQL["batch_summary_a11"] = q(PL, f"""select count(*) total_events, cast(sum(cyl) as bigint) total_cylinders,
  {fsum("cost", 0)} total_cost_inr, {r(fsum("risk", 1) + "/count(*)", 1)} avg_stockout_risk,
  count(*) filter (where tier='RED') high_risk_events from plt""")
+SQL["batch_summary_by_dealer_a11"] = q(PL, f"""select dealer, count(*) total_events, cast(sum(cyl) as bigint) total_cylinders,
+ {fsum("cost", 0)} total_cost_inr, {r(fsum("risk", 1) + "/count(*)", 1)} avg_stockout_risk,
+ count(*) filter (where tier='RED') high_risk_events from plt group by dealer""")
 SQL["caterer_rollup_a19"] = q(PL, f"""select *, {r("total_wastage_kg/greatest(total_kg,1e0)*100e0", 2)} wastage_pct,
  case when avg_efficiency < 65 then 1 else 0 end inefficient from (
  select caterer_id, count(*) n_events, {r(fsum("kg", 2), 2)} total_kg, {r(fsum("waste", 2), 2)} total_wastage_kg,

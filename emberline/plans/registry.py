@@ -38,10 +38,12 @@ def query(name: str):
 def _(spark, d):
     padded = {n: f" {h} " for h, n in fv.PRICE_SOURCE_HEADERS.items()}
     path = new_path(spark, "anchors-csv")
+    # columns in another order, padded names, a column too many
     anchors = v.price_anchor_view(spark, d).select(
-        F.date_format("date", "dd-MMM-yy").alias(padded["date_str"]),
-        rnd(F.col("commercial_price_inr") / 2, 2).alias(padded["domestic_price_inr"]),
         F.col("commercial_price_inr").alias(padded["commercial_price_inr"]),
+        F.col("series").alias("not wanted"),
+        rnd(F.col("commercial_price_inr") / 2, 2).alias(padded["domestic_price_inr"]),
+        F.date_format("date", "dd-MMM-yy").alias(padded["date_str"]),
     )
     tables.write_stage(anchors, path, "csv")
     return tables.read_table_csv(spark, path, tables.PRICE_SCHEMA, fv.PRICE_SOURCE_HEADERS)
@@ -486,7 +488,7 @@ NUMERIC_FEATURES = [
     "commercial_price_inr", "covid_period", "gas_intensity_per_serving", "avg_cook_time_mins",
     "kg_per_guest", "kg_per_burner_hr", "log_headcount", "month_sin", "month_cos",
     "season_intensity", "heat_stress", "price_index", "price_surge_flag", "dish_load",
-    "event_scale", "novice_peak_season",
+    "event_scale", "novice_peak_season", "price_lag1_inr", "price_lag2_inr",
 ]
 
 
@@ -622,7 +624,8 @@ def _budgets(spark, d):
 
 @query("batch_procurement_o12")
 def _(spark, d):
-    return planning.batch_procurement(v.event_table(spark, d), "dealer", _budgets(spark, d))
+    listed = _budgets(spark, d).filter("dealer not in ('KENYA', 'PERU')")
+    return planning.batch_procurement(v.event_table(spark, d), "dealer", listed)
 
 
 @query("batch_totals_o12")
@@ -642,6 +645,11 @@ def _(spark, d):
     return planning.batch_summary(v.plan_table(spark, d))
 
 
+@query("batch_summary_by_dealer_a11")
+def _(spark, d):
+    return planning.batch_summary(v.plan_table(spark, d), ["dealer"])
+
+
 @query("caterer_rollup_a19")
 def _(spark, d):
     return regional.caterer_rollup(v.plan_table(spark, d))

@@ -86,15 +86,19 @@ def test_request_bounds(spark, field, good, bad):
     assert len(reasons) == len(bad) and all(len(x) == 1 and field in x[0] for x in reasons)
 
 
-def test_duplicates_when_many_rows_repeat(spark, monkeypatch):
+def test_duplicates_when_many_rows_repeat(spark):
     df = spark.range(300).select((F.col("id") % 40).alias("a"), (F.col("id") % 3).alias("b"), F.lit("x").alias("c"))
     few = sorted(map(tuple, quality.duplicate_rows(df, ["a", "b", "c"]).collect()))
-    monkeypatch.setattr(quality, "MAX_BROADCAST_ROWS", 1)
-    assert sorted(map(tuple, quality.duplicate_rows(df, ["a", "b", "c"]).collect())) == few
-    assert sum(r[-1] for r in few) == 300
+    assert sum(r[-1] for r in few) == 300 and len(few) == 120
 
 
 def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 3.0, 2.0), (2.0, 3.0, 4.0)], "a double, c double, y double")
     got = {r["feature"]: r["correlation"] for r in quality.correlations(df, ["a", "c"], "y").collect()}
     assert got == {"a": 1.0, "c": None}
+
+
+def test_correlation_over_complete_pairs(spark):
+    rows = [(float(i) if i % 10 == 0 else None, float(i) if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    assert quality.correlations(df, ["x"], "y").first()["correlation"] == 1.0

@@ -94,16 +94,21 @@ def test_regression_metrics(spark):
     assert got["mae"] == pytest.approx(abs(y - p).mean() * 10, abs=1e-5)
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], "y double, p double")
     assert metrics.regression_metrics(flat, "y", "p").first()["r2"] is None
+    gap = spark.createDataFrame([(float(i), float(i) + 1) for i in range(9)] + [(1e6, None), (None, 5.0)], "y double, p double")
+    got = metrics.regression_metrics(gap, "y", "p").first()
+    assert (got["n_rows"], got["r2"], got["mae"]) == (9, 0.85, 1.0)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("limit,least", [(0, 20.0), (0, 10_000.0), (1000, 0.0)])
-def test_dimension_join_both_ways(spark, how, limit, least):
-    big = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k")).repartition(5)
+@pytest.mark.parametrize("least", [20.0, 10_000.0, 0.0])
+def test_dimension_join_salted_and_plain(spark, how, least):
+    """A hot key stored together, and rows without a key."""
+    key = F.when(F.col("id") < 170, 0).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 50)
+    big = spark.range(500).select("id", key.alias("k")).repartitionByRange(5, "k")
     small = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    want = sorted(map(tuple, big.join(small, "k", how).collect()))
-    got = joins.dimension_join(big, small, ["k"], how, max_rows=limit, salts=4, least=least)
-    assert sorted(map(tuple, got.select(*big.join(small, "k", how).columns).collect())) == want
+    want = sorted(map(str, big.join(small, "k", how).collect()))
+    got = joins.dimension_join(big, small, ["k"], how, salts=4, least=least)
+    assert sorted(map(str, got.select(*big.join(small, "k", how).columns).collect())) == want
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

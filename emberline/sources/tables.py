@@ -42,22 +42,30 @@ def read_table_csv(
     path: str,
     schema: T.StructType,
     rename: Mapping[str, str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Delimited table with a header; names are trimmed, then renamed.
+    """Delimited table with a header, its columns taken by trimmed name, then renamed.
 
-    The schema is explicit (no inference pass over the files) and columns are
-    matched by position, so stray blanks in a header line do no harm.
+    All columns are read as text, so there is no inference pass over the files;
+    those of ``schema`` are cast, and a value of another type is null.  Columns
+    may stand in any order among others; a missing one is an error.
+    ``multi_line`` allows line breaks in quotes, at the price of unsplit files.
     """
     df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", False)
-        .csv(path)
+        spark.read.option("header", True).option("inferSchema", False)
+        .option("multiLine", multi_line).option("escape", '"').csv(path)
     )
+    found = {c.strip(): c for c in reversed(df.columns)}
+    missing = [f.name for f in schema if f.name.strip() not in found]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
     rename = rename or {}
-    names = [c.strip() for c in df.columns]
-    return df.toDF(*[rename.get(c, c) for c in names])
+    return df.select(
+        *[
+            F.col(f"`{found[f.name.strip()]}`").try_cast(f.dataType).alias(rename.get(f.name, f.name.strip()))
+            for f in schema
+        ]
+    )
 
 
 def parse_day(c: Column | str, fmt: str = "dd-MMM-yy") -> Column:
@@ -87,9 +95,11 @@ def write_stage(
 ) -> str:
     """Persist a processed or final table; returns the path.
 
-    Rows of a partition value are spread over as many files as tasks hold
-    them, so one heavy value never funnels through one writer.
+    Rows are rebalanced by partition value first: small pieces are merged, and
+    a heavy value is split over several writers, so it never funnels through one.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -222,10 +232,39 @@ def fill_request_defaults(df: DataFrame) -> DataFrame:
     )
 
 
+CORRUPT = "_corrupt_record"
+#: With the text of a document that does not parse or holds a field of another type.
+CHECKED_SCHEMA = T.StructType([*BATCH_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def parse_batches(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``events``, ``budget_inr`` and the corrupt text of each document."""
+    options = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
+    parsed = df.select(*keep, F.from_json(json_col, CHECKED_SCHEMA, options).alias("b"))
+    return parsed.select(*keep, "b.*")
+
+
+def document_reason() -> Column:
+    """Why a parsed document gives no request; null if it does."""
+    return F.when(F.col(CORRUPT).isNotNull(), "malformed document").when(
+        F.coalesce(F.size("events"), F.lit(-1)) <= 0, "no events"
+    )
+
+
 def ingest_requests(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Batch documents (one JSON text per row) to one row per event request."""
-    parsed = df.select(*keep, F.from_json(json_col, BATCH_SCHEMA).alias("b"))
-    return explode_requests(parsed.select(*keep, "b.*"), keep)
+    """Batch documents (one JSON text per row) to one row per event request.
+
+    A document that does not parse or holds a field of another type gives
+    none: no value is invented for it.  See :func:`rejected_documents`.
+    """
+    parsed = parse_batches(df, json_col, keep).filter(F.col(CORRUPT).isNull())
+    return explode_requests(parsed, keep)
+
+
+def rejected_documents(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and ``reason`` of the documents that give no request."""
+    parsed = parse_batches(df, json_col, keep).withColumn("reason", document_reason())
+    return parsed.filter(F.col("reason").isNotNull()).select(*keep, "reason")
 
 
 def explode_requests(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ micro-batch that reads it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +20,7 @@ DOCUMENT_SCHEMA = T.StructType(
         T.StructField("request_id", T.LongType()),
         *tables.BATCH_SCHEMA.fields,
         T.StructField("place", T.StringType()),
+        T.StructField(tables.CORRUPT, T.StringType()),
     ]
 )
 
@@ -28,18 +30,28 @@ def read_request_files(spark: SparkSession, path: str, max_files: int = 1000) ->
     return (
         spark.readStream.schema(DOCUMENT_SCHEMA)
         .option("maxFilesPerTrigger", max_files)
+        .option("columnNameOfCorruptRecord", tables.CORRUPT)
         .json(path)
     )
 
 
 def plan_requests(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plans, rejected requests) of batch documents; works on tables and streams."""
+    """(plans, rejected) of batch documents; works on tables and streams.
+
+    Rejected are requests out of range, with their position, and documents
+    that are malformed or hold no event, without one.
+    """
     keep = ["request_id", "place"]
-    rows = tables.explode_requests(documents, keep)
+    if tables.CORRUPT not in documents.columns:
+        documents = documents.withColumn(tables.CORRUPT, F.lit(None).cast("string"))
+    bad = documents.withColumn("reason", tables.document_reason()).filter("reason is not null").select(
+        "request_id", F.lit(None).cast("int").alias("position"), F.array("reason").alias("reasons")
+    )
+    rows = tables.explode_requests(documents.filter(F.col(tables.CORRUPT).isNull()), keep)
     accepted, rejected = quality.split_requests(rows)
     events = accepted.withColumn("lead_days", planning.lead_days("place"))
     plans = planning.plan_events(events, keep=("request_id", "position"))
-    return plans, rejected.select("request_id", "position", "reasons")
+    return plans, rejected.select("request_id", "position", "reasons").unionByName(bad)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

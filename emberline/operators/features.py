@@ -265,6 +265,57 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
 
 
+UNKNOWN_CLASS = -1
+
+
+def encode(features: DataFrame, classes: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Encoded columns beside the numeric ones, with ``event_id``; a class not fitted is UNKNOWN_CLASS."""
+    enc = one_hot(label_encode(features, classes))
+    enc = enc.withColumns({f"{c}_enc": F.coalesce(f"{c}_enc", F.lit(UNKNOWN_CLASS)) for c in classes})
+    numeric = numeric_columns(enc)
+    return enc.select(
+        "event_id",
+        *[c for c in numeric if c not in ("event_id", "caterer_id", "shock_factor", "typical_dishes")],
+    )
+
+
+def fit_preparation(
+    features: DataFrame, classes: Mapping[str, Sequence[str]] | None = None
+) -> dict:
+    """Classes, medians, ranges and column lists of a feature table.
+
+    Medians are exact where values are missing; for the other columns, which
+    need one only when a later table has gaps, the approximate one is kept.
+    """
+    classes = classes or fit_label_classes(features)
+    enc = encode(features, classes)
+    scaled = scaled_columns(enc)
+    wanted = [*scaled, *[t for t in fv.TARGETS if t in enc.columns]]
+    gaps = columns_with_nulls(enc, wanted)
+    whole = [c for c in wanted if c not in gaps]
+    row = enc.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(f"m_{i}") for i, c in enumerate(whole)]).first() if whole else {}
+    medians = fit_medians(enc, gaps)
+    spare = {c: row[f"m_{i}"] for i, c in enumerate(whole) if row[f"m_{i}"] is not None}
+    ranges = fit_ranges(impute(enc, medians), wanted)
+    return {
+        "classes": {c: list(v) for c, v in classes.items()}, "medians": medians, "spare_medians": spare,
+        "ranges": ranges, "scaled": scaled, "columns": enc.columns,
+    }
+
+
+def apply_preparation(features: DataFrame, fitted: Mapping) -> DataFrame:
+    """Any feature table as the fitted one was prepared: same classes, medians and ranges.
+
+    Columns the table lacks (such as the targets of a new request) are left
+    out; a missing value takes the fitted median.
+    """
+    enc = encode(features, fitted["classes"])
+    medians = {**fitted["spare_medians"], **fitted["medians"]}
+    here = [c for c in fitted["columns"] if c in enc.columns]
+    filled = impute(enc.select(*here), {c: m for c, m in medians.items() if c in here})
+    return scale(filled, {c: tuple(r) for c, r in fitted["ranges"].items() if c in here})
+
+
 def normalise(
     features: DataFrame,
     classes: Mapping[str, Sequence[str]] | None = None,
@@ -273,16 +324,5 @@ def normalise(
 
     Returns the table (with ``event_id``) and the fitted parameters.
     """
-    classes = classes or fit_label_classes(features)
-    enc = one_hot(label_encode(features, classes))
-    numeric = numeric_columns(enc)
-    cols = [c for c in numeric if c not in ("event_id", "caterer_id", "shock_factor", "typical_dishes")]
-    enc = enc.select("event_id", *cols)
-    scaled = scaled_columns(enc)
-    # a median changes nothing where no value is missing, so only gaps are fitted
-    medians = fit_medians(enc, columns_with_nulls(enc, [*scaled, *fv.TARGETS]))
-    filled = impute(enc, medians)
-    ranges = fit_ranges(filled, [*scaled, *fv.TARGETS])
-    return scale(filled, ranges), {
-        "classes": classes, "medians": medians, "ranges": ranges, "scaled": scaled,
-    }
+    fitted = fit_preparation(features, classes)
+    return apply_preparation(features, fitted), fitted

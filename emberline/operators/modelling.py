@@ -170,9 +170,11 @@ class Models:
     features: list[str]
     stockout_features: list[str]
     ranges: dict[str, tuple[float, float]]
+    preparation: dict | None = None
 
     def parameters(self) -> dict:
         return {
+            "preparation": self.preparation,
             "features": self.features,
             "stockout_features": self.stockout_features,
             "ranges": {k: list(v) for k, v in self.ranges.items()},
@@ -240,11 +242,12 @@ def predict_all(df: DataFrame, models: Models) -> DataFrame:
     return df
 
 
-def score_events(df: DataFrame, models: Models) -> DataFrame:
+def score_events(df: DataFrame, models: Models, keep: Sequence[str] = ()) -> DataFrame:
     """Fuel prediction in kg and stockout probability in % (1 decimal) per event.
 
-    ``df`` has passed the same preparation as the training rows.  A missing
-    model gives a null column.
+    ``df`` has passed the same preparation as the training rows; see
+    :func:`score_requests` for one that has not.  Columns in ``keep`` stay.  A
+    missing model gives a null column.
     """
     kg = F.lit(None).cast("double")
     risk = F.lit(None).cast("double")
@@ -256,10 +259,17 @@ def score_events(df: DataFrame, models: Models) -> DataFrame:
         out = apply_model(out, models.fitted["gbt_stockout"], ["probability"])
         risk = rnd(vector_to_array("probability")[1] * F.lit(100.0), 1)
     return out.select(
-        "event_id", kg.alias("ml_consumption_kg"), risk.alias("ml_stockout_risk_pct")
+        "event_id", *keep, kg.alias("ml_consumption_kg"), risk.alias("ml_stockout_risk_pct")
     )
 
 
+def score_requests(features: DataFrame, models: Models) -> DataFrame:
+    """Scores of new feature rows, prepared with what was fitted in training."""
+    if models.preparation is None:
+        raise ValueError("these models carry no preparation")
+    return score_events(ft.apply_preparation(features, models.preparation), models)
+
+
 # ---- evaluation ------------------------------------------------------------
 
 COMPARED = (
@@ -399,5 +409,5 @@ def load_models(spark: SparkSession, path: str, names: Sequence[str] = MODEL_NAM
     doc = json.loads(spark.read.parquet(f"{path}/parameters").first()["doc"])
     return Models(
         fitted, doc["features"], doc["stockout_features"],
-        {k: tuple(v) for k, v in doc["ranges"].items()},
+        {k: tuple(v) for k, v in doc["ranges"].items()}, doc.get("preparation"),
     )

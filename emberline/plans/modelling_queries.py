@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import rnd
-from emberline.operators import modelling, planning, quality, reports
+from emberline.operators import features, modelling, planning, quality, reports
 from emberline.plans import views as v
 from emberline.sources.staging import new_path, stage
 
@@ -159,7 +159,38 @@ def _save_load(spark, d):
     )
 
 
+def _serve(spark, d):
+    """Prepare and fit on the training part, save, load, and score the held-out part.
+
+    The features are the leak-free ones; the held-out rows are prepared with
+    the training part's classes, medians and ranges and carry no target.
+    """
+    rows = modelling.add_split(v.model_inputs(v.feature_table(spark, d)))
+    train, rest = rows.filter("is_train = 1").drop("is_train"), rows.filter("is_train = 0").drop("is_train")
+    fitted = features.fit_preparation(train)
+    table = stage(modelling.add_validation(features.apply_preparation(train, fitted)), "serving-rows")
+    columns, stockout = modelling.feature_sets(table, "leak_free")
+    columns = [c for c in columns if c != "is_validation"]
+    model = modelling.boosted_regressor(columns, "consumption_kg", "kg_gbt", QUERY_SETTINGS).fit(table)
+    models = modelling.Models(
+        {"gbt_consumption": model}, columns, stockout,
+        {"consumption_kg": tuple(fitted["ranges"]["consumption_kg"])}, fitted,
+    )
+    path = new_path(spark, "serving")
+    modelling.save_models(spark, models, path)
+    loaded = modelling.load_models(spark, path)
+    new = rest.drop(*fv.TARGETS, *fv.TARGET_DERIVED, modelling.LABEL)
+    a = modelling.score_requests(new, models).select("event_id", F.col("ml_consumption_kg").alias("kg"))
+    b = modelling.score_requests(new, loaded).select("event_id", F.col("ml_consumption_kg").alias("kg2"))
+    return a.join(b, "event_id").agg(
+        F.count("*").alias("n_events"),
+        F.count_if(F.col("kg") == F.col("kg2")).alias("n_same"),
+        F.count_if(F.col("kg").between(*fv.CONSUMPTION_LIMITS)).alias("n_in_range"),
+    )
+
+
 MODEL_QUERIES = {
+    "held_out_serving_m7": _serve,
     "split_m1": _split,
     "oversample_m4": _oversample,
     "append_rows_u1": _append,

@@ -50,3 +50,5 @@ MODEL_SQL["association_top_l1"] = q(_MERGED, """select feature, consumption, coa
 MODEL_SQL["save_load_models_s5"] = "select count(*) n_events, count(*) n_same, 5 n_models from orders"
 MODEL_SQL["append_rows_u1"] = q(_TRAIN, """select ran_out_of_gas, count(*) n_rows, count(distinct event_id) n_events
  from (select event_id, ran_out_of_gas from tr union all select event_id, ran_out_of_gas from aug) group by 1""")
+MODEL_SQL["held_out_serving_m7"] = q(EVD, f"""select count(*) n_events, count(*) n_same, count(*) n_in_range
+ from (select {_SPLIT} is_train from evd) where is_train = 0""")

@@ -111,7 +111,10 @@ def shift_rank(
 ) -> DataFrame:
     """Plans of spike days ranked by risk, then id; the first half are candidates."""
     spikes = spike_days(plans, as_of, capacity, days, keys)
-    on_spike = dimension_join(plans, spikes, [*keys, DAY], "left_semi")
+    return _rank_spikes(dimension_join(plans, spikes, [*keys, DAY], "left_semi"), keys)
+
+
+def _rank_spikes(on_spike: DataFrame, keys) -> DataFrame:
     risk_tenths = F.floor(F.col("stockout_risk_pct") * F.lit(10.0) + F.lit(0.5)).cast("int")
     ranked = ordered_position(on_spike, [*keys, DAY], risk_tenths, "event_id")
     return ranked.withColumns(
@@ -137,19 +140,23 @@ def shift_plan(
     safe date; ``reference`` requires the new date to be on or after it, which
     no earlier date satisfies, so nothing moves.  Each order moves at most
     once.  All plans are returned, with ``original_order_date`` and
-    ``shifted_days``.
+    ``shifted_days``.  Plans of other days pass through, so only those of spike
+    days are moved and ranked.
     """
     if guard not in ("documented", "reference"):
         raise ValueError("guard must be 'documented' or 'reference'")
-    candidates = shift_rank(plans, as_of, capacity, days, keys).filter("is_candidate")
+    spikes = spike_days(plans, as_of, capacity, days, keys).withColumn("_spike", F.lit(True))
+    marked = dimension_join(plans, spikes, [*keys, DAY])
+    ranked = _rank_spikes(marked.filter("_spike").drop("_spike"), keys)
     step = F.when(F.col("stockout_risk_pct") < 15, 2).otherwise(1)
     target = F.date_sub(F.col(DAY), step)
     latest = F.col("latest_safe_order_date")
     allowed = target <= latest if guard == "documented" else target >= latest
-    moves = stage(
-        candidates.filter(allowed).select("event_id", step.alias("_step")), "shift-moves"
+    moves = F.when(F.col("is_candidate") & allowed, step)
+    out = ranked.select(*plans.columns, moves.alias("_step")).unionByName(
+        marked.filter("_spike is null").select(*plans.columns, F.lit(None).cast("int").alias("_step"))
     )
-    out = plans.join(moves, "event_id", "left").withColumns(
+    out = out.withColumns(
         {
             "original_order_date": F.col(DAY),
             "shifted_days": F.coalesce("_step", F.lit(0)),

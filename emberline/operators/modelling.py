@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -26,7 +27,7 @@ from emberline import fixed_values as fv
 from emberline.functions.expr import count_if, flag, hash_uniform, rnd
 from emberline.operators import features as ft
 from emberline.operators import metrics
-from emberline.sources.staging import shared_dir, stage
+from emberline.sources.staging import run_dir, stage
 
 LABEL = "ran_out_of_gas"
 COPY_BLOCK = 1000  # copies of a row made by one task at a time
@@ -42,6 +43,7 @@ class TreeSettings:
     rate: float = 0.05
     subsample: float = 0.8
     validation_share: float = 0.1
+    patience: int = 20
     seed: int = 42
 
 
@@ -130,7 +132,7 @@ def append_rows(train: DataFrame, extra: DataFrame) -> DataFrame:
 def _cut_lineage(spark: SparkSession) -> None:
     """Boosting checkpoints its running predictions when a folder is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(f"{run_dir(spark)}/checkpoints")
 
 
 def _assembler(columns: Sequence[str]) -> VectorAssembler:
@@ -140,12 +142,42 @@ def _assembler(columns: Sequence[str]) -> VectorAssembler:
 def boosted_regressor(columns: Sequence[str], label: str, pred: str, s: TreeSettings) -> Pipeline:
     gbt = GBTRegressor(
         labelCol=label, predictionCol=pred, maxIter=s.trees, maxDepth=s.regressor_depth,
-        stepSize=s.rate, subsamplingRate=s.subsample, validationIndicatorCol="is_validation",
-        validationTol=0.0, seed=s.seed,
+        stepSize=s.rate, subsamplingRate=s.subsample, seed=s.seed,
     )
     return Pipeline(stages=[_assembler(columns), gbt])
 
 
+def stop_after(errors: Sequence[float], patience: int) -> int:
+    """Number of trees up to the best error before ``patience`` trees in a row bring none better."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_boosted_regressor(
+    table: DataFrame, columns: Sequence[str], label: str, pred: str, s: TreeSettings
+) -> PipelineModel:
+    """Boosting that stops after ``s.patience`` trees without a better validation error.
+
+    ``table`` has the boolean ``is_validation``; its rows are not trained on.
+    All trees are grown first; if a shorter ensemble is better, it is grown
+    anew, with the same seed.
+    """
+    train = table.filter(~F.col("is_validation"))
+    model = boosted_regressor(columns, label, pred, s).fit(train)
+    if s.trees <= s.patience:
+        return model
+    held = model.stages[0].transform(table.filter("is_validation"))
+    if held.isEmpty():
+        return model
+    n = stop_after(model.stages[1].evaluateEachIteration(held, "squared"), s.patience)
+    return model if n == s.trees else boosted_regressor(columns, label, pred, replace(s, trees=n)).fit(train)
+
+
 def forest_regressor(columns: Sequence[str], label: str, pred: str, s: TreeSettings) -> Pipeline:
     forest = RandomForestRegressor(
         labelCol=label, predictionCol=pred, numTrees=s.trees,
@@ -212,13 +244,17 @@ def train_models(
     train, held_out = marked.filter("is_train = 1"), marked.filter("is_train = 0")
     extra = oversample(train, stockout, noisy=[c for c in scaled if c in stockout])
     balanced = stage(append_rows(train, extra), "balanced-rows")
-    fitted = {
-        "gbt_consumption": boosted_regressor(regression, "consumption_kg", "kg_gbt", settings).fit(train),
-        "forest_consumption": forest_regressor(regression, "consumption_kg", "kg_forest", settings).fit(train),
-        "gbt_cylinders": boosted_regressor(regression, "cylinders_needed", "cyl_gbt", settings).fit(train),
-        "forest_cylinders": forest_regressor(regression, "cylinders_needed", "cyl_forest", settings).fit(train),
-        "gbt_stockout": boosted_classifier(stockout, LABEL, "stockout", settings).fit(balanced),
+    jobs = {
+        "gbt_consumption": lambda: fit_boosted_regressor(train, regression, "consumption_kg", "kg_gbt", settings),
+        "forest_consumption": lambda: forest_regressor(regression, "consumption_kg", "kg_forest", settings).fit(train),
+        "gbt_cylinders": lambda: fit_boosted_regressor(train, regression, "cylinders_needed", "cyl_gbt", settings),
+        "forest_cylinders": lambda: forest_regressor(regression, "cylinders_needed", "cyl_forest", settings).fit(train),
+        "gbt_stockout": lambda: boosted_classifier(stockout, LABEL, "stockout", settings).fit(balanced),
     }
+    # the fits do not depend on each other; their jobs share the cluster
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = {name: pool.submit(job) for name, job in jobs.items()}
+        fitted = {name: job.result() for name, job in running.items()}
     wanted = {c: tuple(ranges[c]) for c in ("consumption_kg", "cylinders_needed")}
     return Models(fitted, regression, stockout, wanted), held_out
 

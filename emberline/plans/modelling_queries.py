@@ -171,7 +171,7 @@ def _serve(spark, d):
     table = stage(modelling.add_validation(features.apply_preparation(train, fitted)), "serving-rows")
     columns, stockout = modelling.feature_sets(table, "leak_free")
     columns = [c for c in columns if c != "is_validation"]
-    model = modelling.boosted_regressor(columns, "consumption_kg", "kg_gbt", QUERY_SETTINGS).fit(table)
+    model = modelling.fit_boosted_regressor(table, columns, "consumption_kg", "kg_gbt", QUERY_SETTINGS)
     models = modelling.Models(
         {"gbt_consumption": model}, columns, stockout,
         {"consumption_kg": tuple(fitted["ranges"]["consumption_kg"])}, fitted,

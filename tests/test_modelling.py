@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,21 @@ def test_metadata_document(spark, sf_dir):
     lo, hi = features.fit_ranges(e, ["headcount"])["headcount"]
     assert (doc["features"]["min"], doc["features"]["max"]) == ([lo], [hi])
     assert json.loads(doc["label_maps"]) == classes
+
+
+def test_patience():
+    assert modelling.stop_after([5, 4, 4.5, 3, 3.5, 3.2, 3.1], 3) == 4
+    assert modelling.stop_after([5, 4, 4.5, 4.2, 4.1, 1], 3) == 2
+    assert modelling.stop_after([3, 2, 1], 20) == 3
+
+
+def test_boosting_goes_on_past_a_worse_tree(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random(300)
+    rows = [(float(a), float(np.sin(9 * a) + rng.normal(0, 0.3)), bool(i % 5 == 0)) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, y double, is_validation boolean")
+    s = modelling.TreeSettings(trees=12, rate=0.5, regressor_depth=3, patience=4)
+    model = modelling.fit_boosted_regressor(df, ["x"], "y", "p", s)
+    whole = modelling.boosted_regressor(["x"], "y", "p", s).fit(df.filter("not is_validation"))
+    errors = whole.stages[1].evaluateEachIteration(whole.stages[0].transform(df.filter("is_validation")), "squared")
+    assert model.stages[1].getNumTrees == modelling.stop_after(errors, 4)

@@ -84,4 +84,48 @@ SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE
 FROM judged j LEFT JOIN t_10 t ON t.host = j.host LEFT JOIN d_10 d ON d.host = j.host
 """
 
-SQL = {"op5_exact_dedup": OP5, "op9_near_dedup": OP9, "op10_url_filter": OP10}
+def _mixing(rounds: int = 8, levels: int = 20) -> str:
+    """Raking and the level search, step by step."""
+    steps = [
+        r"""WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t,
+  ('0x' || substr(md5('mix:' || doc_id), 1, 8))::UBIGINT::DOUBLE / 4294967296::DOUBLE AS u FROM documents),
+rows AS (SELECT doc_id, source, lang, u, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS tokens, CASE
+  WHEN length(regexp_replace(t, '[^#$%&*|<>{}=_\[\]]', '', 'g')) * 25 > length(t) THEN 'markup'
+  WHEN (length(t) - length(replace(t, chr(10), ''))) * 60 > length(t) THEN 'list'
+  WHEN length(t) < 600 THEN 'note' ELSE 'article' END AS topic FROM d),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL HAVING sum(tokens) > 0)"""
+    ]
+    for name, power in (("source", 0.5), ("lang", 0.5), ("topic", 1.0)):
+        steps.append(
+            f"t_{name} AS MATERIALIZED (SELECT v, p / sum(p) OVER () AS target FROM (SELECT {name} AS v, "
+            f"pow(sum(tokens), {power}::DOUBLE) AS p FROM cells GROUP BY 1))"
+        )
+    steps.append("r0 AS (SELECT source, lang, topic, tokens, tokens / sum(tokens) OVER () AS weight FROM cells)")
+    k = 0
+    for _ in range(rounds):
+        for name in ("source", "lang", "topic"):
+            steps.append(
+                f"r{k + 1} AS (SELECT source, lang, topic, tokens, weight * (target / sum(weight) OVER (PARTITION BY {name})) AS weight "
+                f"FROM r{k} JOIN t_{name} ON v = {name})"
+            )
+            k += 1
+    steps.append(f"fitted AS MATERIALIZED (SELECT * FROM r{k})")
+    steps.append("l0 AS MATERIALIZED (SELECT 0.5::DOUBLE * sum(tokens) AS wanted, 0.5::DOUBLE * sum(tokens) / sum(weight) AS level FROM fitted)")
+    for j in range(levels):
+        steps.append(
+            f"s{j} AS (SELECT wanted, level, (wanted - coalesce(sum(tokens) FILTER (WHERE weight * level >= tokens), 0)) / "
+            f"nullif(sum(weight) FILTER (WHERE weight * level < tokens), 0) AS rise FROM fitted, l{j} GROUP BY 1, 2),"
+            f"l{j + 1} AS MATERIALIZED (SELECT wanted, CASE WHEN rise > level * (1 + 1e-9) THEN rise ELSE level END AS level FROM s{j})"
+        )
+    steps.append(
+        f"p AS (SELECT source, lang, topic, weight, least(1, level * weight / tokens) AS probability FROM fitted, l{levels})"
+    )
+    return ",\n".join(steps) + """
+SELECT doc_id, source, lang, topic, tokens, floor(coalesce(weight, 0) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS cell_weight,
+  floor(pr * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS probability, u < pr AS kept
+FROM (SELECT *, CASE WHEN tokens > 0 THEN coalesce(probability, 0) ELSE 0::DOUBLE END AS pr
+  FROM rows LEFT JOIN p USING (source, lang, topic))
+"""
+
+
+SQL = {"op1_mixing": _mixing(), "op5_exact_dedup": OP5, "op9_near_dedup": OP9, "op10_url_filter": OP10}

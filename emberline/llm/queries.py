@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.functions.expr import rnd
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,8 +27,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_lang").alias("lang"),
         F.col("_topic").alias("topic"),
         F.col("_tokens").alias("tokens"),
-        F.round("_weight", 9).alias("cell_weight"),
-        F.round("_probability", 9).alias("probability"),
+        rnd("_weight", 9).alias("cell_weight"),
+        rnd("_probability", 9).alias("probability"),
         F.col("_kept").alias("kept"),
     )
 

@@ -247,7 +247,7 @@ def identify(
     return rows.mapInArrow(_score_batches(model), "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, training: Column, least: float = 0.5, **columns) -> DataFrame:
+def keep_known(docs: DataFrame, training: Column, least: float = 0.3, **columns) -> DataFrame:
     """The rows of ``docs`` whose language is found with a score of at least ``least``, all columns.
 
     Language and text are read from the row itself, so null and repeated ids do

@@ -17,6 +17,7 @@ from emberline.llm.mixing import sample_mixture
 from emberline.llm.near_dedup import near_dedup
 from emberline.llm.packing import pack
 from emberline.llm.queries import fold, table
+from emberline.llm.shipping import ship
 from emberline.sources.staging import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,6 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the others go."""
+    ship(spark)
     return keep_known(docs, fold(4) != 2)
 
 
@@ -34,6 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship(spark)
     return near_dedup(docs)
 
 
@@ -44,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
+    ship(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

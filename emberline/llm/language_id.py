@@ -21,7 +21,7 @@ from emberline.llm import kernels as K
 from emberline.llm.sampling import bounded_sample
 
 BUCKETS = 1 << 15
-SAMPLE = 6000  # labelled documents the weights are fitted on, at most
+SAMPLE = 3000  # labelled documents the weights are fitted on, at most
 SCALE = 100.0  # brings relative frequencies to the order of 1
 UNKNOWN = "und"
 
@@ -134,7 +134,21 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "x"])
 
 
-def _fit(features: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, epochs: int = 3):
+@dataclass
+class _Features:
+    """Class, buckets and TF-IDF values of each sampled text; the last bucket is the bias."""
+
+    label: list[int]
+    cut: np.ndarray
+    counts: np.ndarray
+    idf: np.ndarray
+
+    def __getitem__(self, i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        idx, n = self.counts[:, self.cut[i] : self.cut[i + 1]]
+        return self.label[i], np.append(idx, BUCKETS), np.append(SCALE * n / n.sum() * self.idf[idx], 1.0)
+
+
+def _fit(features: _Features, rows: list[int], n_classes: int, epochs: int = 3):
     """Weights and bias by follow-the-regularised-leader with L1 and L2 penalties."""
     alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.001
     z = np.zeros((BUCKETS + 1, n_classes))
@@ -147,7 +161,7 @@ def _fit(features: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, epo
 
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(features)):
+        for i in order.permutation(rows):
             y, idx, x = features[i]
             zi, si = z[idx], s[idx]
             w = weights(zi, si)
@@ -175,10 +189,15 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training:
     )
     sample.sort(key=lambda r: (r["lang"], r["x"]))
     sample = [sample[i] for i in np.random.default_rng(3).permutation(len(sample))]
-    sample = [(r["lang"], np.frombuffer(r["x"], np.int32).reshape(2, -1)) for r in sample]
-    sample = [r for r in sample if r[1].size]
-    if not sample:
+    langs = [r["lang"] for r in sample if len(r["x"])]
+    if not langs:
         return None
+    # two joined arrays instead of thousands of small ones
+    cut = np.cumsum([0, *[len(r["x"]) // 8 for r in sample if len(r["x"])]])
+    joined = np.empty((2, cut[-1]), np.int32)
+    for k, x in enumerate(r["x"] for r in sample if len(r["x"])):
+        joined[:, cut[k] : cut[k + 1]] = np.frombuffer(x, np.int32).reshape(2, -1)
+    del sample
     frequency = np.zeros(BUCKETS)
     total = 1
     for r in counts:
@@ -187,15 +206,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training:
         else:
             frequency[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + frequency)) + 0.1
-    classes = sorted({lang for lang, _ in sample})
+    classes = sorted(set(langs))
     number = {c: i for i, c in enumerate(classes)}
-    features = []
-    for lang, (idx, n) in sample:
-        x = SCALE * n / n.sum() * idf[idx]
-        features.append((number[lang], np.append(idx, BUCKETS), np.append(x, 1.0)))
-    held = features[::5] if len(features) >= 20 else features
-    kept = [f for i, f in enumerate(features) if i % 5] if len(features) >= 20 else features
-    w, bias = _fit(kept, len(classes))
+    features = _Features([number[lang] for lang in langs], cut, joined, idf)
+    every = range(len(langs))
+    many = len(langs) >= 20
+    held = [features[i] for i in every if i % 5 == 0 or not many]
+    w, bias = _fit(features, [i for i in every if i % 5 or not many], len(classes))
     full = np.vstack([w, bias])
     logits = np.array([x @ full[idx] for _, idx, x in held])
     y = np.array([f[0] for f in held])

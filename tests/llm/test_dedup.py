@@ -12,7 +12,7 @@ from emberline.llm.exact_dedup import exact_dedup, exact_groups
 from emberline.llm.near_dedup import near_dedup, near_groups, superminhash
 from emberline.llm.oracle import SQL
 from emberline.llm.queries import QUERIES
-from emberline.llm.suffix_dedup import SPAN, minimisers, remove_repeats, suffix_order
+from emberline.llm.suffix_dedup import SPAN, minimisers, pack_ids, remove_repeats, suffix_order, unpack_ids
 
 
 def buffer(texts):
@@ -208,3 +208,8 @@ def test_repeats_awkward(awkward, empty):
     assert all(r.n_removed == r.n_bytes and r.n_spans == 1 for r in rows if r.doc_id == 2)
     assert [r.n_bytes for r in rows if r.doc_id == 3] == [0]
     assert remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[5], [7, 3, 9], [-5, 2**40], [-(2**63), 2**63 - 1, 0]])
+def test_packed_ids(ids):
+    assert unpack_ids(pack_ids(np.array(ids))).tolist() == ids

@@ -15,7 +15,6 @@ table of bounded size, are broadcast; the rest are joined.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +34,7 @@ PROBES = 4
 MIN_PAIR = 2  # pairs seen once are left to the words' own frequency
 HEAD_WORDS = 1 << 18  # words whose exact counts are broadcast, at most
 SAMPLE = 1000  # training texts the mixing shares are fitted on, at most
-FLUSH_WORDS = 1 << 21  # held by a task before it sends its counts
+FLUSH_WORDS = 1 << 20  # held by a task before it sends its counts
 LEVELS = 96
 #: Smallest count of each level, at steps of the square root of 2.
 LOWER = np.ceil(2 ** (np.arange(LEVELS) / 2) - 1e-9)
@@ -167,7 +166,14 @@ def _positions(low: np.ndarray, lv: np.ndarray | int, size: int) -> Iterator[np.
 def _segment_batches(bits: int, size: int, least: tuple[int, int]):
     """The part of the filter that holds the n-grams of a part."""
 
+    def packed(part: int, segment: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()])],
+            names=["part", "segment"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, segment = -1, np.zeros(size, bool)  # both kinds of a part stand together
         for batch in batches:
             for part, kind, keys, counts in zip(*(batch.column(k).to_pylist() for k in ("part", "kind", "keys", "counts"))):
                 n = np.frombuffer(counts, np.uint32)
@@ -175,15 +181,16 @@ def _segment_batches(bits: int, size: int, least: tuple[int, int]):
                 if kind == 0:
                     low = _place(low, bits)[1] ^ (_WORD >> np.uint64(16))
                 lv = level(n[n >= least[kind]])
-                segment = np.zeros(size, bool)
+                if part != last:
+                    if last >= 0:
+                        yield packed(last, segment)
+                    last, segment = part, np.zeros(size, bool)
                 for q in range(1, int(lv.max()) + 1 if len(lv) else 0):
                     low, lv = low[lv >= q], lv[lv >= q]
                     for p in _positions(low, q, size):
                         segment[p] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()])],
-                    names=["part", "segment"],
-                )
+        if last >= 0:
+            yield packed(last, segment)
 
     return run
 
@@ -240,7 +247,7 @@ class Model:
 
 def _share_batches(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = pickle.loads(held.value)
+        model: Model = held.value
         for batch in batches:
             data, offsets = K.utf8(batch.column(0))
             for lo, hi in K.slices(offsets):
@@ -277,7 +284,7 @@ SCORED = "_row long, doc_id long, n_tokens long, base double, known long, score
 
 def _score_batches(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = pickle.loads(held.value)
+        model: Model = held.value
         task = TaskContext.get()
         row = (task.partitionId() if task else 0) << 40
         scale = np.log10(model.n + 0.5 * (model.v + 1))
@@ -339,7 +346,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")
     known = docs.filter(training)
-    slots = max(16, 2 * docs.rdd.getNumPartitions())
+    slots = max(16, 4 * docs.rdd.getNumPartitions())
     bits = min(16, (slots - 1).bit_length())
     counted = stage(
         known.select(text).mapInArrow(_count_batches(bits), COUNTED).groupBy("part")
@@ -369,6 +376,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     data = np.zeros((1 << bits, size // 8), np.uint8)
     for r in segments:
         data[r["part"]] |= np.frombuffer(r["segment"], np.uint8)
+    del segments
     words = counted.filter("kind = 0").select("keys", "counts").mapInArrow(_word_batches, "word long, n long")
     above = grams[0][::-1].cumsum()[::-1]  # words of at least each level
     cut = int(np.flatnonzero(above <= HEAD_WORDS)[0]) if (above <= HEAD_WORDS).any() else LEVELS
@@ -382,12 +390,12 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         head_word[order], head["n"].to_numpy(np.int64)[order],
     )
     sample = bounded_sample(known, F.col(f"`{id_col}`"), SAMPLE).select(text)
-    first = spark.sparkContext.broadcast(pickle.dumps(model))
+    first = spark.sparkContext.broadcast(model)
     model.share = _fit_shares(
         sample.mapInArrow(_share_batches(first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     )
     first.unpersist()
-    held = spark.sparkContext.broadcast(pickle.dumps(model))
+    held = spark.sparkContext.broadcast(model)
     scored = stage(
         docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text).mapInArrow(_score_batches(held), SCORED),
         "scored",

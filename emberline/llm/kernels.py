@@ -8,6 +8,7 @@ A-Z; they and their shingles are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,6 +137,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), out
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """The row of each element."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -12,7 +12,7 @@ from emberline.llm.exact_dedup import exact_dedup, exact_groups
 from emberline.llm.near_dedup import near_dedup, near_groups, superminhash
 from emberline.llm.oracle import SQL
 from emberline.llm.queries import QUERIES
-from emberline.llm.suffix_dedup import SPAN, minimisers, pack_ids, remove_repeats, suffix_order, unpack_ids
+from emberline.llm.suffix_dedup import SPAN, minimisers, pack_ids, remove_repeats, runs, suffix_order, unpack_ids
 
 
 def buffer(texts):
@@ -196,6 +196,27 @@ def test_repeats(spark, hot_least):
     assert got == brute_removal(rows)
 
 
+def test_runs_stay_in_their_row():
+    rng = np.random.default_rng(8)
+    opening = "".join(map(chr, rng.integers(97, 123, 90)))
+    texts = ["", "ten bytes.", *(opening + "".join(map(chr, rng.integers(97, 123, 40))) for _ in range(3))]
+    key, row, start, end = runs(*buffer(texts), 4)
+    for r, t in enumerate(texts):
+        alone = runs(*buffer([t]), 4)
+        mine = row == r
+        assert all((a == b[mine]).all() for a, b in zip((alone[0], *alone[2:]), (key, start, end)))
+
+
+def test_repeats_after_short_rows(spark):
+    """A slice that starts with short rows: openings shared by the documents that follow them."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    opening = draw(70)
+    rows = list(enumerate(["", "ten bytes.", *(opening + draw(60) for _ in range(6))]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in remove_repeats(docs).collect()) == brute_removal(rows)
+
+
 def test_repeats_of_the_table(documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in remove_repeats(documents).collect()) == brute_removal(rows)

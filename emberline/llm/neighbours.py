@@ -56,6 +56,19 @@ def candidates(strings: np.ndarray, order: np.ndarray, query: np.ndarray, enough
 FOUND = "query_id long, vec_id long, score double"
 
 
+def _once(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, those that repeat an id with the same vector once."""
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    keep = np.ones(len(ids), bool)
+    begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(ids)))
+    for s, n in zip(begin[size > 1], size[size > 1]):
+        keep[s : s + n] = False
+        keep[s + np.unique(x[s : s + n], axis=0, return_index=True)[1]] = True
+    return x[keep], ids[keep]
+
+
 def _search(k: int, trees: int, enough: int):
     def search(table: pa.Table) -> pa.Table:
         is_query = np.asarray(table.column("is_query").to_numpy())
@@ -63,10 +76,8 @@ def _search(k: int, trees: int, enough: int):
         vectors = table.column("x").combine_chunks()
         size = len(vectors[0])
         x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
-        q, q_ids = x[is_query], ids[is_query]
-        p, p_ids = x[~is_query], ids[~is_query]
-        by_id = np.argsort(p_ids, kind="stable")
-        p, p_ids = p[by_id], p_ids[by_id]
+        q, q_ids = _once(x[is_query], ids[is_query])
+        p, p_ids = _once(x[~is_query], ids[~is_query])
         if len(q) == 0 or len(p) == 0:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         # equal vectors are one leaf, so a common one does not crowd out others

@@ -178,6 +178,18 @@ def test_neighbours_in_shards(spark):
     assert [j for _, j in got[600]] == [500, *range(501, 510)] and {s for s, _ in got[600]} == {0.0}
 
 
+@pytest.mark.parametrize("shard", [8192, 20])
+def test_neighbours_repeated_rows(spark, shard):
+    x = np.random.default_rng(11).normal(size=(30, 8))
+    x[7] = x[3]
+    rows = [(50 * i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in nearest(df, F.col("vec_id") % 100 == 0, shard=shard).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((pytest.approx(r.score), r.vec_id))
+    assert {q: list(map(tuple, v)) for q, v in got.items()} == brute_nearest(rows, 10)
+
+
 def test_neighbours_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

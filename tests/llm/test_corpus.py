@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from test_dedup import brute_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -285,6 +286,24 @@ def test_pipeline(spark, sf_dir, documents, reference):
     check_pieces(corpus_pipeline.run(spark, sf_dir).collect(), texts, reference)
 
 
+def test_pipeline_near_copies(spark):
+    """The stage against brute force at 0.8, with pairs on both sides of it."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"v{i}" for i in range(9000)]
+    texts, between = [], 0
+    for cut in (5, 8, 10, 11, 12, 13, 14, 16, 20) * 3:
+        base = list(rng.choice(vocabulary, 104))
+        copy = [*base[:-cut], *rng.choice(vocabulary, cut)]
+        texts += [" ".join(base), " ".join(copy)]
+        between += 0.8 <= (100 - cut) / (100 + cut) < 0.85
+    assert between
+    want = {d for d, (_, c) in brute_components(enumerate(texts), 80).items() if d == c}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == want
+    assert len(want) < len({d for d, (_, c) in brute_components(enumerate(texts), 85).items() if d == c})
+
+
 def test_pipeline_awkward(spark, awkward, empty, sf_dir):
     for docs in (awkward, empty):
         for _, step in corpus_pipeline.STAGES:

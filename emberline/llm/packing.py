@@ -58,6 +58,18 @@ class _Numbers(dict):
         return n
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the JSON file beside a file of ranks, with their ids."""
+    import json
+    from pathlib import Path
+
+    said = json.loads(Path(path).with_suffix(".json").read_text(encoding="utf-8"))["added_tokens"]
+    for t in said:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["id"] >= 1 << 16:
+            raise ValueError(f"added token {t['content']!r} is not matched as it stands")
+    return {t["content"]: t["id"] for t in said}
+
+
 class PieceTokenizer:
     """Token ids of texts, each distinct unit encoded once.
 
@@ -65,6 +77,8 @@ class PieceTokenizer:
     after a space, so the ids of a text are the ids of its units joined: words
     with the space before them, and runs of white space.  The vocabulary is the
     file of ranks, which gives the ids of the JSON file of the same vocabulary.
+    The added tokens of that JSON file are found in the text first, as they
+    stand, and are units of their own with their own id.
     """
 
     def __init__(self, path: str):
@@ -78,10 +92,21 @@ class PieceTokenizer:
         self.coder = tiktoken.Encoding(
             path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self.split = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        self.added = added_tokens(path)
+        self.pieces = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        # the longest of those that start at one place
+        between = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        self.apart = re.compile(f"({between})").split if between else None
         self.spaces = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
         self._clear()
 
+    def split(self, text: str) -> list[str]:
+        """Units of a text; the places of the added tokens end the text around them."""
+        if not any(a in text for a in self.added):
+            return self.pieces(text)
+        parts = enumerate(self.apart(text))
+        return [u for k, part in parts for u in ([part] if k % 2 else self.pieces(part))]
+
     def _clear(self) -> None:
         self.known = _Numbers()
         self.ids = np.zeros(1 << 16, np.uint16)
@@ -92,12 +117,12 @@ class PieceTokenizer:
     def _learn(self) -> None:
         """Encode the units numbered since the last call."""
         units, self.known.new = self.known.new, []
-        blank = np.array([u[-1] in self.spaces for u in units], bool)
+        blank = np.array([u[-1] in self.spaces or u in self.added for u in units], bool)
         # a line break before each unit is always a pre-token of its own
-        words = [u for u in units if u[-1] not in self.spaces] if blank.any() else units
+        words = [u for u, b in zip(units, blank) if not b] if blank.any() else units
         joined = np.array(self.coder("\n" + "\n".join(words) if words else ""), np.uint16)
         breaks = np.flatnonzero(joined == NEWLINE_ID)
-        alone = [self.coder(u) for u in units if u[-1] in self.spaces] if blank.any() else []
+        alone = [[self.added[u]] if u in self.added else self.coder(u) for u, b in zip(units, blank) if b] if blank.any() else []
         flat = np.concatenate([joined, *[np.array(x, np.uint16) for x in alone]])
         size = np.zeros(len(units), np.int64)
         lo = np.zeros(len(units), np.int64)

@@ -40,6 +40,28 @@ def test_same_ids(pieces, reference, text):
     assert pieces.encode(text).tolist() == reference(text)
 
 
+@pytest.fixture(scope="module")
+def default():
+    """The JSON file's tokenizer in its default state, which gives added tokens their own ids."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", "it's", " b  ", "é1", "<|", "|>"]), max_size=9))
+def test_same_ids_with_added_tokens(pieces, default, parts):
+    text = "".join(parts)
+    assert pieces.encode(text).tolist() == default(text)
+
+
+def test_packing_added_token(spark, default):
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: None, 4: "plain"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = pack(docs, PATH).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {1: 5, 2: 2, 3: 1, 4: len(default("plain")) + 1}
+    check_pieces(rows, texts, default)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 9000), max_size=60))
 def test_packing_round_trip(lengths):

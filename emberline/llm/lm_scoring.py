@@ -3,7 +3,10 @@
 Counts of words and word pairs are gathered over all training texts.  A count c
 is kept as its level, about twice the binary logarithm: the filter holds the
 n-gram once for each level up to its own, and a reader probes level after level
-until one is missing.  The filter has a fixed number of bits and is broadcast.
+until one is missing.  The filter's bits follow the n-grams and it is cut into
+parts by their hash.  Up to MAX_BITS it is broadcast; a larger one stays in its
+parts and the distinct n-grams of blocks of text are sent there and come back
+with their levels.  Both ways read the same bits and give the same scores.
 
 A pair's probability mixes its relative frequency with that of the word; the
 share of the pair depends on the level of the first word and is fitted with the
@@ -28,10 +31,10 @@ from emberline.llm import kernels as K
 from emberline.llm.sampling import bounded_sample
 from emberline.sources.staging import stage
 
-MAX_BITS = 1 << 28  # of the filter: 32 MB
+MAX_BITS = 1 << 28  # of a filter that is broadcast: 32 MB
+BLOCK_BYTES = 4 << 20  # of text whose n-grams are asked for together
 PER_ITEM = 8  # bits of the filter for each n-gram and level, at least
 PROBES = 4
-MIN_PAIR = 2  # pairs seen once are left to the words' own frequency
 HEAD_WORDS = 1 << 18  # words whose exact counts are broadcast, at most
 SAMPLE = 1000  # training texts the mixing shares are fitted on, at most
 FLUSH_WORDS = 1 << 20  # held by a task before it sends its counts
@@ -163,7 +166,7 @@ def _positions(low: np.ndarray, lv: np.ndarray | int, size: int) -> Iterator[np.
         yield ((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _segment_batches(bits: int, size: int, least: tuple[int, int]):
+def _segment_batches(bits: int, size: int):
     """The part of the filter that holds the n-grams of a part."""
 
     def packed(part: int, segment: np.ndarray) -> pa.RecordBatch:
@@ -177,10 +180,10 @@ def _segment_batches(bits: int, size: int, least: tuple[int, int]):
         for batch in batches:
             for part, kind, keys, counts in zip(*(batch.column(k).to_pylist() for k in ("part", "kind", "keys", "counts"))):
                 n = np.frombuffer(counts, np.uint32)
-                low = _unpack(kind, keys)[n >= least[kind]]
+                low = _unpack(kind, keys)
                 if kind == 0:
                     low = _place(low, bits)[1] ^ (_WORD >> np.uint64(16))
-                lv = level(n[n >= least[kind]])
+                lv = level(n)
                 if part != last:
                     if last >= 0:
                         yield packed(last, segment)
@@ -204,10 +207,14 @@ class Filter:
     def levels(self, key: np.ndarray, kind: int) -> np.ndarray:
         """Level of each n-gram: probes go on while all bits are set."""
         part, low = _place(key, self.bits)
+        return self.levels_at(part, low, kind)
+
+    def levels_at(self, part: np.ndarray, low: np.ndarray, kind: int) -> np.ndarray:
+        """As ``levels``, for keys whose place is known."""
         if kind == 0:
             low = low ^ (_WORD >> np.uint64(16))
-        out = np.zeros(len(key), np.int64)
-        alive = np.arange(len(key))
+        out = np.zeros(len(low), np.int64)
+        alive = np.arange(len(low))
         for q in range(1, LEVELS + 1):
             if len(alive) == 0:
                 break
@@ -219,9 +226,20 @@ class Filter:
         return out
 
 
+def _distinct(word: np.ndarray, before: np.ndarray):
+    """(words, their places in ``word`` and then ``before``, pairs, their places), each sorted."""
+    return (
+        *np.unique(np.concatenate([word, before]), return_inverse=True),
+        *np.unique(pair_key(before, word), return_inverse=True),
+    )
+
+
+Looked = tuple[np.ndarray, np.ndarray] | None
+
+
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None  # None if it stays in its parts
     n: int  # training tokens
     v: int  # distinct ones
     docs: int
@@ -229,22 +247,33 @@ class Model:
     head: np.ndarray  # sorted hashes of frequent words
     head_count: np.ndarray
 
-    def parts(self, word: np.ndarray, before: np.ndarray, left_out: int = 0):
-        """(level of the first word, pair frequency, word frequency); ``left_out`` is taken from each count."""
-        u, back = np.unique(np.concatenate([word, before]), return_inverse=True)
-        lv = self.filter.levels(u, 0)
+    def parts(self, word: np.ndarray, before: np.ndarray, left_out: int = 0, looked: Looked = None):
+        """(level of the first word, pair frequency, word frequency); ``left_out`` is taken from each count.
+
+        ``looked``: levels of the distinct words and pairs if they were looked up.
+        """
+        u, back, pair, again = _distinct(word, before)
+        lv, pair_lv = looked or (self.filter.levels(u, 0), self.filter.levels(pair, 1))
         count = VALUE[lv]
         first = u == BEGIN
         lv[first], count[first] = level(np.array([self.docs])), self.docs
         w, b = back[: len(word)], back[len(word) :]
-        pair, again = np.unique(pair_key(before, word), return_inverse=True)
-        both = np.maximum(VALUE[self.filter.levels(pair, 1)][again] - left_out, 0)
+        both = np.maximum(VALUE[pair_lv][again] - left_out, 0)
         of = np.maximum(count[b] - left_out, 0)
         frequency = np.where(of > 0, np.minimum(1, both / np.maximum(of, 1)), 0)
         single = (np.maximum(count[w] - left_out, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))
         return lv[b], frequency, single
 
 
+def _share_cells(model: Model, word: np.ndarray, before: np.ndarray, looked: Looked, of: np.ndarray | slice) -> dict:
+    """Numbers of the tokens ``of`` by level of the first word and ratio of the two frequencies."""
+    lv, pair, single = (x[of] for x in model.parts(word, before, 1, looked))
+    ratio = np.clip(np.round(4 * np.log2(np.maximum(pair, 1e-12) / single)), -120, 120).astype(np.int64)
+    ratio[pair == 0] = -128
+    key, n = np.unique(lv * 512 + ratio + 128, return_counts=True)
+    return {"key": pa.array(key), "n": pa.array(n)}
+
+
 def _share_batches(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
@@ -253,11 +282,7 @@ def _share_batches(held):
             for lo, hi in K.slices(offsets):
                 at = offsets[lo : hi + 1]
                 word, before, _ = tokens(data[at[0] : at[-1]], at - at[0])
-                lv, pair, single = model.parts(word, before, 1)
-                ratio = np.clip(np.round(4 * np.log2(np.maximum(pair, 1e-12) / single)), -120, 120).astype(np.int64)
-                ratio[pair == 0] = -128
-                key, n = np.unique(lv * 512 + ratio + 128, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+                yield pa.RecordBatch.from_pydict(_share_cells(model, word, before, None, slice(None)))
 
     return run
 
@@ -279,52 +304,146 @@ def _fit_shares(rows) -> np.ndarray:
     return share
 
 
+CELLS = "key long, n long"
 SCORED = "_row long, doc_id long, n_tokens long, base double, known long, score double, tail array<long>"
 
 
+def _scored(model: Model, row: pa.Array, ids: pa.Array, text: tuple, looked: Looked) -> dict:
+    """Columns of SCORED for rows whose ``text`` is (word, previous word, row offsets)."""
+    word, before, first = text
+    scale = np.log10(model.n + 0.5 * (model.v + 1))
+    lv, pair, single = model.parts(word, before, looked=looked)
+    s = model.share[lv]
+    score = K.sums(np.log10(s * pair + (1 - s) * single), first)
+    if len(model.head):
+        k = np.minimum(np.searchsorted(model.head, word), len(model.head) - 1)
+        inside = model.head[k] == word
+    else:
+        k, inside = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+    counts = model.head_count[k] if len(model.head) else np.zeros(len(word))
+    base = K.sums(np.where(inside, np.log10(counts + 0.5) - scale, 0.0), first)
+    known = K.sums(inside.astype(np.int64), first)
+    outside = np.zeros(len(word) + 1, np.int64)
+    np.cumsum(~inside, out=outside[1:])
+    tail = pa.ListArray.from_arrays(pa.array(outside[first].astype(np.int32)), pa.array(word[~inside].view(np.int64)))
+    return {
+        "_row": row, "doc_id": ids, "n_tokens": pa.array(np.diff(first)), "base": pa.array(base),
+        "known": pa.array(known), "score": pa.array(score), "tail": tail,
+    }
+
+
 def _score_batches(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         task = TaskContext.get()
         row = (task.partitionId() if task else 0) << 40
-        scale = np.log10(model.n + 0.5 * (model.v + 1))
         for batch in batches:
             data, offsets = K.utf8(batch.column(1))
             for lo, hi in K.slices(offsets):
                 at = offsets[lo : hi + 1]
-                word, before, first = tokens(data[at[0] : at[-1]], at - at[0])
-                lv, pair, single = model.parts(word, before)
-                s = model.share[lv]
-                score = K.sums(np.log10(s * pair + (1 - s) * single), first)
-                if len(model.head):
-                    k = np.minimum(np.searchsorted(model.head, word), len(model.head) - 1)
-                    inside = model.head[k] == word
-                else:
-                    k, inside = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
-                counts = model.head_count[k] if len(model.head) else np.zeros(len(word))
-                base = K.sums(np.where(inside, np.log10(counts + 0.5) - scale, 0.0), first)
-                known = K.sums(inside.astype(np.int64), first)
-                outside = np.zeros(len(word) + 1, np.int64)
-                np.cumsum(~inside, out=outside[1:])
-                tail = word[~inside].view(np.int64)
+                text = tokens(data[at[0] : at[-1]], at - at[0])
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + n)),
-                        batch.column(0).slice(lo, n),
-                        pa.array(np.diff(first)),
-                        pa.array(base),
-                        pa.array(known),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(outside[first].astype(np.int32)), pa.array(tail)),
-                    ],
-                    names=["_row", "doc_id", "n_tokens", "base", "known", "score", "tail"],
-                )
+                rows = pa.array(np.arange(row, row + n))
+                yield pa.RecordBatch.from_pydict(_scored(model, rows, batch.column(0).slice(lo, n), text, None))
                 row += n
 
     return run
 
 
+BLOCKS = "block long, part int, kind int, keys binary, row long, doc_id long, t string, known boolean"
+TEXT = -1  # kind of the rows that hold a text
+
+
+def _block_batches(bits: int):
+    """The texts with their block, and the distinct n-grams of each block by part."""
+    schema = pa.schema(list(zip([f.split()[0] for f in BLOCKS.split(", ")], [
+        pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
+    ])))
+
+    def filled(n: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        at_task = task.partitionId() if task else 0
+        block, row = at_task << 32, at_task << 40
+        for batch in batches:
+            data, offsets = K.utf8(batch.column(1))
+            for lo, hi in K.slices(offsets, BLOCK_BYTES):
+                at, n = offsets[lo : hi + 1], hi - lo
+                yield filled(n, {
+                    "block": np.full(n, block), "kind": np.full(n, TEXT), "row": np.arange(row, row + n),
+                    "doc_id": batch.column(0).slice(lo, n), "t": batch.column(1).slice(lo, n), "known": batch.column(2).slice(lo, n),
+                })
+                word, before, _ = tokens(data[at[0] : at[-1]], at - at[0])
+                u, _, pair, _ = _distinct(word, before)
+                parts, kinds, keys = [], [], []
+                for kind, key in enumerate((u, pair)):
+                    part, low = _place(key, bits)
+                    for p, x in zip(*_cut(part, low)):
+                        parts.append(p)
+                        kinds.append(kind)
+                        keys.append(_pack(p, 1, x, np.zeros(0))[2])
+                yield filled(len(parts), {"block": np.full(len(parts), block), "part": parts, "kind": kinds, "keys": keys})
+                block, row = block + 1, row + n
+
+    return run
+
+
+def _cut(part: np.ndarray, low: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Keys of each part, which stand together."""
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    return part[at].tolist(), np.split(low, at[1:])
+
+
+ANSWERED = "block long, part int, kind int, levels binary"
+
+
+def _look_up(bits: int, size: int):
+    """Levels of the n-grams asked of a part."""
+
+    def run(asked: pa.Table, segments: pa.Table) -> pa.Table:
+        data = np.zeros((1, size // 8), np.uint8)
+        for segment in segments.column("segment"):
+            data[0] |= np.frombuffer(segment.as_buffer(), np.uint8)
+        part = Filter(bits, size, data)
+        out = []
+        for kind, keys in zip(asked.column("kind").to_pylist(), asked.column("keys")):
+            low = _unpack(1, keys.as_py())
+            out.append(part.levels_at(np.zeros(len(low), np.int64), low, kind).astype(np.uint8).tobytes())
+        return asked.select(["block", "part", "kind"]).append_column("levels", pa.array(out, pa.binary()))
+
+    return run
+
+
+def _block_text(texts: pa.Table, answers: pa.Table) -> tuple[tuple, Looked]:
+    """Tokens of a block's texts, and the levels of their distinct words and pairs."""
+    text = tokens(*K.utf8(texts.column("t").combine_chunks()))
+    rows = sorted(answers.select(["kind", "part", "levels"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
+    looked = [np.frombuffer(b"".join(r["levels"] for r in rows if r["kind"] == k), np.uint8).astype(np.int64) for k in (0, 1)]
+    return text, (looked[0], looked[1])
+
+
+def _share_block(held):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        (word, before, first), looked = _block_text(texts, answers)
+        known = np.asarray(texts.column("known").to_numpy(), bool)
+        return pa.table(_share_cells(held.value, word, before, looked, np.repeat(known, np.diff(first))))
+
+    return run
+
+
+def _score_block(held):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        text, looked = _block_text(texts, answers)
+        ids = (texts.column(k).combine_chunks() for k in ("row", "doc_id"))
+        return pa.table(_scored(held.value, *ids, text, looked))
+
+    return run
+
+
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
@@ -334,14 +453,16 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_bits: int | None = None
+) -> DataFrame:
     """Scores of every row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows where ``training`` holds.  Null text counts
     as empty: one end token.  Words are known by 64-bit hashes.  Without
     training rows every probability is that of an empty model.  Null and
     repeated ids are scored row by row; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored.  A filter of more than ``max_bits`` is not broadcast.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")
@@ -360,23 +481,17 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     grams, total = np.zeros((2, LEVELS + 1), np.int64), np.zeros((2, LEVELS + 1), np.int64)
     for r in levels:
         grams[r["kind"], r["pos"]], total[r["kind"], r["pos"]] = r["grams"], r["total"]
-    # the filter's bits follow the n-grams; beyond MAX_BITS the rarest levels are left out
-    q, low = np.arange(LEVELS + 1), 1
-    while True:
-        least = (int(LOWER[low - 1]), max(MIN_PAIR, int(LOWER[low - 1])))
-        kept = [q >= level(np.array([x]))[0] for x in least]
-        items = sum(int((grams[k] * q)[kept[k]].sum()) for k in (0, 1))
-        if items * PER_ITEM <= MAX_BITS or low == LEVELS:
-            break
-        low += 1
+    items = int((grams * np.arange(LEVELS + 1)).sum())
     size = 1 << max(10, int(np.ceil(np.log2(max(1, items * PER_ITEM) / (1 << bits)))))
     segments = counted.select("part", "kind", "keys", "counts").mapInArrow(
-        _segment_batches(bits, size, least), "part int, segment binary"
-    ).collect()  # 2 * MAX_BITS at most
-    data = np.zeros((1 << bits, size // 8), np.uint8)
-    for r in segments:
-        data[r["part"]] |= np.frombuffer(r["segment"], np.uint8)
-    del segments
+        _segment_batches(bits, size), "part int, segment binary"
+    )
+    whole = None
+    if items * PER_ITEM <= (MAX_BITS if max_bits is None else max_bits):
+        data = np.zeros((1 << bits, size // 8), np.uint8)
+        for r in segments.collect():  # 2 * MAX_BITS at most
+            data[r["part"]] |= np.frombuffer(r["segment"], np.uint8)
+        whole = Filter(bits, size, data)
     words = counted.filter("kind = 0").select("keys", "counts").mapInArrow(_word_batches, "word long, n long")
     above = grams[0][::-1].cumsum()[::-1]  # words of at least each level
     cut = int(np.flatnonzero(above <= HEAD_WORDS)[0]) if (above <= HEAD_WORDS).any() else LEVELS
@@ -386,20 +501,31 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     order = np.argsort(head_word)
     n_docs = int(head.loc[head["word"] == END.view(np.int64), "n"].sum())
     model = Model(
-        Filter(bits, size, data), int(total[0].sum()), int(grams[0].sum()), n_docs, np.zeros(LEVELS + 1),
+        whole, int(total[0].sum()), int(grams[0].sum()), n_docs, np.zeros(LEVELS + 1),
         head_word[order], head["n"].to_numpy(np.int64)[order],
     )
-    sample = bounded_sample(known, F.col(f"`{id_col}`"), SAMPLE).select(text)
+    doc_id = F.col(f"`{id_col}`").cast("long").alias("doc_id")
     first = spark.sparkContext.broadcast(model)
-    model.share = _fit_shares(
-        sample.mapInArrow(_share_batches(first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    )
+    if whole is not None:
+        cells = bounded_sample(known, F.col(f"`{id_col}`"), SAMPLE).select(text).mapInArrow(_share_batches(first), CELLS)
+    else:
+        flag = F.coalesce(training, F.lit(False)).alias("known")
+        blocks = stage(docs.select(doc_id, text, flag).mapInArrow(_block_batches(bits), BLOCKS), "blocks")
+        asked = blocks.filter(F.col("kind") != TEXT).select("block", "part", "kind", "keys")
+        answers = stage(
+            asked.groupBy("part").cogroup(segments.groupBy("part")).applyInArrow(_look_up(bits, size), ANSWERED), "answers"
+        )
+        texts = blocks.filter(F.col("kind") == TEXT).select("block", "row", "doc_id", "t", "known")
+        both = texts.groupBy("block").cogroup(answers.groupBy("block"))
+        cells = both.applyInArrow(_share_block(first), CELLS)
+    model.share = _fit_shares(cells.groupBy("key").agg(F.sum("n").alias("n")).collect())
     first.unpersist()
     held = spark.sparkContext.broadcast(model)
-    scored = stage(
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text).mapInArrow(_score_batches(held), SCORED),
-        "scored",
-    )
+    if whole is not None:
+        found = docs.select(doc_id, text).mapInArrow(_score_batches(held), SCORED)
+    else:
+        found = both.applyInArrow(_score_block(held), SCORED)
+    scored = stage(found, "scored")
     rare = scored.select("_row", F.explode("tail").alias("word")).join(words.filter(F.col("n") < floor), "word", "left")
     scale = F.lit(float(np.log10(model.n + 0.5 * (model.v + 1))))
     rare = rare.groupBy("_row").agg(

@@ -48,6 +48,16 @@ def test_levels_bracket_counts():
     assert Filter(4, 1024, np.full((16, 128), 255, np.uint8)).levels(np.arange(9, dtype=np.uint64), 0).min() > 90
 
 
+def test_lm_in_parts(awkward, empty, documents):
+    for docs, training in ((awkward, F.col("doc_id") % 2 == 0), (empty, F.lit(True)), (documents, fold(5) != 1)):
+        whole, parts = (
+            sorted((tuple(r) for r in score(docs, training, max_bits=b).collect()), key=str) for b in (None, 1)
+        )
+        assert len(whole) == len(parts)
+        for a, b in zip(whole, parts):
+            assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
 def test_lm_awkward(awkward, empty):
     rows = score(awkward, F.col("doc_id") % 2 == 0).collect()
     assert len(rows) == awkward.count()

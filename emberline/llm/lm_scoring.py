@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import kernels as K
-from emberline.llm.sampling import bounded_sample
 from emberline.sources.staging import stage
 
 MAX_BITS = 1 << 28  # of a filter that is broadcast: 32 MB
@@ -36,7 +35,6 @@ BLOCK_BYTES = 4 << 20  # of text whose n-grams are asked for together
 PER_ITEM = 8  # bits of the filter for each n-gram and level, at least
 PROBES = 4
 HEAD_WORDS = 1 << 18  # words whose exact counts are broadcast, at most
-SAMPLE = 1000  # training texts the mixing shares are fitted on, at most
 FLUSH_WORDS = 1 << 20  # held by a task before it sends its counts
 LEVELS = 96
 #: Smallest count of each level, at steps of the square root of 2.
@@ -507,7 +505,7 @@ def score(
     doc_id = F.col(f"`{id_col}`").cast("long").alias("doc_id")
     first = spark.sparkContext.broadcast(model)
     if whole is not None:
-        cells = bounded_sample(known, F.col(f"`{id_col}`"), SAMPLE).select(text).mapInArrow(_share_batches(first), CELLS)
+        cells = known.select(text).mapInArrow(_share_batches(first), CELLS)
     else:
         flag = F.coalesce(training, F.lit(False)).alias("known")
         blocks = stage(docs.select(doc_id, text, flag).mapInArrow(_block_batches(bits), BLOCKS), "blocks")

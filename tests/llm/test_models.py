@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm import kernels as K
 from emberline.llm.language_id import UNKNOWN, identify, keep_known, ngrams
-from emberline.llm.lm_scoring import Filter, level, score
+from emberline.llm.lm_scoring import VALUE, Filter, _fit_shares, level, score
 from emberline.llm.quality import BINS, FIELDS, WORDS, FactorisationMachine, classify, fit, values
 from emberline.llm.queries import QUERIES, fold
 
@@ -48,6 +48,49 @@ def test_levels_bracket_counts():
     assert Filter(4, 1024, np.full((16, 128), 255, np.uint8)).levels(np.arange(9, dtype=np.uint64), 0).min() > 90
 
 
+def brute_scores(rows):
+    """Scores with exact levels of every n-gram and shares fitted on all training texts; rows of (id, text, training)."""
+    docs = [(d, ["<", *(t or "").encode().lower().split(), ">"], k) for d, t, k in rows]
+    words, pairs = Counter(), Counter()
+    for _, w, k in docs:
+        if k:
+            words.update(w[1:])
+            pairs.update(zip(w, w[1:]))
+    n, v, lv = sum(words.values()), len(words), lambda c: int(level(np.array([c]))[0]) if c else 0
+    first = sum(k for _, _, k in docs)
+
+    def parts(a, b, out):
+        of = VALUE[lv(words[a])] if a != "<" else first
+        both = max(VALUE[lv(pairs[a, b])] - out, 0)
+        pair = min(1, both / max(of - out, 1)) if of > out else 0
+        at = lv(words[a]) if a != "<" else lv(first)
+        return at, pair, (max(VALUE[lv(words[b])] - out, 0) + 0.5) / (n + 0.5 * (v + 1))
+
+    cells = Counter()
+    for _, w, k in docs:
+        for a, b in zip(w, w[1:]) if k else ():
+            at, pair, single = parts(a, b, 1)
+            ratio = int(np.clip(np.round(4 * np.log2(pair / single)), -120, 120)) if pair else -128
+            cells[at * 512 + ratio + 128] += 1
+    share = _fit_shares([{"key": k, "n": c} for k, c in cells.items()])
+    total = lambda w: sum(math.log10(share[x] * p + (1 - share[x]) * s) for x, p, s in (parts(a, b, 0) for a, b in zip(w, w[1:])))
+    return {d: total(w) for d, w, _ in docs}
+
+
+@pytest.mark.parametrize("max_bits", [None, 1000])
+def test_lm_counts_every_pair_at_every_size(spark, monkeypatch, max_bits):
+    """Broadcast and in parts: no level left out, pairs seen once kept, shares fitted on all texts."""
+    monkeypatch.setattr("emberline.llm.lm_scoring.PER_ITEM", 1000)  # no false positives
+    rng = np.random.default_rng(13)
+    p = 1 / np.arange(1, 601)
+    rows = [(i, " ".join(f"w{x}" for x in rng.choice(600, 25, p=p / p.sum())), bool(i % 5)) for i in range(1500)]
+    rows += [(5001, "w0 once w1", True), (5002, "once w1", False), (5003, None, True), (5004, "never w0", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k boolean").repartition(3)
+    got = {r.doc_id: r.score for r in score(docs, F.col("k"), max_bits=max_bits).collect()}
+    want = brute_scores(rows)
+    assert set(got) == set(want) and all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want)
+
+
 def test_lm_in_parts(awkward, empty, documents):
     for docs, training in ((awkward, F.col("doc_id") % 2 == 0), (empty, F.lit(True)), (documents, fold(5) != 1)):
         whole, parts = (

@@ -2,7 +2,7 @@
 
 Document frequencies are counted over all training documents.  The weights are
 fitted with follow-the-regularised-leader and an elastic-net penalty on a
-bounded sample, then a temperature is fitted on documents the weights have not
+sample of bounded size with a least number of each language, then a temperature is fitted on documents the weights have not
 seen.  The model is a table of fixed size, so it is broadcast.
 """
 
@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import kernels as K
-from emberline.llm.sampling import bounded_sample
+from emberline.llm.sampling import sample_by_group
 
 BUCKETS = 1 << 15
-SAMPLE = 3000  # labelled documents the weights are fitted on, at most
+SAMPLE = 3000  # labelled documents the weights are fitted on
+LEAST = 50  # of them in each language, or all it has
 SCALE = 100.0  # brings relative frequencies to the order of 1
 UNKNOWN = "und"
 
@@ -182,7 +183,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training:
         .mapInArrow(_frequency_batches, "bucket long, n long")
         .groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
     )
-    few = bounded_sample(rows, F.col(f"`{id_col}`"), SAMPLE)
+    lettered = rows.filter(F.col(f"`{text_col}`").cast("string").rlike("\\p{L}"))  # others have no n-grams
+    few = sample_by_group(lettered, F.col(f"`{id_col}`"), F.col(f"`{lang_col}`").cast("string"), SAMPLE, LEAST)
     sample = (
         few.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("t"))
         .mapInArrow(_feature_batches, "lang string, x binary").collect()
@@ -210,9 +212,14 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training:
     number = {c: i for i, c in enumerate(classes)}
     features = _Features([number[lang] for lang in langs], cut, joined, idf)
     every = range(len(langs))
-    many = len(langs) >= 20
-    held = [features[i] for i in every if i % 5 == 0 or not many]
-    w, bias = _fit(features, [i for i in every if i % 5 or not many], len(classes))
+    # every fifth of a language is held out, so a class of few examples keeps them for its weights
+    apart, seen = set(), dict.fromkeys(classes, 0)
+    for i, lang in enumerate(langs):
+        seen[lang] += 1
+        if seen[lang] % 5 == 0 and len(langs) >= 20:
+            apart.add(i)
+    held = [features[i] for i in (sorted(apart) or every)]
+    w, bias = _fit(features, [i for i in every if i not in apart], len(classes))
     full = np.vstack([w, bias])
     logits = np.array([x @ full[idx] for _, idx, x in held])
     y = np.array([f[0] for f in held])

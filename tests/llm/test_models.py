@@ -129,6 +129,18 @@ def test_language_held_out(documents):
     assert all(0 <= r.p <= 1 for r in rows)
 
 
+def test_language_of_few_rows(spark, monkeypatch):
+    """A language far below the sample's rate keeps its class."""
+    monkeypatch.setattr("emberline.llm.language_id.SAMPLE", 60)
+    rng = np.random.default_rng(14)
+    words = {"en": "the and of with house water".split(), "de": "und der die nicht straße wasser".split(), "el": "και στο νερό σπίτι δρόμος".split()}
+    langs = ["en", "de"] * 1500 + ["el"] * 12
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i, lang in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = identify(docs, F.col("doc_id") % 4 != 2).join(docs, "doc_id").filter("lang = 'el'").collect()
+    assert [r.lang_pred for r in got] == ["el"] * 12
+
+
 def test_language_awkward(awkward, empty):
     rows = identify(awkward, F.lit(True)).collect()
     assert len(rows) == awkward.count()

@@ -128,4 +128,66 @@ FROM (SELECT *, CASE WHEN tokens > 0 THEN coalesce(probability, 0) ELSE 0::DOUBL
 """
 
 
-SQL = {"op1_mixing": _mixing(), "op5_exact_dedup": OP5, "op9_near_dedup": OP9, "op10_url_filter": OP10}
+
+def _merkle(depth: int = 7) -> str:
+    """Trees of up to 16**depth leaves a source and as many sources, level by level."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def levels(t: str) -> list[str]:
+        steps = []
+        for k in range(depth):
+            steps.append(
+                f"{t}run{k} AS MATERIALIZED (SELECT tree, pos // 16 AS run, c, max(digest) AS one, "
+                f"string_agg(digest, '' ORDER BY pos) AS s FROM {t}{k} GROUP BY ALL)"
+            )
+            steps.append(
+                f"{t}{k + 1} AS MATERIALIZED (SELECT tree, run AS pos, CASE WHEN c = 1 THEN one ELSE sha256(s) END AS digest, "
+                f"(c + 15) // 16 AS c FROM {t}run{k})"
+            )
+        return steps
+
+    def path(t: str, p: str, place: str) -> list[str]:
+        """p0 holds rows with tree and place; their digest and proof are carried up."""
+        steps = []
+        for k in range(depth):
+            left, right = f"substr(s, 1, 64 * ({place} % 16))", f"substr(s, 64 * ({place} % 16) + 65)"
+            steps.append(
+                f"{p}{k + 1} AS (SELECT p.* REPLACE ({place} // 16 AS {place}, "
+                f"CASE WHEN c > 1 THEN sha256({left} || cur || {right}) ELSE cur END AS cur, "
+                f"CASE WHEN c > 1 THEN proof || {left} || {right} ELSE proof END AS proof) "
+                f"FROM {p}{k} p JOIN {t}run{k} r ON p.tree IS NOT DISTINCT FROM r.tree AND p.{place} // 16 = r.run)"
+            )
+        return steps
+
+    first = "||".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    low = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+    steps = [
+        """WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+  lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)""",
+        """marked AS (SELECT d.*, xor(list_reduce(list_concat([4294967295],
+  list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS hit FROM documents d, k)""",
+        f"hashed AS (SELECT doc_id, source AS tree, sha256({first}||{field('text')}) AS leaf, "
+        f"CASE WHEN hit THEN sha256({first}||{field(low)}) END AS changed FROM marked)",
+        "leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, "
+        "count(*) OVER (PARTITION BY tree) AS c FROM hashed)",
+        "a0 AS (SELECT tree, pos, leaf AS digest, c FROM leaves)",
+        *levels("a"),
+        f"subroots AS MATERIALIZED (SELECT tree AS source, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, "
+        f"count(*) OVER () AS c FROM a{depth})",
+        "b0 AS (SELECT 0 AS tree, pos, subroot AS digest, c FROM subroots)",
+        *levels("b"),
+        "p0 AS (SELECT doc_id, tree, pos, leaf, coalesce(changed, leaf) AS cur, '' AS proof FROM leaves)",
+        *path("a", "p", "pos"),
+        f"q0 AS (SELECT doc_id, leaf, cur, proof, subroot, 0 AS tree, s.pos AS place FROM p{depth} p "
+        "JOIN subroots s ON p.tree IS NOT DISTINCT FROM s.source)",
+        *path("b", "q", "place"),
+    ]
+    return ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = digest AS verified
+FROM q{depth}, b{depth}"""
+
+
+SQL = {"op1_mixing": _mixing(), "op5_exact_dedup": OP5, "op9_near_dedup": OP9, "op10_url_filter": OP10, "op11_merkle": _merkle()}

@@ -96,10 +96,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.merkle import build_manifest, lower_ascii, source_tops, verify
+
+    text = F.col("text").cast("string")
+    manifest = build_manifest(table(spark, sf_dir, "documents"), F.when(fold(5) == 0, lower_ascii(text)))
+    roots = source_tops(manifest).select(
+        F.col("tree").alias("_source"), F.lower(F.hex("subroot")).alias("subroot")
+    )
+    rows = verify(manifest)
+    return rows.join(roots, rows.source.eqNullSafe(roots._source)).select(
+        "doc_id", "leaf", "subroot", F.lit(manifest.root.hex() if manifest.root else None).cast("string").alias("root"),
+        "proof_sha256", "folded_root", "verified",
+    )
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from emberline.llm.token_files import read_documents, write_token_files
+    from emberline.sources.staging import new_path
+
+    folder = new_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return read_documents(spark, folder)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_packing, op3_neighbours, op4_quality, op5_exact_dedup, op6_lm_scoring,
         op7_suffix_dedup, op8_language_id, op9_near_dedup, op10_url_filter,
+        op11_merkle, op13_token_files,
     )
 }

@@ -19,7 +19,6 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 GOLDEN = _U(0x9E3779B97F4A7C15)
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_P = _U(0xD6E8FEB86659FD93)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -37,22 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = _U(pow(int(_P), -1, 1 << 64))
-        for k, base in enumerate((_P, inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if column.null_count:
@@ -77,31 +60,40 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def word_starts(low: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-cased bytes start, and per row the number of its first one (rows + 1)."""
+    space = gap[low]
+    start = ~space
+    start[1:] &= space[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(low)]
+    start[edges] = ~space[edges]
+    at = np.flatnonzero(start)
+    return at, np.searchsorted(at, offsets)
+
+
 def words(
     data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and per row the number of the first one (rows + 1).
 
-    ``gap`` marks the bytes that stand between words.
+    ``gap`` marks the bytes that stand between words.  A word's hash is the sum
+    of well-mixed values of its (place, byte) pairs: every place has a table of
+    its own, so words of few letters in patterns do not meet.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     low = LOWER[data]
-    space = gap[low]
-    start = ~space
-    start[1:] &= space[:-1]
-    edges = offsets[:-1][offsets[:-1] < n]
-    start[edges] = ~space[edges]
-    at = np.flatnonzero(start)
-    first = np.searchsorted(at, offsets)
+    at, first = word_starts(low, offsets, gap)
     if len(at) == 0:
         return np.zeros(0, np.uint64), first
-    up, down = powers(n)
-    value = _BYTE[low]
-    value[space] = 0
-    value *= up
-    return mix(np.add.reduceat(value, at) * down[at] + GOLDEN), first
+    place = np.arange(at[0], n)
+    place -= np.repeat(at, np.diff(np.append(at, n)))
+    place <<= 8
+    place += low[at[0] :]
+    value = mix((place + 1).astype(np.uint64) * GOLDEN)
+    value[gap[low[at[0] :]]] = 0
+    return mix(np.add.reduceat(value, at - at[0]) + GOLDEN), first
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -190,4 +190,29 @@ SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, cur
 FROM q{depth}, b{depth}"""
 
 
-SQL = {"op1_mixing": _mixing(), "op5_exact_dedup": OP5, "op9_near_dedup": OP9, "op10_url_filter": OP10, "op11_merkle": _merkle()}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = rf"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term FROM documents
+), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+size AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term FROM benchmark
+), w AS (
+  SELECT item_id, items.term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM items JOIN df ON items.term = df.term, corpus
+), s AS (
+  SELECT item_id, tf.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM w JOIN tf ON tf.term = w.term JOIN size ON size.doc_id = tf.doc_id, corpus GROUP BY ALL
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+SQL = {"op1_mixing": _mixing(), "op5_exact_dedup": OP5, "op9_near_dedup": OP9, "op10_url_filter": OP10, "op11_merkle": _merkle(), "op12_lexical_search": OP12}

@@ -111,6 +111,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.lexical_search import build_index, search
+
+    index = build_index(table(spark, sf_dir, "documents"))
+    return search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -127,6 +134,6 @@ QUERIES = {
     for f in (
         op1_mixing, op2_packing, op3_neighbours, op4_quality, op5_exact_dedup, op6_lm_scoring,
         op7_suffix_dedup, op8_language_id, op9_near_dedup, op10_url_filter,
-        op11_merkle, op13_token_files,
+        op11_merkle, op12_lexical_search, op13_token_files,
     )
 }

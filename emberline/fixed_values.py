@@ -32,25 +32,61 @@ BUSINESS_SIZES = ("small", "medium", "large")
 # --------------------------------------------------------------------------
 # Rates per menu profile and per event type
 # --------------------------------------------------------------------------
-GAS_PER_100_GUESTS = dict(zip(MENU_PROFILES, (7.2, 10.8, 9.1, 14.3, 11.5, 4.8, 8.6)))
+GAS_PER_100_GUESTS = {
+    "veg_simple": 7.2,
+    "veg_elaborate": 10.8,
+    "nonveg_simple": 9.1,
+    "nonveg_elaborate": 14.3,
+    "mixed_standard": 11.5,
+    "snacks_only": 4.8,
+    "biryani_special": 8.6,
+}
 DEFAULT_GAS_PER_100_GUESTS = 11.5
 
 COMMERCIAL_EFFICIENCY = 3.5
-GAS_PER_SERVING = dict(
-    zip(MENU_PROFILES, (0.0120, 0.0128, 0.0148, 0.0175, 0.0104, 0.0118, 0.0124))
-)
+GAS_PER_SERVING = {
+    "veg_simple": 0.012,
+    "veg_elaborate": 0.0128,
+    "nonveg_simple": 0.0148,
+    "nonveg_elaborate": 0.0175,
+    "mixed_standard": 0.0104,
+    "snacks_only": 0.0118,
+    "biryani_special": 0.0124,
+}
 DEFAULT_GAS_PER_SERVING = 0.012
 
-DISHES_PER_MENU = dict(zip(MENU_PROFILES, (4, 7, 5, 9, 6, 3, 3)))
+DISHES_PER_MENU = {
+    "veg_simple": 4,
+    "veg_elaborate": 7,
+    "nonveg_simple": 5,
+    "nonveg_elaborate": 9,
+    "mixed_standard": 6,
+    "snacks_only": 3,
+    "biryani_special": 3,
+}
 DEFAULT_DISHES = 5
 DEFAULT_COOK_MINUTES = 30.0
 
-PLANNER_WASTAGE_RATE = dict(
-    zip(EVENT_TYPES, (0.12, 0.07, 0.09, 0.14, 0.11, 0.06, 0.08, 0.05))
-)
-BENCHMARK_WASTAGE_RATE = dict(
-    zip(EVENT_TYPES, (0.12, 0.07, 0.09, 0.10, 0.11, 0.06, 0.08, 0.05))
-)
+PLANNER_WASTAGE_RATE = {
+    "wedding": 0.12,
+    "corporate_lunch": 0.07,
+    "college_canteen": 0.09,
+    "birthday_party": 0.14,
+    "festival_event": 0.11,
+    "hospital_canteen": 0.06,
+    "school_canteen": 0.08,
+    "dhaba_daily": 0.05,
+}
+BENCHMARK_WASTAGE_RATE = {
+    "wedding": 0.12,
+    "corporate_lunch": 0.07,
+    "college_canteen": 0.09,
+    "birthday_party": 0.1,
+    "festival_event": 0.11,
+    "hospital_canteen": 0.06,
+    "school_canteen": 0.08,
+    "dhaba_daily": 0.05,
+}
 DEFAULT_WASTAGE_RATE = 0.09
 
 # --------------------------------------------------------------------------

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import as_col, clamp, count_if, flag, lookup, rnd
+from emberline.operators.joins import dimension_join
 from emberline.operators.ordered import median_table
+from emberline.sources.staging import stage
 
 
 # ---- cleaning ------------------------------------------------------------
@@ -156,6 +158,43 @@ def fit_label_classes(
     return classes
 
 
+def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, code): codes 0, 1, ... of the sorted distinct values, of any number.
+
+    Distinct values are sorted into ranges and written; a value's code is its
+    place in its range plus the values of the column before that range.  Only
+    one count for each range and column is summed, and nothing is gathered.  A
+    missing value counts as the text ``nan``.
+    """
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")).alias("value")) for c in columns]
+    )
+    values = stage(df.select(F.explode(pairs).alias("s")).select("s.*").distinct(), "values")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = values.repartitionByRange(parts, "column_name", "value").sortWithinPartitions("column_name", "value")
+    lines = stage(sorted_.withColumn("line", F.monotonically_increasing_id()), "value-lines")
+    part = F.shiftright("line", 33)
+    counts = lines.groupBy("column_name", part.alias("part")).agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    shifts = counts.select(F.col("column_name").alias("_c"), F.col("part").alias("_p"), shift)
+    joined = lines.join(shifts, (F.col("column_name") == F.col("_c")) & (part == F.col("_p")))
+    return joined.select("column_name", "value", (F.col("line") + F.col("shift")).cast("int").alias("code"))
+
+
+def encode_by_vocabulary(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds ``<col>_enc`` by joining each column's values; a value that was not fitted is UNKNOWN_CLASS.
+
+    Common values are salted, so one class may hold any share of the rows.
+    """
+    for c in columns:
+        side = vocabulary.filter(F.col("column_name") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        df = dimension_join(
+            df.withColumn("_value", F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan"))), side, ["_value"]
+        ).withColumn(f"{c}_enc", F.coalesce("_code", F.lit(UNKNOWN_CLASS))).drop("_value", "_code")
+    return df
+
+
 def label_encode(df: DataFrame, classes: Mapping[str, Sequence[str]]) -> DataFrame:
     """Adds ``<col>_enc``: position of the value among the sorted classes."""
     return df.withColumns(
@@ -268,13 +307,14 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 UNKNOWN_CLASS = -1
 
 
-def encode(features: DataFrame, classes: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Encoded columns beside the numeric ones, with ``event_id``; a class not fitted is UNKNOWN_CLASS."""
+def encode(features: DataFrame, classes: Mapping[str, Sequence[str]], carry: str | None = None) -> DataFrame:
+    """Encoded columns beside the numeric ones, with ``event_id`` and ``carry``; a class not fitted is UNKNOWN_CLASS."""
     enc = one_hot(label_encode(features, classes))
     enc = enc.withColumns({f"{c}_enc": F.coalesce(f"{c}_enc", F.lit(UNKNOWN_CLASS)) for c in classes})
     numeric = numeric_columns(enc)
     return enc.select(
         "event_id",
+        *([carry] if carry else []),
         *[c for c in numeric if c not in ("event_id", "caterer_id", "shock_factor", "typical_dishes")],
     )
 
@@ -284,18 +324,17 @@ def fit_preparation(
 ) -> dict:
     """Classes, medians, ranges and column lists of a feature table.
 
-    Medians are exact where values are missing; for the other columns, which
-    need one only when a later table has gaps, the approximate one is kept.
+    Medians are exact for all columns: where values are missing, and where a
+    later table may have gaps.
     """
     classes = classes or fit_label_classes(features)
     enc = encode(features, classes)
     scaled = scaled_columns(enc)
     wanted = [*scaled, *[t for t in fv.TARGETS if t in enc.columns]]
     gaps = columns_with_nulls(enc, wanted)
-    whole = [c for c in wanted if c not in gaps]
-    row = enc.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(f"m_{i}") for i, c in enumerate(whole)]).first() if whole else {}
-    medians = fit_medians(enc, gaps)
-    spare = {c: row[f"m_{i}"] for i, c in enumerate(whole) if row[f"m_{i}"] is not None}
+    every = fit_medians(enc, wanted)
+    medians = {c: every[c] for c in gaps if c in every}
+    spare = {c: m for c, m in every.items() if c not in medians}
     ranges = fit_ranges(impute(enc, medians), wanted)
     return {
         "classes": {c: list(v) for c, v in classes.items()}, "medians": medians, "spare_medians": spare,
@@ -303,15 +342,15 @@ def fit_preparation(
     }
 
 
-def apply_preparation(features: DataFrame, fitted: Mapping) -> DataFrame:
+def apply_preparation(features: DataFrame, fitted: Mapping, carry: str | None = None) -> DataFrame:
     """Any feature table as the fitted one was prepared: same classes, medians and ranges.
 
     Columns the table lacks (such as the targets of a new request) are left
-    out; a missing value takes the fitted median.
+    out; a missing value takes the fitted median.  The column ``carry`` stays.
     """
-    enc = encode(features, fitted["classes"])
+    enc = encode(features, fitted["classes"], carry)
     medians = {**fitted["spare_medians"], **fitted["medians"]}
-    here = [c for c in fitted["columns"] if c in enc.columns]
+    here = [c for c in fitted["columns"] if c in enc.columns] + ([carry] if carry else [])
     filled = impute(enc.select(*here), {c: m for c, m in medians.items() if c in here})
     return scale(filled, {c: tuple(r) for c, r in fitted["ranges"].items() if c in here})
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.sources.staging import stage
 
 SALTS = 64
 
@@ -69,19 +68,19 @@ def dimension_join(
     Nothing is hinted: the optimizer broadcasts ``small`` if its known size
     allows and shuffles otherwise.  The keys that hold more than ``share`` of
     the rows of ``big`` (fewer than 1/share) are salted on both sides, and so
-    are rows without a key, which match nothing.
+    are rows without a key, which match nothing.  All of it is one lazy plan:
+    no job runs before the result is asked for.
     """
-    side = stage(small, "dimension")
-    counts = big.groupBy(*keys).count()
-    floor = max(least, big.select(F.count("*").alias("n")).first()["n"] * share)
-    hot = stage(counts.filter(F.col("count") > floor).select(*keys), "hot-keys")
+    total = big.select(F.count("*").alias("n")).scalar()
+    floor = F.greatest(F.lit(float(least)), total * F.lit(float(share)))
+    hot = big.groupBy(*keys).count().filter(F.col("count") > floor).select(*keys)
     keyless = F.lit(False)
     for k in keys:
         keyless = keyless | F.col(k).isNull()
     left = _mark_hot(big, hot, keys).withColumn(
         "_salt", F.when(F.col("_hot") | keyless, _salt(salts)).otherwise(F.lit(0))
     )
-    right = _mark_hot(side, hot, keys).withColumn(
+    right = _mark_hot(small, hot, keys).withColumn(
         "_salt",
         F.explode(
             F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(

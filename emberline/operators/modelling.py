@@ -1,24 +1,22 @@
-"""Training and scoring with MLlib.
+"""Training, scoring, evaluation and published versions of the five models.
 
 The modelling table is encoded, imputed and scaled by ``features.normalise``.
-Only fitted models, scalar parameters and one value per feature reach the
-driver.
+Only fitted models, sums of fixed size, scalar parameters and one value per
+feature reach the driver.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +25,9 @@ from emberline import fixed_values as fv
 from emberline.functions.expr import count_if, flag, hash_uniform, rnd
 from emberline.operators import features as ft
 from emberline.operators import metrics
-from emberline.sources.staging import run_dir, stage
+from emberline.operators.boosting import BoostedTrees, fit_trees
+from emberline.operators.network import Network, NetworkSettings, fit_network
+from emberline.sources.staging import stage
 
 LABEL = "ran_out_of_gas"
 COPY_BLOCK = 1000  # copies of a row made by one task at a time
@@ -129,12 +129,6 @@ def append_rows(train: DataFrame, extra: DataFrame) -> DataFrame:
 # ---- models ----------------------------------------------------------------
 
 
-def _cut_lineage(spark: SparkSession) -> None:
-    """Boosting checkpoints its running predictions when a folder is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{run_dir(spark)}/checkpoints")
-
-
 def _assembler(columns: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error")
 
@@ -178,27 +172,11 @@ def fit_boosted_regressor(
     return model if n == s.trees else boosted_regressor(columns, label, pred, replace(s, trees=n)).fit(train)
 
 
-def forest_regressor(columns: Sequence[str], label: str, pred: str, s: TreeSettings) -> Pipeline:
-    forest = RandomForestRegressor(
-        labelCol=label, predictionCol=pred, numTrees=s.trees,
-        maxDepth=s.regressor_depth + 3, subsamplingRate=s.subsample, seed=s.seed,
-    )
-    return Pipeline(stages=[_assembler(columns), forest])
-
-
-def boosted_classifier(columns: Sequence[str], label: str, pred: str, s: TreeSettings) -> Pipeline:
-    gbt = GBTClassifier(
-        labelCol=label, predictionCol=pred, maxIter=s.trees, maxDepth=s.classifier_depth,
-        stepSize=s.rate, subsamplingRate=s.subsample, seed=s.seed,
-    )
-    return Pipeline(stages=[_assembler(columns), gbt])
-
-
 @dataclass
 class Models:
     """Fitted models with the parameters that scoring needs."""
 
-    fitted: dict[str, PipelineModel]
+    fitted: dict[str, BoostedTrees | Network]
     features: list[str]
     stockout_features: list[str]
     ranges: dict[str, tuple[float, float]]
@@ -231,50 +209,85 @@ def train_models(
     scaled: Sequence[str],
     settings: TreeSettings = TreeSettings(),
     feature_set: str = "reference",
+    network: NetworkSettings = NetworkSettings(),
+    preparation: dict | None = None,
 ) -> tuple[Models, DataFrame]:
     """Fits all five models; returns them and the held-out rows.
 
-    ``table`` is the scaled modelling table with ``event_id``.
+    ``table`` is the scaled modelling table with ``event_id``; ``preparation``
+    what it was prepared with, which the models carry for new rows.
     """
-    _cut_lineage(table.sparkSession)
     regression, stockout = feature_sets(table, feature_set)
     marked = stage(
         add_validation(add_split(table), share=settings.validation_share), "training-rows"
     )
     train, held_out = marked.filter("is_train = 1"), marked.filter("is_train = 0")
-    extra = oversample(train, stockout, noisy=[c for c in scaled if c in stockout])
-    balanced = stage(append_rows(train, extra), "balanced-rows")
+    fitted = fit_five(train, regression, stockout, settings, network, scaled)
+    wanted = {c: tuple(ranges[c]) for c in ("consumption_kg", "cylinders_needed")}
+    return Models(fitted, regression, stockout, wanted, preparation), held_out
+
+
+def fit_five(
+    train: DataFrame,
+    regression: Sequence[str],
+    stockout: Sequence[str],
+    settings: TreeSettings = TreeSettings(),
+    network: NetworkSettings = NetworkSettings(),
+    scaled: Sequence[str] | None = None,
+    names: Sequence[str] | None = None,
+) -> dict:
+    """Boosted trees and a network for both quantities, boosted trees for the stockout; or those in ``names``.
+
+    ``train`` holds ``event_id``, the features, both quantities, the label and
+    the boolean ``is_validation``.  The regressors stop by the validation rows;
+    the classifier grows all its trees on the balanced rows.
+    """
+    columns = [c for c in regression if c != "is_validation"]
+    label_columns = [c for c in stockout if c != "is_validation"]
+    noisy = [c for c in label_columns if scaled is None or c in scaled]
+    balanced = train
+    if names is None or "gbt_stockout" in names:
+        balanced = stage(append_rows(train, oversample(train, label_columns, noisy=noisy)), "balanced-rows")
+    held = F.col("is_validation")
+    row = F.col("event_id")
+    trees = dict(trees=settings.trees, rate=settings.rate, share=settings.subsample, seed=settings.seed)
+
+    def boosted(target, output):
+        return fit_trees(
+            train, columns, target, output, row, depth=settings.regressor_depth, patience=settings.patience, held=held, **trees
+        )
+
+    def layered(target, output):
+        return fit_network(train, columns, target, output, row, held, network)
+
     jobs = {
-        "gbt_consumption": lambda: fit_boosted_regressor(train, regression, "consumption_kg", "kg_gbt", settings),
-        "forest_consumption": lambda: forest_regressor(regression, "consumption_kg", "kg_forest", settings).fit(train),
-        "gbt_cylinders": lambda: fit_boosted_regressor(train, regression, "cylinders_needed", "cyl_gbt", settings),
-        "forest_cylinders": lambda: forest_regressor(regression, "cylinders_needed", "cyl_forest", settings).fit(train),
-        "gbt_stockout": lambda: boosted_classifier(stockout, LABEL, "stockout", settings).fit(balanced),
+        "gbt_consumption": lambda: boosted("consumption_kg", "kg_gbt"),
+        "mlp_consumption": lambda: layered("consumption_kg", "kg_mlp"),
+        "gbt_cylinders": lambda: boosted("cylinders_needed", "cyl_gbt"),
+        "mlp_cylinders": lambda: layered("cylinders_needed", "cyl_mlp"),
+        "gbt_stockout": lambda: fit_trees(
+            balanced, label_columns, LABEL, "stockout_score", F.xxhash64("event_id", *label_columns), depth=settings.classifier_depth, patience=None,
+            loss="logistic", **trees,
+        ),
     }
+    jobs = {name: job for name, job in jobs.items() if names is None or name in names}
     # the fits do not depend on each other; their jobs share the cluster
     with ThreadPoolExecutor(len(jobs)) as pool:
         running = {name: pool.submit(job) for name, job in jobs.items()}
-        fitted = {name: job.result() for name, job in running.items()}
-    wanted = {c: tuple(ranges[c]) for c in ("consumption_kg", "cylinders_needed")}
-    return Models(fitted, regression, stockout, wanted), held_out
+        return {name: job.result() for name, job in running.items()}
 
 
-def apply_model(df: DataFrame, model: PipelineModel, keep: Sequence[str]) -> DataFrame:
-    """Adds the model's output and drops its feature vector."""
+def apply_model(df: DataFrame, model, keep: Sequence[str]) -> DataFrame:
+    """Adds the model's output and drops what else its transformation adds."""
     return model.transform(df).select(*df.columns, *keep)
 
 
 def predict_all(df: DataFrame, models: Models) -> DataFrame:
-    """All model outputs side by side, in scaled units."""
-    for name, col in (
-        ("gbt_consumption", "kg_gbt"), ("forest_consumption", "kg_forest"),
-        ("gbt_cylinders", "cyl_gbt"), ("forest_cylinders", "cyl_forest"),
-    ):
-        if name in models.fitted:
-            df = apply_model(df, models.fitted[name], [col])
+    """All model outputs side by side: scaled quantities, stockout score and 0/1 prediction."""
+    for model in models.fitted.values():
+        df = apply_model(df, model, [model.output])
     if "gbt_stockout" in models.fitted:
-        df = apply_model(df, models.fitted["gbt_stockout"], ["stockout", "probability"])
-        df = df.withColumn("stockout_score", vector_to_array("probability")[1]).drop("probability")
+        df = df.withColumn("stockout", flag(F.col("stockout_score") >= 0.5))
     return df
 
 
@@ -292,27 +305,30 @@ def score_events(df: DataFrame, models: Models, keep: Sequence[str] = ()) -> Dat
         out = apply_model(out, models.fitted["gbt_consumption"], ["kg_gbt"])
         kg = ft.inverse_scale_clip("kg_gbt", *models.ranges["consumption_kg"])
     if "gbt_stockout" in models.fitted:
-        out = apply_model(out, models.fitted["gbt_stockout"], ["probability"])
-        risk = rnd(vector_to_array("probability")[1] * F.lit(100.0), 1)
+        out = apply_model(out, models.fitted["gbt_stockout"], ["stockout_score"])
+        risk = rnd(F.col("stockout_score") * F.lit(100.0), 1)
     return out.select(
         "event_id", *keep, kg.alias("ml_consumption_kg"), risk.alias("ml_stockout_risk_pct")
     )
 
 
-def score_requests(features: DataFrame, models: Models) -> DataFrame:
-    """Scores of new feature rows, prepared with what was fitted in training."""
+def score_requests(features: DataFrame, models: Models, carry: str | None = None) -> DataFrame:
+    """Scores of new feature rows, prepared with what was fitted in training.
+
+    ``carry`` names a column (a struct of what else a row holds) that stays.
+    """
     if models.preparation is None:
         raise ValueError("these models carry no preparation")
-    return score_events(ft.apply_preparation(features, models.preparation), models)
+    return score_events(ft.apply_preparation(features, models.preparation, carry), models, [carry] if carry else [])
 
 
 # ---- evaluation ------------------------------------------------------------
 
 COMPARED = (
     ("consumption_kg", "gbt", "kg_gbt"),
-    ("consumption_kg", "forest", "kg_forest"),
+    ("consumption_kg", "mlp", "kg_mlp"),
     ("cylinders_needed", "gbt", "cyl_gbt"),
-    ("cylinders_needed", "forest", "cyl_forest"),
+    ("cylinders_needed", "mlp", "cyl_mlp"),
 )
 
 
@@ -332,7 +348,7 @@ def compare_models(report: DataFrame) -> DataFrame:
     """One row per target: both R2 values and the winner."""
     return report.groupBy("target").agg(
         F.max(F.when(F.col("model") == "gbt", F.col("r2"))).alias("gbt_r2"),
-        F.max(F.when(F.col("model") == "forest", F.col("r2"))).alias("forest_r2"),
+        F.max(F.when(F.col("model") == "mlp", F.col("r2"))).alias("mlp_r2"),
         F.max_by("model", "r2").alias("winner"),
     )
 
@@ -354,9 +370,18 @@ def classifier_report(predicted: DataFrame) -> DataFrame:
     )
 
 
-def importance_table(spark: SparkSession, model: PipelineModel, columns, value: str) -> DataFrame:
+def trees_used(spark: SparkSession, models: Models) -> DataFrame:
+    """(model, trees, stopped_early, errors_seen) of the boosted models: how far each grew."""
+    rows = [
+        (name, len(m.trees), int(len(m.errors) > len(m.trees) + 1), len(m.errors))
+        for name, m in models.fitted.items() if isinstance(m, BoostedTrees)
+    ]
+    return spark.createDataFrame(rows, "model string, trees int, stopped_early int, errors_seen int")
+
+
+def importance_table(spark: SparkSession, model: BoostedTrees, columns, value: str) -> DataFrame:
     """(feature, importance): one value per feature from the fitted trees."""
-    weights = [float(w) for w in model.stages[-1].featureImportances.toArray()]
+    weights = [float(w) for w in model.importances]
     schema = T.StructType(
         [T.StructField("feature", T.StringType()), T.StructField(value, T.DoubleType())]
     )
@@ -415,35 +440,77 @@ def training_report(
 
 # ---- saving and loading ------------------------------------------------------
 
-
-def save_models(spark: SparkSession, models: Models, path: str) -> None:
-    """Every pipeline plus one parameter document under ``path``."""
-    for name, model in models.fitted.items():
-        model.write().overwrite().save(f"{path}/{name}")
-    doc = json.dumps(models.parameters(), sort_keys=True)
-    spark.createDataFrame([(doc,)], "doc string").write.mode("overwrite").parquet(
-        f"{path}/parameters"
-    )
-
-
 MODEL_NAMES = (
-    "gbt_consumption", "forest_consumption", "gbt_cylinders", "forest_cylinders", "gbt_stockout",
+    "gbt_consumption", "mlp_consumption", "gbt_cylinders", "mlp_cylinders", "gbt_stockout",
 )
+KINDS = {"trees": BoostedTrees, "network": Network}
+SAVED = "name string, kind string, body binary"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(f"{path}/metadata").schema  # noqa: B018
-        return True
-    except AnalysisException:
-        return False
+def save_models(spark: SparkSession, models: Models, path: str) -> None:
+    """One table under ``path``: a row a model and one of parameters, written in a single job."""
+    rows = [("parameters", "json", bytearray(json.dumps(models.parameters(), sort_keys=True).encode()))]
+    for name, model in models.fitted.items():
+        kind = next(k for k, c in KINDS.items() if isinstance(model, c))
+        rows.append((name, kind, bytearray(model.to_bytes())))
+    spark.createDataFrame(rows, SAVED).write.mode("overwrite").parquet(path)
 
 
 def load_models(spark: SparkSession, path: str, names: Sequence[str] = MODEL_NAMES) -> Models:
     """Loads what is there; a missing model is left out, not an error."""
-    fitted = {n: PipelineModel.load(f"{path}/{n}") for n in names if _exists(spark, f"{path}/{n}")}
-    doc = json.loads(spark.read.parquet(f"{path}/parameters").first()["doc"])
+    wanted = ["parameters", *names]
+    saved = {r["name"]: r for r in spark.read.schema(SAVED).parquet(path).filter(F.col("name").isin(wanted)).collect()}
+    doc = json.loads(bytes(saved["parameters"]["body"]).decode())
+    fitted = {n: KINDS[saved[n]["kind"]].from_bytes(bytes(saved[n]["body"])) for n in names if n in saved}
     return Models(
         fitted, doc["features"], doc["stockout_features"],
         {k: tuple(v) for k, v in doc["ranges"].items()}, doc.get("preparation"),
     )
+
+
+def storage(spark: SparkSession, path: str):
+    """(file system, path) of the session's own storage."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(sc._jsc.hadoopConfiguration()), folder
+
+
+def published_versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the published versions below ``root``, oldest first."""
+    fs, folder = storage(spark, f"{root}/published")
+    if not fs.exists(folder):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder))
+
+
+def publish_models(spark: SparkSession, models: Models, root: str) -> str:
+    """Write the models as a new version and make it the current one; returns its name.
+
+    The version's table is complete before its name appears: an empty file of
+    that name in ``published`` is created in one step of the file system, so a
+    crash before it leaves the old version current, and readers never see a
+    part.  Versions are never changed; of two writers at the same time both
+    versions are published, and the later name is current.
+    """
+    if models.preparation is None:
+        raise ValueError("models without a preparation cannot score new requests")
+    before = published_versions(spark, root)
+    number = int(before[-1].split("-")[0]) + 1 if before else 1
+    name = f"{number:08d}-{uuid.uuid4().hex[:12]}"
+    save_models(spark, models, f"{root}/versions/{name}")
+    fs, mark = storage(spark, f"{root}/published/{name}")
+    fs.create(mark, False).close()
+    return name
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    """Name of the newest published version."""
+    names = published_versions(spark, root)
+    if not names:
+        raise ValueError(f"no published models below {root}")
+    return names[-1]
+
+
+def load_version(spark: SparkSession, root: str, version: str | None = None) -> Models:
+    """Models of a pinned version, or of the current one."""
+    return load_models(spark, f"{root}/versions/{version or current_version(spark, root)}")

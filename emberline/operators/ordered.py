@@ -16,7 +16,25 @@ from pyspark.sql import functions as F
 from emberline.functions.expr import as_col
 from emberline.sources.staging import stage
 
-ID_CELL_WIDTH = 1 << 20
+CELL_ROWS = 1 << 20  # rows of a cell, as far as that takes at most MOST_BINS bins
+MOST_BINS = 10_000
+
+
+def id_bins(df: DataFrame, id_col: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Adds ``_cell``: ascending bins of ``id_col`` with about equal row counts, whatever the ids.
+
+    A mergeable sketch of the whole table gives the cuts, so sparse and
+    clustered ids fill bins as evenly as dense ones.
+    """
+    n = df.select(F.count("*").alias("n")).first()["n"]
+    bins = min(MOST_BINS, -(-n // cell_rows))
+    if bins < 2:
+        return df.withColumn("_cell", F.lit(0.0))
+    probs = [i / bins for i in range(1, bins)]
+    at = F.col(id_col).cast("double")
+    cuts = df.select(F.percentile_approx(at, probs, 10 * bins).alias("q")).first()["q"]
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    return Bucketizer(splits=splits, inputCol="_at", outputCol="_cell").transform(df.withColumn("_at", at)).drop("_at")
 
 
 def ordered_position(
@@ -25,7 +43,8 @@ def ordered_position(
     level: Column,
     id_col: str,
     weight: Column | None = None,
-    cell_width: int = ID_CELL_WIDTH,
+    cell_width: int | None = None,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Adds ``prefix`` and ``group_total`` for the order (level, id) in a group.
 
@@ -34,21 +53,20 @@ def ordered_position(
     ``level`` is an integer of low cardinality (such as a risk in tenths of a
     percent) and ``id_col`` a unique integer.
 
-    A cell is (keys, level, id range of ``cell_width``): at most
-    ``cell_width`` rows because ids are unique.  Cells are pre-aggregated map
-    side; the running totals over levels and over cells touch one row per cell.
-    The cell table is staged, so the join back broadcasts it only when its
-    known size allows, and otherwise joins on the cell key, which no single
-    group can skew.
+    A cell is (keys, level, bin of ids).  Bins hold about ``cell_rows`` rows of
+    the whole table each (see :func:`id_bins`), so no cell is larger, however
+    the ids lie; with ``cell_width`` bins are id ranges of that width instead.
+    Cells are pre-aggregated map side; the running totals over levels and over
+    cells touch one row per cell.  The cell table is staged, so the join back
+    broadcasts it only when its known size allows, and otherwise joins on the
+    cell key, which no single group can skew.
     """
     w = F.lit(1) if weight is None else weight
-    tagged = df.withColumns(
-        {
-            "_level": level,
-            "_cell": F.floor(F.col(id_col) / F.lit(cell_width)),
-            "_w": w.cast("long"),
-        }
-    )
+    if cell_width is None:
+        binned = id_bins(df, id_col, cell_rows)
+    else:
+        binned = df.withColumn("_cell", F.floor(F.col(id_col) / F.lit(cell_width)))
+    tagged = binned.withColumns({"_level": level, "_w": w.cast("long")})
     cells = tagged.groupBy(*keys, "_level", "_cell").agg(F.sum("_w").alias("_cell_w"))
     before_cell = (
         Window.partitionBy(*keys, "_level")
@@ -95,66 +113,75 @@ def ordered_position(
     )
 
 
-def median_table(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
-    """Exact medians as rows (column_name, median) at any table size.
+MIDDLE_VALUES = 2_000  # distinct values of a column left between the brackets
+
 
-    A mergeable quantile sketch brackets the median of each column within a
-    rank error of 1/accuracy; a second pass counts the rows below the bracket
-    and the distinct values inside it, and the exact middle is read from those
-    counts.  No task ever holds a whole column.
+def median_table(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """Exact medians as rows (column_name, median) at any table size, all columns together.
+
+    A pass brackets the middle of each column with a mergeable quantile sketch
+    and counts the rows below the bracket and the distinct values inside.
+    Columns whose bracket still holds more than MIDDLE_VALUES distinct values
+    are narrowed by a sketch of the bracket alone in the next pass.  Then the
+    few values left are counted and the middle is read off.  No window is used
+    and no task holds a column.  Columns without a value have no row.
     """
+    name = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    n = df.agg(*[F.count(v).alias(c) for c, v in name.items()]).first().asDict() if columns else {}
+    wanted = {c: ((k + 1) // 2, k // 2 + 1) for c, k in n.items() if k}
+    low = {c: float("-inf") for c in wanted}
+    high = {c: float("inf") for c in wanted}
+    below = dict.fromkeys(wanted, 0)
+    inside = {c: n[c] for c in wanted}
     eps = 2.0 / accuracy
-    probs = F.array(F.lit(max(0.0, 0.5 - eps)), F.lit(min(1.0, 0.5 + eps)))
-    head = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[
-            F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(f"q_{i}")
-            for i, c in enumerate(columns)
-        ],
-    ).first()
-    parts = []
-    limits = []
-    for i, c in enumerate(columns):
-        n, q = head[f"n_{i}"], head[f"q_{i}"]
-        if not n:
-            continue
-        low, high = float(q[0]), float(q[1])
-        v = F.col(c).cast("double")
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.when(v < F.lit(low), F.lit(float("-inf"))).when(v <= F.lit(high), v).alias("v"),
-            )
-        )
-        limits.append((c, (n + 1) // 2, n // 2 + 1))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column_name string, median double")
-    counts = (
-        df.select(F.explode(F.array(*parts)).alias("s"))
-        .select("s.*")
-        .filter(F.col("v").isNotNull())
-        .groupBy("column_name", "v")
-        .count()
-    )
-    upto = (
-        Window.partitionBy("column_name")
-        .orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    cum = counts.withColumn("upto", F.sum("count").over(upto))
-    lower = F.lit(None).cast("long")
-    upper = F.lit(None).cast("long")
-    for c, a, b in limits:
-        lower = F.when(F.col("column_name") == c, F.lit(a)).otherwise(lower)
-        upper = F.when(F.col("column_name") == c, F.lit(b)).otherwise(upper)
-    first = F.col("upto") - F.col("count") + 1
-    at = lambda pos: (first <= pos) & (pos <= F.col("upto"))
-    return cum.groupBy("column_name").agg(
-        (
-            (F.max(F.when(at(lower), F.col("v"))) + F.max(F.when(at(upper), F.col("v"))))
-            / F.lit(2.0)
-        ).alias("median")
-    )
+    open_ = list(wanted)
+    while open_:
+        # the sketch of what lies between the brackets
+        between = {c: F.when((name[c] >= low[c]) & (name[c] <= high[c]), name[c]) for c in open_}
+        asked = {}
+        for c in open_:
+            first, last = ((p - below[c]) / inside[c] for p in wanted[c])
+            asked[c] = [min(1.0, max(0.0, first - eps)), min(1.0, max(0.0, last + eps))]
+        q = df.agg(*[F.percentile_approx(v, asked[c], accuracy).alias(c) for c, v in between.items()]).first()
+        ends = {c: (float(q[c][0]), float(q[c][1])) for c in open_}
+        counts = df.agg(
+            *[F.count_if(name[c] < ends[c][0]).alias(f"b {c}") for c in open_],
+            *[F.count_if((name[c] >= ends[c][0]) & (name[c] <= ends[c][1])).alias(f"i {c}") for c in open_],
+            *[F.approx_count_distinct(F.when((name[c] >= ends[c][0]) & (name[c] <= ends[c][1]), name[c])).alias(f"d {c}") for c in open_],
+        ).first()
+        again, sharper = [], False
+        for c in open_:
+            under, held = counts[f"b {c}"], counts[f"i {c}"]
+            hit = under < wanted[c][0] and wanted[c][1] <= under + held
+            narrower = hit and held < inside[c]
+            if hit:
+                (low[c], high[c]), below[c], inside[c] = ends[c], under, held
+            if counts[f"d {c}"] > MIDDLE_VALUES or not hit:
+                again.append(c)
+                sharper |= not narrower  # a coarse sketch, or ties at both ends: the next one is finer
+        open_ = again
+        if sharper and accuracy < 1 << 24:
+            accuracy *= 8
+            eps = 2.0 / accuracy
+        elif sharper:
+            raise ValueError(f"the middle of {open_} cannot be narrowed")
+    parts = [
+        F.struct(F.lit(c).alias("column_name"), F.when((name[c] >= low[c]) & (name[c] <= high[c]), name[c]).alias("v"))
+        for c in wanted
+    ]
+    found: dict[str, list[tuple[float, int]]] = {c: [] for c in wanted}
+    if parts:
+        left = df.select(F.explode(F.array(*parts)).alias("s")).select("s.*").filter("v is not null")
+        for r in left.groupBy("column_name", "v").count().collect():  # the middle values alone
+            found[r["column_name"]].append((r["v"], r["count"]))
+    rows = []
+    for c, (first, last) in wanted.items():
+        upto, middle = below[c], []
+        for v, k in sorted(found[c]):
+            middle += [v] * ((upto < first <= upto + k) + (upto < last <= upto + k))
+            upto += k
+        rows.append((c, sum(middle) / 2.0))
+    return df.sparkSession.createDataFrame(rows, "column_name string, median double")
 
 
 def cumulative_by_value(

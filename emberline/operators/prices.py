@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
 from emberline.functions.expr import rnd
-from emberline.operators.joins import dimension_join
 from emberline.sources.tables import parse_date_lenient
 
 
@@ -150,8 +149,9 @@ def price_lookup(events: DataFrame, prices: DataFrame) -> DataFrame:
 
     A month the series does not cover takes fixed values; a covered month
     keeps its null lags, which are imputed later.  ``prices`` has one row per
-    calendar month; it is counted before it is broadcast, because a shuffle on
-    the few (year, month) keys would pile the events up in as many tasks.
+    calendar month and is cut to three centuries, which bounds what is
+    broadcast: a shuffle on the few (year, month) keys would pile the events
+    up in as many tasks.
     """
     names = {
         "commercial_price_inr": "commercial_price_inr",
@@ -159,13 +159,13 @@ def price_lookup(events: DataFrame, prices: DataFrame) -> DataFrame:
         "price_lag2_inr": "price_lag2",
         "price_mom_change_inr": "price_mom_change",
     }
-    side = prices.select(
+    side = prices.filter(F.col("year").between(1900, 2199)).select(
         "year",
         "month",
         F.lit(True).alias("_hit"),
         *[F.col(src).alias(f"_{out}") for out, src in names.items()],
     )
-    joined = dimension_join(events, side, ["year", "month"])
+    joined = events.join(F.broadcast(side), ["year", "month"], "left")
     priced = joined.withColumns(
         {
             out: F.when(F.col("_hit").isNull(), F.lit(fv.PRICE_MISS[out])).otherwise(

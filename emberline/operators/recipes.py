@@ -123,6 +123,26 @@ def commercial_rates(by_profile: DataFrame) -> DataFrame:
     )
 
 
+def menu_rates(processed: DataFrame) -> DataFrame:
+    """Commercial gas rate and mean cook time of each of the seven profiles, from one pass over the recipes.
+
+    As :func:`commercial_rates` and :func:`cook_time_by_profile`; profiles
+    without recipes take their fixed rate and the default time.
+    """
+    seen = processed.groupBy("menu_profile").agg(
+        rnd(rnd(fixed_avg("gas_per_serving_kg", 5), 5) / F.lit(fv.COMMERCIAL_EFFICIENCY), 5).alias("_gas"),
+        rnd(F.sum("cook_time_mins") / F.count("cook_time_mins"), 1).alias("_cook"),
+    )
+    vocabulary = processed.sparkSession.createDataFrame(
+        list(fv.GAS_PER_SERVING.items()), "menu_profile string, fixed_rate double"
+    )
+    return vocabulary.join(seen, "menu_profile", "left").select(
+        "menu_profile",
+        F.coalesce("_gas", "fixed_rate").alias("gas_intensity_per_serving"),
+        F.coalesce("_cook", F.lit(fv.DEFAULT_COOK_MINUTES)).alias("avg_cook_time_mins"),
+    )
+
+
 def menu_lookup(
     events: DataFrame, rates: DataFrame | None = None, cook_times: DataFrame | None = None
 ) -> DataFrame:

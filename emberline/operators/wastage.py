@@ -45,6 +45,27 @@ def mean_rate_by_type(processed: DataFrame) -> DataFrame:
     )
 
 
+def rates_by_order(lines: DataFrame, order: str, wasted: Column, quantity: Column) -> DataFrame:
+    """Line count, summed rate (in ten-thousandths) and number of rates of each order.
+
+    Lines are combined map side, so an order of any size is one row a task.
+    """
+    rate = wastage_rate(wasted, quantity)
+    return lines.groupBy(order).agg(
+        F.count("*").alias("n_lines"),
+        F.sum(F.floor(rate * F.lit(10_000.0) + F.lit(0.5))).alias("rate_units"),
+        F.count(rate).alias("n_rates"),
+    )
+
+
+def mean_rate_of_orders(orders: DataFrame) -> DataFrame:
+    """As :func:`mean_rate_by_type`, from orders (event_type, n_lines, rate_units, n_rates) instead of their lines."""
+    return orders.groupBy("event_type").agg(
+        rnd(F.try_divide(F.sum("rate_units") / F.lit(10_000.0), F.sum("n_rates")), 8).alias("mean_wastage_rate"),
+        F.sum("n_lines").alias("n_records"),
+    )
+
+
 def rate_lookup(events: DataFrame, observed: DataFrame) -> DataFrame:
     """Adds ``wastage_rate``: observed mean, else benchmark, else the default.
 

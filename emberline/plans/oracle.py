@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from emberline.plans.oracle_views import (
-    CURVE, EFF, ETYPE, EV, EVD, EVX, FEAT, LEAD_TIER, MENU, PL, PR, PRED, PROFILES, RATE, RC,
-    REF_PRICES, REQUESTS, RISK, RULE, SCALED, SHIFT, TARGETS, TIER, TIER_NAME, V1, WSP, CAL,
-    draw, favg, fsum, gas_rate, menu_class, q, r, series, u,
+    CAL, CURVE, EFF, ENC, ENCODED, ETYPE, EV, EVD, EVX, FEAT, FEATURES, GBP, HOT, MENU, PL, PR, PRED,
+    PROFILES, RATE, RC, REF_PRICES, REQUESTS, RISK, RULE, SCALED, SHIFT, TARGETS, TIER, TIER_NAME,
+    V1, WSP, corr_of, draw, favg, fsum, gas_rate, menu_class, q, r, series, u,
 )
 from emberline.plans.oracle_models import MODEL_SQL
 
@@ -22,6 +22,7 @@ SQL["column_ranges_s4"] = q(EVX, " union all ".join(
     f"select '{c}' column_name, count({c}) n_values, cast(min({c}) as double) min_value, "
     f"cast(max({c}) as double) max_value from evx"
     for c in [*TARGETS, "price_lag1_inr", "price_lag2_inr", "headcount"]))
+SQL["column_statistics_s4"] = SQL["column_ranges_s4"]
 SQL["write_metadata_s4"] = q(FEAT, " union all ".join(
     f"select '{p}' part, '{c}' column_name, cast(min({c}) as double) min_value, cast(max({c}) as double) max_value from feat"
     for p, cols in (("features", SCALED), ("targets", TARGETS)) for c in cols))
@@ -44,14 +45,12 @@ SQL["gas_per_serving_t2"] = q(RC, "select recipe_id, gas_per_serving_kg from rcp
 SQL["menu_profile_t3"] = q(RC, f"select recipe_id, {menu_class()} menu_profile from rcl")
 SQL["menu_profile_other_words_t3"] = q(RC, f"""select recipe_id,
  {menu_class(nv=['th', 'au'], vg=['he', 'er'])} menu_profile from rcl""")
-_GBP = f"""gbp as (select menu_profile, {r(favg("gas_per_serving_kg", 5), 5)} gas_intensity_mean,
- {r("stddev_samp(gas_per_serving_kg)", 5)} gas_intensity_std, count(*) recipe_count from rcp group by 1)"""
-SQL["gas_by_profile_a2"] = q(f"{RC},{_GBP}", "select * from gbp")
+SQL["gas_by_profile_a2"] = q(f"{RC},{GBP}", "select * from gbp")
 SQL["cook_time_by_profile_a3"] = q(RC, f"""select menu_profile,
  {r("sum(cook_time_mins)/count(*)", 1)} avg_cook_time_mins from rcp group by 1""")
-SQL["commercial_rates_t4"] = q(f"{RC},{_GBP},{MENU}", f"""select menu_profile,
+SQL["commercial_rates_t4"] = q(f"{RC},{GBP},{MENU}", f"""select menu_profile,
  coalesce({r("gas_intensity_mean/3.5e0", 5)}, gas) gas_intensity_per_serving from menu left join gbp using (menu_profile)""")
-SQL["menu_lookup_j3"] = q(f"{RC},{_GBP},{MENU},{REQUESTS}", f"""
+SQL["menu_lookup_j3"] = q(f"{RC},{GBP},{MENU},{REQUESTS}", f"""
 select event_id, {r(f"coalesce({r('gas_intensity_mean/3.5e0', 5)}, gas, 0.012e0)", 5)} gas_intensity_per_serving,
  coalesce(dishes, 5) typical_dishes, {r("coalesce(cook, 30e0)", 1)} avg_cook_time_mins
 from req left join menu using (menu_profile) left join gbp using (menu_profile)
@@ -59,6 +58,7 @@ from req left join menu using (menu_profile) left join gbp using (menu_profile)
 SQL["remap_category_p3"] = q(WSP, "select l_orderkey, l_linenumber, event_type, cooking_intensity, season from wsp")
 SQL["wastage_rate_p4"] = q(WSP, "select l_orderkey, l_linenumber, wastage_rate from wsp")
 SQL["mean_rate_by_type_a1"] = q(WSP, "select * from wrate")
+SQL["mean_rate_of_records_a1"] = SQL["mean_rate_by_type_a1"]
 SQL["rate_lookup_j5"] = q(f"{WSP},{ETYPE},{REQUESTS}", """select event_id, event_type,
  coalesce(mean_wastage_rate, bench_rate, 0.09e0) wastage_rate
  from req left join wrate using (event_type) left join et using (event_type)""")
@@ -113,14 +113,9 @@ _NARROW = {
 SQL["clean_report_p2"] = q(EVX, "select count(*) rows_in, count(*) filter (where "
     + " and ".join(_NARROW.values()) + ") rows_kept, "
     + ", ".join(f"count(*) filter (where not ({c})) bad_{n}" for n, c in _NARROW.items()) + " from evx")
-_ENC = ", ".join(f"cast(dense_rank() over (order by {c}) - 1 as int) {c}_enc" for c in
-                 ["event_type", "menu_profile", "business_size", "festival_name", "experience_tier"])
-_TYPES = ["wedding", "corporate_lunch", "college_canteen", "birthday_party", "festival_event",
-          "hospital_canteen", "school_canteen", "dhaba_daily"]
-_HOT = ", ".join(f"case when event_type = '{t}' then 1 else 0 end etype_{t}" for t in _TYPES)
 SQL["select_features_p5"] = q(FEAT, f"""select * exclude (experience_tier_enc) from (
  select event_id, {", ".join(SCALED)}, wedding_season, festival_flag, is_monsoon, covid_period, month_sin, month_cos,
-  heat_stress, price_surge_flag, novice_peak_season, {_ENC}, {_HOT} from feat)""")
+  heat_stress, price_surge_flag, novice_peak_season, {ENC}, {HOT} from feat)""")
 SQL["coerce_numeric_p6"] = """select o_orderkey, case when o_orderkey % 5 = 0 then null else cast(o_custkey as double) end a,
  try_cast(o_orderpriority as double) b from orders"""
 SQL["inverse_scale_clip_p7"] = f"""select o_orderkey event_id,
@@ -132,13 +127,12 @@ for _name, _cols in {
     "price_index_f6": "price_index", "experience_tier_f7": "experience_tier",
 }.items():
     SQL[_name] = q(FEAT, f"select event_id, {_cols} from feat")
-SQL["label_encode_e1"] = q(FEAT, f"select event_id, {_ENC} from feat")
-SQL["one_hot_e2"] = f"select event_id, {_HOT} from (select o_orderkey event_id, " + """case o_orderkey % 8 when 0 then 'wedding'
+SQL["label_encode_e1"] = q(FEAT, f"select event_id, {ENC} from feat")
+SQL["one_hot_e2"] = f"select event_id, {HOT} from (select o_orderkey event_id, " + """case o_orderkey % 8 when 0 then 'wedding'
  when 1 then 'corporate_lunch' when 2 then 'college_canteen' when 3 then 'birthday_party' when 4 then 'festival_event'
  when 5 then 'hospital_canteen' when 6 then 'school_canteen' else 'dhaba_daily' end event_type from orders)"""
-SQL["median_e3"] = q(EVX, " union all ".join(
-    f"select '{c}' column_name, cast(median({c}) as double) median from evx"
-    for c in ["price_lag1_inr", "price_lag2_inr", "consumption_kg", "wastage_kg", "headcount"]))
+SQL["median_e3"] = q(FEAT, " union all ".join(
+    f"select '{c}' column_name, cast(median({c}) as double) median from feat" for c in [*SCALED, *TARGETS]))
 SQL["impute_e3"] = q(EVX, """select event_id, coalesce(price_lag1_inr, (select median(price_lag1_inr) from evx)) price_lag1_inr,
  coalesce(price_lag2_inr, (select median(price_lag2_inr) from evx)) price_lag2_inr from evx""")
 _MM = [*SCALED, *TARGETS]
@@ -168,33 +162,24 @@ _NORM_COLS = [*_MM, "year", "month", "day", "wedding_season", "festival_flag", "
               "heat_stress", "price_surge_flag", "novice_peak_season", "ran_out_of_gas", "month_sin", "month_cos",
               "cylinders_ordered", "wastage_rate"]
 SQL["dataset_checks_q2"] = q(f"""{FEAT},
- enc as (select {", ".join(f"coalesce({c}, (select median({c}) from feat)) {c}" if "lag" in c else c for c in _NORM_COLS)}, {_ENC}, {_HOT} from feat)""",
+ enc as (select {", ".join(f"coalesce({c}, (select median({c}) from feat)) {c}" if "lag" in c else c for c in _NORM_COLS)}, {ENC}, {HOT} from feat)""",
  """select count(*) n_rows, 0::bigint n_nulls, 0e0 min_scaled, 1e0 max_scaled,
  cast(count(*) - (select count(*) from (select distinct * from enc)) as bigint) n_duplicates,
  case when count(*) = (select count(*) from (select distinct * from enc)) then 1 else 0 end passed from enc""")
 SQL["duplicate_rows_q2"] = """select l_orderkey, l_linenumber, l_returnflag, count(*) n_copies from lineitem
  group by 1,2,3 having count(*) > 1"""
-_NUM = [
-    "headcount", "num_dishes", "duration_hrs", "num_burners", "experience_yrs", "wedding_season",
-    "festival_flag", "demand_multiplier", "temp_mean_c", "precipitation_mm", "commercial_price_inr",
-    "covid_period", "gas_intensity_per_serving", "avg_cook_time_mins", "kg_per_guest", "kg_per_burner_hr",
-    "log_headcount", "month_sin", "month_cos", "season_intensity", "heat_stress", "price_index",
-    "price_surge_flag", "dish_load", "event_scale", "novice_peak_season", "price_lag1_inr", "price_lag2_inr",
-]
-
-
-def _corr(c: str, y: str) -> str:
-    return r(f"case when min({c}) = max({c}) then null else corr({y}, {c}) end", 6)
-
-
-SQL["correlations_a18"] = q(FEAT, " union all ".join(
-    f"select '{c}' feature, {_corr(c, 'ran_out_of_gas')} correlation from feat" for c in _NUM))
-SQL["leakage_audit_q3"] = q(f"""{FEAT}, c as ({" union all ".join(
-    f"select '{c}' feature, {_corr(c, 'consumption_kg')} correlation from feat" for c in _NUM)})""",
+SQL["correlations_a18"] = q(ENCODED, " union all ".join(
+    f"select '{y}' target, '{c}' feature, {corr_of(c, y)} correlation from encoded"
+    for y in ("consumption_kg", "ran_out_of_gas") for c in FEATURES))
+SQL["leakage_audit_q3"] = q(f"""{ENCODED}, c as ({" union all ".join(
+    f"select '{c}' feature, {corr_of(c, 'consumption_kg')} correlation from encoded" for c in FEATURES)})""",
  """select feature, correlation, abs(correlation) abs_correlation,
  case when feature in ('kg_per_guest','kg_per_burner_hr') then 'derived_from_target'
   when feature in ('experience_yrs','novice_peak_season') then 'label_input' else 'independent' end lineage,
  case when feature in ('kg_per_guest','kg_per_burner_hr') then 0 else 1 end in_leak_free_set from c""")
+SQL["vocabulary_encode_e1"] = """select o_orderkey event_id,
+ cast(dense_rank() over (order by cast(o_orderdate as date)::varchar || ' ' || o_custkey::varchar) - 1 as int) visit_enc,
+ cast(dense_rank() over (order by o_orderpriority) - 1 as int) priority_enc from orders"""
 
 # ---- reports -------------------------------------------------------------------
 SQL["dataset_summary_a5"] = q(EVX, f"""select count(*) n_events, {r(fsum("consumption_kg", 2) + "/count(*)", 1)} avg_consumption_kg,

@@ -122,6 +122,9 @@ rcf as (select * from rcl where ingredients is not null and cook_time_mins > 0 a
 rcp as (select *, {r("cook_time_mins/60e0*rate/servings", 5)} gas_per_serving_kg
  from (select *, {gas_rate()} rate, {menu_class()} menu_profile from rcf))"""
 
+GBP = f"""gbp as (select menu_profile, {r(favg("gas_per_serving_kg", 5), 5)} gas_intensity_mean,
+ {r("stddev_samp(gas_per_serving_kg)", 5)} gas_intensity_std, count(*) recipe_count from rcp group by 1)"""
+
 WS = """
 ws as (
  select l_orderkey, l_linenumber,
@@ -204,8 +207,8 @@ _KG = r(
     2,
 )
 
-# the event table without recipes, wastage rates and prices
-EVD = f"""{EV},{CAL},{MENU},
+# the event table without cook times, wastage rates and prices
+EVD = f"""{EV},{CAL},{MENU},{RC},{GBP},
 evd as (
  select *, case when cylinders_ordered<cylinders_needed or (wedding_season=1 and order_lead_days<=1 and {u("42s")}<0.12e0)
   or (headcount>1000 and experience_yrs<=2 and {u("42g")}<0.10e0) then 1 else 0 end ran_out_of_gas
@@ -214,10 +217,11 @@ evd as (
   from (select *, cast(ceil(consumption_kg/17.5e0) as int) cylinders_needed
    from (select *, {_KG} consumption_kg
     from (select *, {SHOCK} shock_factor, case when pm between 2020*12+3 and 2021*12+6 then 1 else 0 end covid_period
-     from (select ev.*, yr22*12+mon pm, wedding_season, festival_name, demand_multiplier, temp_mean_c, precipitation_mm, gas
-      from ev join cal using (mon) join menu using (menu_profile)))))))"""
+     from (select ev.*, yr22*12+mon pm, wedding_season, festival_name, demand_multiplier, temp_mean_c, precipitation_mm,
+       {r(f"coalesce({r('gas_intensity_mean/3.5e0', 5)}, gas)", 5)} gas
+      from ev join cal using (mon) join menu using (menu_profile) left join gbp using (menu_profile)))))))"""
 
-EVX = f"""{EVD},{ETYPE},{RC},{WSP},{REF_PRICES},
+EVX = f"""{EVD},{ETYPE},{WSP},{REF_PRICES},
 ct as (select menu_profile, {r("sum(cook_time_mins)/count(*)", 1)} cook from rcp group by 1),
 evx as (
  select event_id, caterer_id, event_date, yr22 "year", mon "month", dom "day", region, dealer, event_type, menu_profile,
@@ -245,7 +249,8 @@ feat as (
   case when experience_yrs <= 3 and wedding_season = 1 then 1 else 0 end novice_peak_season,
   case when experience_yrs <= 0 then null when experience_yrs <= 2 then 'novice' when experience_yrs <= 5 then 'intermediate'
    when experience_yrs <= 10 then 'experienced' when experience_yrs <= 30 then 'expert' end experience_tier
- from evx)"""
+ from evx where headcount between 10 and 5000 and consumption_kg between 0.5e0 and 500 and cylinders_needed between 1 and 29
+  and duration_hrs between 0.5e0 and 16 and wastage_kg >= 0 and order_lead_days between 0 and 30)"""
 
 SCALED = [
     "headcount", "num_dishes", "duration_hrs", "num_burners", "experience_yrs", "demand_multiplier",
@@ -255,6 +260,23 @@ SCALED = [
 ]
 TARGETS = ["consumption_kg", "cylinders_needed", "wastage_kg", "order_lead_days"]
 
+TYPES = ["wedding", "corporate_lunch", "college_canteen", "birthday_party", "festival_event",
+         "hospital_canteen", "school_canteen", "dhaba_daily"]
+ENC = ", ".join(f"cast(dense_rank() over (order by {c}) - 1 as int) {c}_enc" for c in
+                ["event_type", "menu_profile", "business_size", "festival_name", "experience_tier"])
+HOT = ", ".join(f"case when event_type = '{t}' then 1 else 0 end etype_{t}" for t in TYPES)
+FLAGS = ["wedding_season", "festival_flag", "is_monsoon", "covid_period", "month_sin", "month_cos", "heat_stress",
+         "price_surge_flag", "novice_peak_season"]
+CODES = ["event_type_enc", "menu_profile_enc", "business_size_enc", "festival_name_enc"]
+# the 42 features: scaled, flags, codes, one column a type
+FEATURES = [*SCALED, *FLAGS, *CODES, *[f"etype_{t}" for t in TYPES]]
+ENCODED = f"{FEAT}, encoded as (select *, {ENC}, {HOT} from feat)"
+
+
+def corr_of(c: str, y: str) -> str:
+    return r(f"case when min({c}) = max({c}) then null else corr({y}, {c}) end", 6)
+
+
 RISK = r(
     "least(99e0, greatest(0e0,(kg-cyl*17.5e0)/greatest(kg,1e0)*100e0)*(case when experience_yrs<3 then 1.5e0 "
     "when experience_yrs<6 then 1.2e0 else 1e0 end))",

@@ -17,6 +17,7 @@ from emberline.plans import views as v
 from emberline.plans.modelling_queries import MODEL_QUERIES
 from emberline.sources import tables
 from emberline.sources.staging import new_path
+from emberline.sources.statistics import column_statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("region", "dealer")
@@ -70,11 +71,23 @@ def _(spark, d):
     )
 
 
+RANGED = [*fv.TARGETS, "price_lag1_inr", "price_lag2_inr", "headcount"]
+
+
 @query("column_ranges_s4")
 def _(spark, d):
-    return tables.column_ranges(
-        v.event_table(spark, d), [*fv.TARGETS, "price_lag1_inr", "price_lag2_inr", "headcount"]
-    )
+    return tables.column_ranges(v.event_table(spark, d), RANGED)
+
+
+@query("column_statistics_s4")
+def _(spark, d):
+    """Ranges of a table that was appended to: the second call reads the second part's files alone."""
+    e = v.event_table(spark, d).select("event_id", *RANGED)
+    path = new_path(spark, "appended")
+    e.filter("event_id % 3 > 0").write.parquet(path)
+    column_statistics(spark, path, RANGED)
+    e.filter("event_id % 3 = 0").write.mode("append").parquet(path)
+    return column_statistics(spark, path, RANGED)
 
 
 @query("write_metadata_s4")
@@ -222,13 +235,18 @@ def _(spark, d):
 
 @query("mean_rate_by_type_a1")
 def _(spark, d):
+    return v.observed_rates(spark, d)
+
+
+@query("mean_rate_of_records_a1")
+def _(spark, d):
+    """The same from single records, where a record's type is its own."""
     return wastage.mean_rate_by_type(wastage.process_wastage(v.wastage_view(spark, d)))
 
 
 @query("rate_lookup_j5")
 def _(spark, d):
-    observed = wastage.mean_rate_by_type(wastage.process_wastage(v.wastage_view(spark, d)))
-    return wastage.rate_lookup(v.event_requests(spark, d), observed).select(
+    return wastage.rate_lookup(v.event_requests(spark, d), v.observed_rates(spark, d)).select(
         "event_id", "event_type", "wastage_rate"
     )
 
@@ -306,7 +324,7 @@ def _(spark, d):
 
 
 def _derived(*cols):
-    return lambda spark, d: derive.derive_events(v.events_view(spark, d)).select("event_id", *cols)
+    return lambda spark, d: derive.derive_events(v.events_with_menu(spark, d)).select("event_id", *cols)
 
 
 QUERIES["derive_consumption_v1"] = _derived("consumption_kg")
@@ -410,6 +428,18 @@ def _(spark, d):
     )
 
 
+@query("vocabulary_encode_e1")
+def _(spark, d):
+    """A column with as many classes as there are clerks and days."""
+    o = v.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("event_id"),
+        F.concat_ws(" ", F.col("o_orderdate").cast("date").cast("string"), F.col("o_custkey").cast("string")).alias("visit"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    vocabulary = features.fit_vocabulary(o, ["visit", "priority"])
+    return features.encode_by_vocabulary(o, vocabulary, ["visit", "priority"]).select("event_id", "visit_enc", "priority_enc")
+
+
 @query("one_hot_e2")
 def _(spark, d):
     return features.one_hot(v.event_table(spark, d)).select(
@@ -422,7 +452,8 @@ LAGS = ["price_lag1_inr", "price_lag2_inr"]
 
 @query("median_e3")
 def _(spark, d):
-    return median_table(v.event_table(spark, d), [*LAGS, "consumption_kg", "wastage_kg", "headcount"])
+    f = v.feature_table(spark, d)
+    return median_table(f, [*features.scaled_columns(v.model_inputs(f)), *fv.TARGETS])
 
 
 @query("impute_e3")
@@ -482,24 +513,16 @@ def _(spark, d):
     )
 
 
-NUMERIC_FEATURES = [
-    "headcount", "num_dishes", "duration_hrs", "num_burners", "experience_yrs", "wedding_season",
-    "festival_flag", "demand_multiplier", "temp_mean_c", "precipitation_mm",
-    "commercial_price_inr", "covid_period", "gas_intensity_per_serving", "avg_cook_time_mins",
-    "kg_per_guest", "kg_per_burner_hr", "log_headcount", "month_sin", "month_cos",
-    "season_intensity", "heat_stress", "price_index", "price_surge_flag", "dish_load",
-    "event_scale", "novice_peak_season", "price_lag1_inr", "price_lag2_inr",
-]
-
-
 @query("correlations_a18")
 def _(spark, d):
-    return quality.correlations(v.feature_table(spark, d), NUMERIC_FEATURES, "ran_out_of_gas")
+    e = v.encoded(spark, d)
+    return quality.all_correlations(e, features.feature_names(e), ["consumption_kg", "ran_out_of_gas"])
 
 
 @query("leakage_audit_q3")
 def _(spark, d):
-    out = quality.leakage_audit(v.feature_table(spark, d), NUMERIC_FEATURES, "consumption_kg")
+    e = v.encoded(spark, d)
+    out = quality.leakage_audit(e, features.feature_names(e), "consumption_kg")
     return out.withColumn("in_leak_free_set", flag(F.col("in_leak_free_set")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import fixed_values as fv
-from emberline.functions.expr import by_month, flag, hash_uniform, rnd, uniform_between
+from emberline.functions.expr import by_month, flag, hash_uniform, lookup, rnd, uniform_between
 from emberline.operators import derive, features, joins, planning, prices, recipes, wastage
 from emberline.sources.staging import stage
 
@@ -75,14 +75,39 @@ def caterer_profiles(spark, sf_dir) -> DataFrame:
     )
 
 
+def order_lines(spark, sf_dir) -> DataFrame:
+    """Line count and wastage sums of each order: the one pass over the lines, kept for the session."""
+    l = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("event_id"), (F.col("l_quantity") - 1).alias("quantity"),
+        (F.col("l_quantity") * F.col("l_discount")).alias("wasted"),
+    )
+    return staged(
+        spark, sf_dir, "order-lines", lambda: wastage.rates_by_order(l, "event_id", F.col("wasted"), F.col("quantity"))
+    )
+
+
+def observed_rates(spark, sf_dir) -> DataFrame:
+    """Mean wastage rate by event type; the type comes with the order, so lines are not joined."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("event_id"), raw_kind("o_orderpriority").alias("raw")
+    )
+    kind = wastage.remap_category("raw", fv.EVENT_TYPE_OF_RAW, fv.DEFAULT_EVENT_TYPE)
+    return wastage.mean_rate_of_orders(order_lines(spark, sf_dir).join(o, "event_id").withColumn("event_type", kind))
+
+
+def raw_kind(priority: str):
+    """The kind of event an order's priority stands for."""
+    kinds = {
+        "1-URGENT": "Wedding", "2-HIGH": "Corporate", "3-MEDIUM": "Birthday",
+        "4-NOT SPECIFIED": "Social Gathering",
+    }
+    return lookup(priority, kinds)
+
+
 def event_requests(spark, sf_dir) -> DataFrame:
     """One event per order; dishes = order lines + 1."""
     o = table(spark, sf_dir, "orders")
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("event_id"))
-        .agg(F.count("*").alias("n_lines"))
-    )
+    lines = order_lines(spark, sf_dir).select("event_id", "n_lines")
     base = o.select(
         F.col("o_orderkey").alias("event_id"),
         F.col("o_custkey").alias("caterer_id"),
@@ -159,19 +184,12 @@ def wastage_view(spark, sf_dir) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"
     )
     hot = once(spark, sf_dir, "hot-orders", lambda: joins.hot_keys(l, "l_orderkey"))
-    kinds = {
-        "1-URGENT": "Wedding", "2-HIGH": "Corporate", "3-MEDIUM": "Birthday",
-        "4-NOT SPECIFIED": "Social Gathering",
-    }
-    kind = F
-    for k, v in kinds.items():
-        kind = kind.when(F.col("o_orderpriority") == k, v)
     prep = F.col("l_linenumber") % 4
     month = F.month("l_shipdate")
     return joins.skew_safe_join(l, o, "l_orderkey", hot).select(
         "l_orderkey",
         "l_linenumber",
-        kind.alias("event_type_raw"),
+        raw_kind("o_orderpriority").alias("event_type_raw"),
         (F.col("l_quantity") - 1).alias("quantity_of_food"),
         (F.col("l_quantity") * F.col("l_discount")).alias("wastage_amount"),
         F.when(prep == 0, "Buffet").when(prep == 1, "Sit-down Dinner").when(prep == 2, "Finger Food")
@@ -211,18 +229,26 @@ def nation_series(spark, sf_dir) -> DataFrame:
     return prices.monthly_series(price_anchor_view(spark, sf_dir), ("series",), *NATION_GRID)
 
 
+def menu_table(spark, sf_dir) -> DataFrame:
+    """Observed gas rate and cook time of each of the seven menus."""
+    return staged(
+        spark, sf_dir, "menus", lambda: recipes.menu_rates(recipes.process_recipes(recipes_view(spark, sf_dir)))
+    )
+
+
+def events_with_menu(spark, sf_dir) -> DataFrame:
+    menus = menu_table(spark, sf_dir)
+    return recipes.menu_lookup(events_view(spark, sf_dir), rates=menus, cook_times=menus)
+
+
 # ---- derived tables --------------------------------------------------------
 
 
 def build_event_table(spark, sf_dir) -> DataFrame:
     """The event table: consumption, orders, labels, prices, weather, wastage."""
-    ev = events_view(spark, sf_dir)
-    processed = recipes.process_recipes(recipes_view(spark, sf_dir))
-    ev = recipes.menu_lookup(ev, cook_times=recipes.cook_time_by_profile(processed))
-    ev = derive.weather_lookup(derive.derive_events(ev))
+    ev = derive.weather_lookup(derive.derive_events(events_with_menu(spark, sf_dir)))
     ev = prices.price_lookup(ev, prices.reference_series(spark))
-    observed = wastage.mean_rate_by_type(wastage.process_wastage(wastage_view(spark, sf_dir)))
-    ev = wastage.rate_lookup(ev, observed)
+    ev = wastage.rate_lookup(ev, observed_rates(spark, sf_dir))
     noise = uniform_between(0.8, 1.2, hash_uniform("42w", "event_id"))
     ev = ev.withColumn(
         "wastage_kg", derive.wastage_kg("consumption_kg", "wastage_rate", "experience_yrs", noise)
@@ -236,7 +262,7 @@ def event_table(spark, sf_dir) -> DataFrame:
 
 def feature_table(spark, sf_dir) -> DataFrame:
     return staged(
-        spark, sf_dir, "features", lambda: features.add_features(event_table(spark, sf_dir))
+        spark, sf_dir, "features", lambda: features.add_features(features.clean_events(event_table(spark, sf_dir)))
     )
 
 
@@ -247,6 +273,12 @@ def model_inputs(df: DataFrame) -> DataFrame:
     return df.drop(*drop)
 
 
+def encoded(spark, sf_dir) -> DataFrame:
+    """The feature table with its categories encoded: every feature of the models, unscaled and with gaps."""
+    rows = model_inputs(feature_table(spark, sf_dir))
+    return staged(spark, sf_dir, "encoded", lambda: features.encode(rows, features.fit_label_classes(rows)))
+
+
 def normalised(spark, sf_dir) -> tuple[DataFrame, dict]:
     def build():
         df, params = features.normalise(model_inputs(feature_table(spark, sf_dir)))

@@ -221,6 +221,7 @@ BATCH_SCHEMA = T.StructType(
     [
         T.StructField("events", T.ArrayType(REQUEST_SCHEMA)),
         T.StructField("budget_inr", T.DoubleType()),
+        T.StructField("use_lp", T.BooleanType()),
     ]
 )
 

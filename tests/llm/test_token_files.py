@@ -106,8 +106,19 @@ def test_repeated_id_is_spread(spark, encode, tmp_path):
     assert spark.read.format("binaryFile").load(str(tmp_path / "f")).select("part").distinct().count() > 5
 
 
-@pytest.mark.parametrize("text", ["x" * 5000, "日本語" * 900 + " a b", "a <|endoftext|> b" + "ab" * 400, "", " \n\n  " * 100])
+@pytest.mark.parametrize("text", ["x" * 5000, "日本語" * 900 + " a b", "a <|endoftext|> b" + "ab" * 400, "", " \n\n  " * 100, "a" + "\n" * 20_000 + "b\n c"])
 def test_long_units(encode, text):
     coder = LibraryTokenizer(PATH)
     assert coder.encode_all([text, "a b", text])[2].tolist() == encode(text)
-    assert max(map(len, coder.known), default=0) <= 256
+
+
+def test_memory_of_units_is_bounded_in_bytes(encode, monkeypatch):
+    """Kilobyte units fill it after a few texts, and ids stay right when it starts anew."""
+    import emberline.llm.token_files as tf
+
+    monkeypatch.setattr(tf, "CACHE_BYTES", 200_000)
+    coder = LibraryTokenizer(PATH)
+    for i in range(60):
+        text = f"{i}" + "語x" * 2000 + f" word{i}"
+        assert coder.encode_all([text])[0].tolist() == encode(text)
+        assert coder.remembered < 240_000

@@ -271,20 +271,29 @@ def identify(
     return rows.mapInArrow(_score_batches(model), "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, training: Column, least: float = 0.3, **columns) -> DataFrame:
+def keep_known(
+    docs: DataFrame, training: Column, least: float = 0.3, found_col: str | None = None, **columns
+) -> DataFrame:
     """The rows of ``docs`` whose language is found with a score of at least ``least``, all columns.
 
     Language and text are read from the row itself, so null and repeated ids do
-    not matter.
+    not matter.  Null texts and texts without a letter go.  Where no row is
+    labelled nothing can be told of any language: all rows stay as they are.
+    The column ``found_col`` then holds the language found.
     """
     text, lang = columns.get("text_col", "text"), columns.get("lang_col", "lang")
     id_col = columns.get("id_col", "doc_id")
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, id_col, text, lang, training)))
+    fitted = train(docs, id_col, text, lang, training)
+    if fitted is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted))
     found = F.pandas_udf(_language_udf(model), "struct<lang_pred: string, score: double>")
     rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     scored = rows.select("_row", found("_text").alias("_found"))
-    good = (F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)
-    return scored.filter(good).select("_row.*")
+    good = scored.filter((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least))
+    if found_col is None:
+        return good.select("_row.*")
+    return good.select(*[F.col("_found.lang_pred" if c == found_col else f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _language_udf(held):

@@ -300,7 +300,7 @@ def test_pipeline(spark, sf_dir, documents, reference):
     last = {r.text: r.doc_id for r in before.orderBy("doc_id").collect()}
     assert ids(after) == set(last.values())
     before, after = seen[2]
-    assert ids(after) == ids(near_groups(before).filter("kept"))
+    assert ids(after) == ids(near_groups(before, threshold=80, per_band=5).filter("kept"))
     before, after = seen[3]
     assert ids(after) == {r["_row"].doc_id for r in mixture(before).filter("_kept").collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -331,3 +331,26 @@ def test_pipeline_awkward(spark, awkward, empty, sf_dir):
         for _, step in corpus_pipeline.STAGES:
             docs = step(spark, docs, sf_dir)
         docs.count()
+
+
+def test_language_stage_without_labels(spark, documents):
+    """Nothing is labelled: all rows stay."""
+    from emberline.llm.language_id import keep_known
+
+    docs = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert keep_known(docs, F.lit(True)).count() == documents.count()
+
+
+def test_found_language_goes_on(spark, documents):
+    from emberline.llm.language_id import identify, keep_known
+    from emberline.llm.queries import fold
+
+    blank = documents.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    after = {r.doc_id: r.lang for r in keep_known(blank, fold(4) != 2, found_col="lang").collect()}
+    found = {r.doc_id: r.lang_pred for r in identify(blank, fold(4) != 2).collect()}
+    assert after and all(found[d] == lang for d, lang in after.items())
+
+
+def test_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "`doc.id` long, `the.text` string")
+    assert {r.doc_id for r in pack(docs, PATH, id_col="doc.id", text_col="the.text").collect()} == {1, 2}

@@ -12,7 +12,7 @@ from emberline.llm.exact_dedup import exact_dedup, exact_groups
 from emberline.llm.near_dedup import near_dedup, near_groups, superminhash
 from emberline.llm.oracle import SQL
 from emberline.llm.queries import QUERIES
-from emberline.llm.suffix_dedup import SPAN, minimisers, pack_ids, remove_repeats, runs, suffix_order, unpack_ids
+from emberline.llm.suffix_dedup import SPAN, minimisers, pack_ids, remove_repeats, repeated, runs, suffix_order, unpack_ids
 
 
 def buffer(texts):
@@ -234,3 +234,28 @@ def test_repeats_awkward(awkward, empty):
 @pytest.mark.parametrize("ids", [[5], [7, 3, 9], [-5, 2**40], [-(2**63), 2**63 - 1, 0]])
 def test_packed_ids(ids):
     assert unpack_ids(pack_ids(np.array(ids))).tolist() == ids
+
+
+def test_a_buffer_beyond_two_million_ranks():
+    """10 MB of random bytes with passages planted at known places: every string is found, and no other."""
+    rng = np.random.default_rng(11)
+    parts = [rng.integers(0, 256, 1_000_000).astype(np.uint8) for _ in range(10)]
+    want = set()
+    for j in range(1, 10):
+        for k in range(40):
+            source, at, to = int(rng.integers(0, j)), int(rng.integers(0, 900_000)), 20_000 * k + 10_000
+            size = int(rng.integers(SPAN, 300))
+            parts[j][to : to + size] = parts[source][at : at + size]
+            want |= {(j, to + x) for x in range(size - SPAN + 1)}
+    of, place = repeated([p.tobytes() for p in parts], np.arange(10))
+    got = set(zip(of.tolist(), place.tolist()))
+    assert want <= got
+    # a copied passage may run on by chance; nothing else is found
+    assert all((j, x - 1) in want or (j, x + 1) in want for j, x in got - want)
+
+
+def test_one_long_periodic_text(spark):
+    rows = [(1, "abcdefg" * 60_000), (2, "x" + "bcdefga" * 40), (3, "nothing of that kind " * 2), (4, "q" * 300_000), (5, "q" * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(docs).collect()}
+    assert got == {1: (420_000, 0, 0), 2: (281, 280, 1), 3: (42, 0, 0), 4: (300_000, 0, 0), 5: (120, 120, 1)}

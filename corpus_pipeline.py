@@ -24,29 +24,50 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the others go."""
+    """Documents whose language is found with a score of 0.3 or more; ``lang`` becomes the language found.
+
+    Null texts and texts without a letter go.  Without any labelled row all
+    rows stay as they are.  Null and repeated ids and repeated rows are judged
+    each by their own text; an empty table stays empty; other columns stay.
+    """
     ship(spark)
-    return keep_known(docs, fold(4) != 2)
+    return keep_known(docs, fold(4) != 2, found_col="lang")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the one with the largest id.
+
+    A null text counts as empty.  Of rows that repeat both id and text one
+    stays; a row without an id stays only if no row of its text has one.
+    """
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, at 0.8 of their five-word shingles or more."""
+    """One document of each group of near copies, at 0.8 of their five-word shingles or more: the smallest id.
+
+    Texts without words are near to nothing and stay; so do rows without an
+    id.  Rows that repeat an id stay or go together.
+    """
     ship(spark)
     return near_dedup(docs, threshold=80, per_band=5)  # a pair at 0.8 is missed by all bands with 3e-6
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token shares follow the targets of source, language and topic."""
+    """A sample whose token shares follow the targets of source, language and topic.
+
+    A missing source or language is a group of its own.  Texts without words
+    have no tokens to draw and go; repeated rows share one draw.
+    """
     return sample_mixture(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens.
+
+    A null or empty text is its end token alone; null and repeated ids are
+    packed row by row; an empty table gives no pieces.
+    """
     ship(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -48,13 +49,18 @@ def build_session(
 
 
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers the package as a zip file, once per application, as --py-files does."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
+    with _shipping:  # fits that run side by side ship once
+        if spark.sparkContext.applicationId not in _shipped:
+            _ship(spark)
+            _shipped.add(spark.sparkContext.applicationId)
+
+
+def _ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="emberline-")  # of the driver, which serves the file to the executors
     atexit.register(shutil.rmtree, folder, True)
@@ -62,5 +68,4 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
+    spark.sparkContext.addPyFile(target)

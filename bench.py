@@ -62,6 +62,7 @@ def main() -> None:
     timed("stage_plan_table", lambda: v.plan_table(spark, sf_dir))
     timed("stage_normalised", lambda: v.normalised(spark, sf_dir))
     timed("train_five_models", lambda: mq.trained(spark, sf_dir))
+    timed("train_serving_models", lambda: mq.serving_models(spark, sf_dir))
     for name in HEADLINE:
         timed(
             name,

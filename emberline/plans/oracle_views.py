@@ -1,11 +1,13 @@
 """The views of ``views.py`` written a second time, as DuckDB SQL.
 
 These texts are the independent side of the comparison: they share no code
-with the Spark operators, only the meaning.
+with the Spark operators, only the meaning and the fixed values.
 """
 
 from __future__ import annotations
 
+from emberline import fixed_values as fv
+
 
 def u(salt: str, key: str = "event_id") -> str:
     """Hash uniform of (salt, key)."""
@@ -58,34 +60,33 @@ ev as (
   case region when 'AFRICA' then 1 when 'AMERICA' then 2 when 'ASIA' then 2 when 'EUROPE' then 2 else 3 end lead_days
  from req join prof using (caterer_id))"""
 
-CAL = """
+def _values(rows) -> str:
+    """Rows of fixed values as the body of a VALUES list."""
+
+    def cell(v) -> str:
+        return f"'{v}'" if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v)
+
+    return ",".join(f"({','.join(map(cell, row))})" for row in rows)
+
+
+CAL = f"""
 cal(mon, wedding_season, fest, festival_name, demand_multiplier, temp_mean_c, precipitation_mm) as (values
- (1,1,1,'Pongal',1.45e0,24.8e0,9e0),(2,1,0,'None',1.30e0,26.2e0,5e0),(3,0,0,'None',0.85e0,28.4e0,8e0),
- (4,0,1,'Tamil New Year',1.20e0,31.2e0,17e0),(5,0,0,'None',0.80e0,33.1e0,53e0),(6,0,0,'None',0.75e0,32.4e0,53e0),
- (7,0,0,'None',0.80e0,31.0e0,88e0),(8,0,1,'Onam',1.15e0,30.8e0,111e0),(9,0,0,'None',0.85e0,30.2e0,119e0),
- (10,1,1,'Navratri',1.50e0,28.9e0,305e0),(11,1,1,'Diwali',1.55e0,26.3e0,351e0),(12,1,1,'Dec Weddings',1.40e0,24.9e0,188e0))"""
+ {_values(fv.CALENDAR)})"""
 
-MENU = """
+MENU = f"""
 menu(menu_profile, gas, dishes, per100) as (values
- ('veg_simple',0.0120e0,4,7.2e0),('veg_elaborate',0.0128e0,7,10.8e0),('nonveg_simple',0.0148e0,5,9.1e0),
- ('nonveg_elaborate',0.0175e0,9,14.3e0),('mixed_standard',0.0104e0,6,11.5e0),('snacks_only',0.0118e0,3,4.8e0),
- ('biryani_special',0.0124e0,3,8.6e0))"""
+ {_values((m, fv.GAS_PER_SERVING[m], fv.DISHES_PER_MENU[m], fv.GAS_PER_100_GUESTS[m]) for m in fv.MENU_PROFILES)})"""
 
-ETYPE = """
+ETYPE = f"""
 et(event_type, planner_rate, bench_rate) as (values
- ('wedding',0.12e0,0.12e0),('corporate_lunch',0.07e0,0.07e0),('college_canteen',0.09e0,0.09e0),
- ('birthday_party',0.14e0,0.10e0),('festival_event',0.11e0,0.11e0),('hospital_canteen',0.06e0,0.06e0),
- ('school_canteen',0.08e0,0.08e0),('dhaba_daily',0.05e0,0.05e0))"""
+ {_values((t, fv.PLANNER_WASTAGE_RATE[t], fv.BENCHMARK_WASTAGE_RATE[t]) for t in fv.EVENT_TYPES)})"""
 
 
 def _any(col: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
 
-HIGH = ["deep fry", "deep-fry", "dalda", "vanaspati", "refined oil", "sunflower oil", "groundnut oil",
-        "hydrogenated", "poori", "bhatura", "pakora", "vada"]
-MED = ["ghee", "butter", "cream", "coconut oil", "mustard oil", "oil", "tadka", "tempering"]
-LOW = ["steam", "boil", "pressure cook", "idli", "sambhar", "rasam", "poach"]
+HIGH, MED, LOW = fv.HIGH_HEAT_WORDS, fv.MEDIUM_HEAT_WORDS, fv.LOW_HEAT_WORDS
 
 
 def gas_rate(ing="ing", crs="crs", high=HIGH, low=LOW, med=MED) -> str:
@@ -95,10 +96,10 @@ def gas_rate(ing="ing", crs="crs", high=HIGH, low=LOW, med=MED) -> str:
 
 
 def menu_class(ing="ing", crs="crs", dt="dt", nv=None, vg=None) -> str:
-    nv = nv or ["cream", "butter", "ghee", "tikka", "makhani"]
-    vg = vg or ["cream", "butter", "paneer", "ghee", "cashew", "makhani"]
-    main = _any(crs, ["main course", "dinner", "lunch"])
-    non = _any(dt, ["non vegeterian", "high protein non"])
+    nv = nv or fv.NONVEG_ELABORATE_WORDS
+    vg = vg or fv.VEG_ELABORATE_WORDS
+    main = _any(crs, fv.MAIN_COURSE_MARKS)
+    non = _any(dt, fv.NONVEG_DIET_MARKS)
     return f"""case when contains({ing},'biryani') or contains({crs},'biryani') then 'biryani_special'
    when {_any(crs, ['snack', 'appetizer'])} then 'snacks_only'
    when {non} and {main} then case when {_any(ing, nv)} then 'nonveg_elaborate' else 'nonveg_simple' end
@@ -197,8 +198,7 @@ def draw(tier: str, ranges: list[tuple[float, float]], uni: str) -> str:
 
 TIER = "(case when experience_yrs>10 then 3 when experience_yrs>5 then 2 when experience_yrs>2 then 1 else 0 end)"
 LEAD_TIER = "(case when experience_yrs<5 then 0 when experience_yrs<10 then 1 when experience_yrs<15 then 2 else 3 end)"
-V2 = [(0.88, 1.00), (0.92, 1.05), (0.96, 1.08), (0.98, 1.10)]
-V1 = [(0.70, 0.90), (0.82, 0.96), (0.90, 1.00), (0.95, 1.05)]
+V2, V1 = fv.TRAINING_LABEL_ACCURACY, fv.FIRST_LABEL_ACCURACY
 LEADS = [(1.0, 4.0), (2.0, 6.0), (4.0, 10.0), (5.0, 12.0)]
 
 _KG = r(
@@ -260,8 +260,7 @@ SCALED = [
 ]
 TARGETS = ["consumption_kg", "cylinders_needed", "wastage_kg", "order_lead_days"]
 
-TYPES = ["wedding", "corporate_lunch", "college_canteen", "birthday_party", "festival_event",
-         "hospital_canteen", "school_canteen", "dhaba_daily"]
+TYPES = fv.EVENT_TYPES
 ENC = ", ".join(f"cast(dense_rank() over (order by {c}) - 1 as int) {c}_enc" for c in
                 ["event_type", "menu_profile", "business_size", "festival_name", "experience_tier"])
 HOT = ", ".join(f"case when event_type = '{t}' then 1 else 0 end etype_{t}" for t in TYPES)

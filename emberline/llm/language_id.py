@@ -287,7 +287,8 @@ def keep_known(
     if fitted is None:
         return docs
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted))
-    found = F.pandas_udf(_language_udf(model), "struct<lang_pred: string, score: double>")
+    # marked as not to be repeated: the filter would else run it a second time, in a second worker
+    found = F.pandas_udf(_language_udf(model), "struct<lang_pred: string, score: double>").asNondeterministic()
     rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     scored = rows.select("_row", found("_text").alias("_found"))
     good = scored.filter((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least))

@@ -284,6 +284,7 @@ def keep_known(
     text, lang = columns.get("text_col", "text"), columns.get("lang_col", "lang")
     id_col = columns.get("id_col", "doc_id")
     fitted = train(docs, id_col, text, lang, training)
+    K.release()  # what the fit took of the driver's memory; later stages run in the same session
     if fitted is None:
         return docs
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted))

@@ -114,9 +114,8 @@ class PieceTokenizer:
         self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self) -> None:
-        """Encode the units numbered since the last call."""
-        units, self.known.new = self.known.new, []
+    def _coded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units in one array, and where those of each unit start and how many they are."""
         blank = np.array([u[-1] in self.spaces or u in self.added for u in units], bool)
         # a line break before each unit is always a pre-token of its own
         words = [u for u, b in zip(units, blank) if not b] if blank.any() else units
@@ -130,6 +129,12 @@ class PieceTokenizer:
         lo[~blank] = breaks + 1
         size[blank] = [len(x) for x in alone]
         lo[blank] = len(joined) + np.cumsum(size[blank]) - size[blank]
+        return flat, lo, size
+
+    def _learn(self) -> None:
+        """Encode the units numbered since the last call."""
+        units, self.known.new = self.known.new, []
+        flat, lo, size = self._coded(units)
         n, end = len(self.known), self.used + len(flat)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])

@@ -15,6 +15,7 @@ listing, without opening a file.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import zlib
@@ -38,12 +39,19 @@ RANGE_BYTES = 1 << 25  # of text in a range of ids
 BLOCK_TOKENS = 1 << 23  # of a file, unless one document has more
 CACHE_BYTES = 160 << 20  # of text units a worker remembers
 PART_CHARS = 1 << 14  # of units encoded in one call
+MOST_MARKS = 10_000  # runs of marks a worker remembers
+#: A word of Latin letters with the space before it, then marks: two pre-tokens at most. No apostrophe, which may join both.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?]*)").fullmatch
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The letters that byte-level vocabularies write bytes with.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
 class LibraryTokenizer(PieceTokenizer):
     """Ids by the ``tokenizers`` library, each distinct unit encoded once.
 
-    What is remembered is bounded in bytes: beyond that it starts anew after
+    Plain words go to the library's model as the pre-tokens they are; its
+    pre-tokenizer cuts all other units.  What is remembered is bounded in bytes: beyond that it starts anew after
     the texts at hand.
     """
 
@@ -54,6 +62,9 @@ class LibraryTokenizer(PieceTokenizer):
         library = Tokenizer.from_file(str(path.rsplit(".", 1)[0]) + ".json")
         self.vocabulary = library.get_vocab_size(with_added_tokens=True)
         self.library = library.encode_batch_fast
+        self.model = library.model
+        self.model._resize_cache(0)  # each unit comes once
+        self.marks: dict[str, list[int]] = {}
         self.coder = self._encode
         self.remembered = 0
 
@@ -69,6 +80,44 @@ class LibraryTokenizer(PieceTokenizer):
             lo = hi
         return out
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of one pre-token."""
+        if word.isascii():
+            letters = word.replace(" ", "Ġ")
+        else:
+            letters = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(letters)]
+
+    def _coded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = list(map(PLAIN, units))
+        plain = np.array([m is not None for m in found], bool)
+        learned = len(self.known) - len(units)
+        ids: list[int] = []
+        ends = [0]
+        for m in filter(None, found):
+            word, marks = m.groups()
+            k = self.known.get(word, learned) if marks else learned
+            if k < learned:  # the word stood alone before
+                at = self.lo[k]
+                ids += self.ids[at : at + self.size[k]].tolist()
+            else:
+                ids += self._word(word)
+            if marks:
+                if marks not in self.marks:
+                    if len(self.marks) >= MOST_MARKS:
+                        self.marks.clear()
+                    self.marks[marks] = self._word(marks)
+                ids += self.marks[marks]
+            ends.append(len(ids))
+        lo, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        lo[plain], size[plain] = ends[:-1], np.diff(ends)
+        flat = np.array(ids, np.uint16)
+        if not plain.all():
+            rest, at, n = super()._coded([u for u, m in zip(units, found) if m is None])
+            lo[~plain], size[~plain] = at + len(flat), n
+            flat = np.concatenate([flat, rest])
+        return flat, lo, size
+
     def _clear(self) -> None:
         super()._clear()
         self.remembered = 0

@@ -122,3 +122,29 @@ def test_memory_of_units_is_bounded_in_bytes(encode, monkeypatch):
         text = f"{i}" + "語x" * 2000 + f" word{i}"
         assert coder.encode_all([text])[0].tolist() == encode(text)
         assert coder.remembered < 240_000
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return LibraryTokenizer(PATH)
+
+
+WORD_TEXTS = st.lists(
+    st.sampled_from(["don't", "it's,", "Äpfel,", " ", "\n", "a", "ẞ", "ıİ", "ªº", "×÷", "ƻǀ", "x9", "9.", "...", "!?", "'s", "́a", "naïve;", "œuvre", "日本"])
+    | st.text("abÀÿɏɐ .,'´\n", max_size=8), max_size=30,
+).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(WORD_TEXTS, min_size=1, max_size=4))
+def test_plain_words_are_the_pre_tokens_they_seem(encode, coder, texts):
+    coder._clear()
+    for t in (texts, texts[::-1]):
+        assert [x.tolist() for x in coder.encode_all(t)] == [encode(x) for x in t]
+
+
+def test_plain_words_need_no_pre_tokenizer(encode):
+    coder = LibraryTokenizer(PATH)
+    coder.library = None
+    text = "Plain words, größer déjà; again words... End."
+    assert coder.encode_all([text])[0].tolist() == encode(text)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import kernels as K
-from emberline.sources.staging import stage
+from emberline.sources.staging import shuffles_freed, stage
 
 MAX_BITS = 1 << 28  # of a filter that is broadcast: 32 MB
 BLOCK_BYTES = 4 << 20  # of text whose n-grams are asked for together
@@ -348,33 +348,38 @@ def _score_batches(held):
     return run
 
 
-BLOCKS = "block long, part int, kind int, keys binary, row long, doc_id long, t string, known boolean"
-TEXT = -1  # kind of the rows that hold a text
+BLOCKS = "block long, row long, doc_id long, t string, known boolean"
+ASKED = "block long, row long, part int, kind int, keys binary"
 
 
-def _block_batches(bits: int):
-    """The texts with their block, and the distinct n-grams of each block by part."""
-    schema = pa.schema(list(zip([f.split()[0] for f in BLOCKS.split(", ")], [
-        pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
-    ])))
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts with their number and that of their block."""
+    task = TaskContext.get()
+    at_task = task.partitionId() if task else 0
+    block, row = at_task << 32, at_task << 40
+    for batch in batches:
+        for lo, hi in K.slices(K.utf8(batch.column(1))[1], BLOCK_BYTES):
+            n = hi - lo
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), *(c.slice(lo, n) for c in batch.columns)],
+                names=["block", "row", "doc_id", "t", "known"],
+            )
+            block, row = block + 1, row + n
 
-    def filled(n: int, columns: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema
-        )
+
+def _ask_batches(bits: int):
+    """The distinct n-grams of each run of a block's texts by part; ``row`` is the run's first text.
+
+    A block that is read by two tasks or in two batches asks in two runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        at_task = task.partitionId() if task else 0
-        block, row = at_task << 32, at_task << 40
         for batch in batches:
-            data, offsets = K.utf8(batch.column(1))
-            for lo, hi in K.slices(offsets, BLOCK_BYTES):
-                at, n = offsets[lo : hi + 1], hi - lo
-                yield filled(n, {
-                    "block": np.full(n, block), "kind": np.full(n, TEXT), "row": np.arange(row, row + n),
-                    "doc_id": batch.column(0).slice(lo, n), "t": batch.column(1).slice(lo, n), "known": batch.column(2).slice(lo, n),
-                })
+            blocks, rows = (batch.column(k).to_numpy() for k in ("block", "row"))
+            data, offsets = K.utf8(batch.column(2))
+            cut = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+            for lo, hi in zip(cut, np.append(cut[1:], len(blocks))):
+                at = offsets[lo : hi + 1]
                 word, before, _ = tokens(data[at[0] : at[-1]], at - at[0])
                 u, _, pair, _ = _distinct(word, before)
                 parts, kinds, keys = [], [], []
@@ -384,8 +389,14 @@ def _block_batches(bits: int):
                         parts.append(p)
                         kinds.append(kind)
                         keys.append(_pack(p, 1, x, np.zeros(0))[2])
-                yield filled(len(parts), {"block": np.full(len(parts), block), "part": parts, "kind": kinds, "keys": keys})
-                block, row = block + 1, row + n
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, blocks[lo])), pa.array(np.full(n, rows[lo])),
+                        pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()),
+                    ],
+                    names=["block", "row", "part", "kind", "keys"],
+                )
 
     return run
 
@@ -396,7 +407,7 @@ def _cut(part: np.ndarray, low: np.ndarray) -> tuple[list[int], list[np.ndarray]
     return part[at].tolist(), np.split(low, at[1:])
 
 
-ANSWERED = "block long, part int, kind int, levels binary"
+ANSWERED = "block long, row long, part int, kind int, levels binary"
 
 
 def _look_up(bits: int, size: int):
@@ -411,33 +422,44 @@ def _look_up(bits: int, size: int):
         for kind, keys in zip(asked.column("kind").to_pylist(), asked.column("keys")):
             low = _unpack(1, keys.as_py())
             out.append(part.levels_at(np.zeros(len(low), np.int64), low, kind).astype(np.uint8).tobytes())
-        return asked.select(["block", "part", "kind"]).append_column("levels", pa.array(out, pa.binary()))
+        return asked.select(["block", "row", "part", "kind"]).append_column("levels", pa.array(out, pa.binary()))
 
     return run
 
 
-def _block_text(texts: pa.Table, answers: pa.Table) -> tuple[tuple, Looked]:
-    """Tokens of a block's texts, and the levels of their distinct words and pairs."""
-    text = tokens(*K.utf8(texts.column("t").combine_chunks()))
-    rows = sorted(answers.select(["kind", "part", "levels"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
-    looked = [np.frombuffer(b"".join(r["levels"] for r in rows if r["kind"] == k), np.uint8).astype(np.int64) for k in (0, 1)]
-    return text, (looked[0], looked[1])
+def _block_runs(texts: pa.Table, answers: pa.Table) -> Iterator[tuple[pa.Table, tuple, Looked]]:
+    """Each run of a block's texts, its tokens, and the levels of its distinct words and pairs."""
+    texts = texts.sort_by("row")
+    first = np.unique(answers.column("row").to_numpy())
+    cut = np.append(np.searchsorted(texts.column("row").to_numpy(), first), texts.num_rows)
+    said = sorted(
+        answers.select(["row", "kind", "part", "levels"]).to_pylist(), key=lambda r: (r["row"], r["kind"], r["part"])
+    )
+    for row, lo, hi in zip(first, cut[:-1], cut[1:]):
+        run = texts.slice(lo, hi - lo)
+        levels = (b"".join(r["levels"] for r in said if r["row"] == row and r["kind"] == kind) for kind in (0, 1))
+        words, pairs = (np.frombuffer(x, np.uint8).astype(np.int64) for x in levels)
+        yield run, tokens(*K.utf8(run.column("t").combine_chunks())), (words, pairs)
 
 
 def _share_block(held):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        (word, before, first), looked = _block_text(texts, answers)
-        known = np.asarray(texts.column("known").to_numpy(), bool)
-        return pa.table(_share_cells(held.value, word, before, looked, np.repeat(known, np.diff(first))))
+        out = []
+        for rows, (word, before, first), looked in _block_runs(texts, answers):
+            known = np.asarray(rows.column("known").to_numpy(), bool)
+            out.append(pa.table(_share_cells(held.value, word, before, looked, np.repeat(known, np.diff(first)))))
+        return pa.concat_tables(out)
 
     return run
 
 
 def _score_block(held):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        text, looked = _block_text(texts, answers)
-        ids = (texts.column(k).combine_chunks() for k in ("row", "doc_id"))
-        return pa.table(_scored(held.value, *ids, text, looked))
+        out = []
+        for rows, text, looked in _block_runs(texts, answers):
+            ids = (rows.column(k).combine_chunks() for k in ("row", "doc_id"))
+            out.append(pa.table(_scored(held.value, *ids, text, looked)))
+        return pa.concat_tables(out)
 
     return run
 
@@ -467,15 +489,16 @@ def score(
     known = docs.filter(training)
     slots = max(16, 4 * docs.rdd.getNumPartitions())
     bits = min(16, (slots - 1).bit_length())
-    counted = stage(
-        known.select(text).mapInArrow(_count_batches(bits), COUNTED).groupBy("part")
-        .applyInArrow(_merge_counts, COUNTED + ", grams array<long>, total array<long>"),
-        "counts",
-    )
-    levels = (
-        counted.select("kind", F.posexplode(F.arrays_zip("grams", "total"))).groupBy("kind", "pos")
-        .agg(F.sum("col.grams").alias("grams"), F.sum("col.total").alias("total")).collect()  # 2 * LEVELS rows
-    )
+    with shuffles_freed(spark):
+        counted = stage(
+            known.select(text).mapInArrow(_count_batches(bits), COUNTED).groupBy("part")
+            .applyInArrow(_merge_counts, COUNTED + ", grams array<long>, total array<long>"),
+            "counts",
+        )
+        levels = (
+            counted.select("kind", F.posexplode(F.arrays_zip("grams", "total"))).groupBy("kind", "pos")
+            .agg(F.sum("col.grams").alias("grams"), F.sum("col.total").alias("total")).collect()  # 2 * LEVELS rows
+        )
     grams, total = np.zeros((2, LEVELS + 1), np.int64), np.zeros((2, LEVELS + 1), np.int64)
     for r in levels:
         grams[r["kind"], r["pos"]], total[r["kind"], r["pos"]] = r["grams"], r["total"]
@@ -508,22 +531,24 @@ def score(
         cells = known.select(text).mapInArrow(_share_batches(first), CELLS)
     else:
         flag = F.coalesce(training, F.lit(False)).alias("known")
-        blocks = stage(docs.select(doc_id, text, flag).mapInArrow(_block_batches(bits), BLOCKS), "blocks")
-        asked = blocks.filter(F.col("kind") != TEXT).select("block", "part", "kind", "keys")
-        answers = stage(
-            asked.groupBy("part").cogroup(segments.groupBy("part")).applyInArrow(_look_up(bits, size), ANSWERED), "answers"
-        )
-        texts = blocks.filter(F.col("kind") == TEXT).select("block", "row", "doc_id", "t", "known")
+        texts = stage(docs.select(doc_id, text, flag).mapInArrow(_block_batches, BLOCKS), "blocks")
+        asked = texts.select("block", "row", "t").mapInArrow(_ask_batches(bits), ASKED)
+        with shuffles_freed(spark):
+            answers = stage(
+                asked.groupBy("part").cogroup(segments.groupBy("part")).applyInArrow(_look_up(bits, size), ANSWERED), "answers"
+            )
         both = texts.groupBy("block").cogroup(answers.groupBy("block"))
         cells = both.applyInArrow(_share_block(first), CELLS)
-    model.share = _fit_shares(cells.groupBy("key").agg(F.sum("n").alias("n")).collect())
+    with shuffles_freed(spark):
+        model.share = _fit_shares(cells.groupBy("key").agg(F.sum("n").alias("n")).collect())
     first.unpersist()
     held = spark.sparkContext.broadcast(model)
     if whole is not None:
         found = docs.select(doc_id, text).mapInArrow(_score_batches(held), SCORED)
     else:
         found = both.applyInArrow(_score_block(held), SCORED)
-    scored = stage(found, "scored")
+    with shuffles_freed(spark):
+        scored = stage(found, "scored")
     rare = scored.select("_row", F.explode("tail").alias("word")).join(words.filter(F.col("n") < floor), "word", "left")
     scale = F.lit(float(np.log10(model.n + 0.5 * (model.v + 1))))
     rare = rare.groupBy("_row").agg(

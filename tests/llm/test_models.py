@@ -1,6 +1,7 @@
 """Language model, language identification and quality classifier."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ from emberline.llm.language_id import UNKNOWN, identify, keep_known, ngrams
 from emberline.llm.lm_scoring import VALUE, Filter, _fit_shares, level, score
 from emberline.llm.quality import BINS, FIELDS, WORDS, FactorisationMachine, classify, fit, values
 from emberline.llm.queries import QUERIES, fold
+from emberline.sources.staging import stage
 
 
 def test_base_scores(spark, documents):
@@ -77,6 +79,44 @@ def brute_scores(rows):
     return {d: total(w) for d, w, _ in docs}
 
 
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_lm_gives_disk_back_and_stages_no_ngrams(spark, documents, monkeypatch):
+    """What stays after the scores are made: the texts without their n-grams, and no shuffle but that of the rows asked for."""
+    import emberline.llm.lm_scoring as lm
+
+    staged = {}
+    monkeypatch.setattr(lm, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    before = _shuffle_files(spark)
+    lm.score(documents, F.col("doc_id") % 5 != 1, max_bits=1)
+    for _ in range(50):  # files are deleted in the background
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert staged["blocks"].count() == documents.count()
+
+
+def test_lm_blocks_may_be_cut(spark, documents):
+    """A block that comes in several batches asks in several runs; the scores are those of one run."""
+    from emberline.llm.lm_scoring import score
+
+    training, key = F.col("doc_id") % 5 != 1, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = documents.coalesce(1)
+    want = sorted((tuple(r) for r in score(docs, training).collect()), key=str)
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "7")
+        got = sorted((tuple(r) for r in score(docs, training, max_bits=1).collect()), key=str)
+    finally:
+        spark.conf.set(key, old)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+
+
 @pytest.mark.parametrize("max_bits", [None, 1000])
 def test_lm_counts_every_pair_at_every_size(spark, monkeypatch, max_bits):
     """Broadcast and in parts: no level left out, pairs seen once kept, shares fitted on all texts."""

@@ -6,7 +6,9 @@ n-gram once for each level up to its own, and a reader probes level after level
 until one is missing.  The filter's bits follow the n-grams and it is cut into
 parts by their hash.  Up to MAX_BITS it is broadcast; a larger one stays in its
 parts and the distinct n-grams of blocks of text are sent there and come back
-with their levels.  Both ways read the same bits and give the same scores.
+with their levels.  Both ways read the same bits, once: the levels of all tokens
+are written, two bytes a token, and the shares are fitted and the scores made
+from them.
 
 A pair's probability mixes its relative frequency with that of the word; the
 share of the pair depends on the level of the first word and is fitted with the
@@ -19,10 +21,11 @@ table of bounded size, are broadcast; the rest are joined.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,8 @@ LOWER = np.ceil(2 ** (np.arange(LEVELS) / 2) - 1e-9)
 VALUE = np.append(0, (LOWER + np.append(LOWER[1:], LOWER[-1] * 2) - 1) / 2)
 END = K.mix(np.array([0xE4D], np.uint64))[0]
 BEGIN = K.mix(np.array([0xB36], np.uint64))[0]
+FIRST = LEVELS + 1  # in place of a level: BEGIN, which stands as often as there are texts
+ASKED_KEYS = 1 << 20  # looked up together
 _PAIR = np.uint64(0xA0761D6478BD642F)
 _WORD = np.uint64(0xE7037ED1A0B428DB)
 
@@ -217,22 +222,14 @@ class Filter:
             if len(alive) == 0:
                 break
             ok = np.ones(len(alive), bool)
-            for p in _positions(low[alive], q, self.size):
-                ok &= (self.data[part[alive], p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[ok]
+            for p in _positions(low, q, self.size):
+                ok &= (self.data[part, p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+            alive, low, part = alive[ok], low[ok], part[ok]
             out[alive] = q
         return out
 
 
-def _distinct(word: np.ndarray, before: np.ndarray):
-    """(words, their places in ``word`` and then ``before``, pairs, their places), each sorted."""
-    return (
-        *np.unique(np.concatenate([word, before]), return_inverse=True),
-        *np.unique(pair_key(before, word), return_inverse=True),
-    )
-
-
-Looked = tuple[np.ndarray, np.ndarray] | None
+Looked = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
@@ -245,42 +242,100 @@ class Model:
     head: np.ndarray  # sorted hashes of frequent words
     head_count: np.ndarray
 
-    def parts(self, word: np.ndarray, before: np.ndarray, left_out: int = 0, looked: Looked = None):
-        """(level of the first word, pair frequency, word frequency); ``left_out`` is taken from each count.
-
-        ``looked``: levels of the distinct words and pairs if they were looked up.
-        """
-        u, back, pair, again = _distinct(word, before)
-        lv, pair_lv = looked or (self.filter.levels(u, 0), self.filter.levels(pair, 1))
-        count = VALUE[lv]
-        first = u == BEGIN
-        lv[first], count[first] = level(np.array([self.docs])), self.docs
-        w, b = back[: len(word)], back[len(word) :]
-        both = np.maximum(VALUE[pair_lv][again] - left_out, 0)
-        of = np.maximum(count[b] - left_out, 0)
+    def parts(self, before: np.ndarray, word: np.ndarray, pair: np.ndarray, left_out: int = 0):
+        """(level of the first word, pair frequency, word frequency) of levels; ``left_out`` is taken from each count."""
+        value = np.append(VALUE, self.docs)
+        of = np.maximum(value[before] - left_out, 0)
+        both = np.maximum(VALUE[pair] - left_out, 0)
         frequency = np.where(of > 0, np.minimum(1, both / np.maximum(of, 1)), 0)
-        single = (np.maximum(count[w] - left_out, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))
-        return lv[b], frequency, single
+        single = (np.maximum(value[word] - left_out, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))
+        return np.where(before == FIRST, level(np.array([self.docs])), before), frequency, single
+
+
+LEVELLED = (
+    "_row long, doc_id long, known boolean, n_tokens long, base double, n_known long, tail array<long>,"
+    " words binary, pairs binary"
+)
+
+
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Bytes of each row; ``offsets`` are those of the rows."""
+    return pa.Array.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.astype(np.uint8))]
+    )
+
 
+def _levelled(model: Model, row: pa.Array, ids: pa.Array, known: pa.Array, text: tuple, looked: Looked | None) -> dict:
+    """Columns of LEVELLED for rows whose ``text`` is (word, previous word, row offsets).
 
-def _share_cells(model: Model, word: np.ndarray, before: np.ndarray, looked: Looked, of: np.ndarray | slice) -> dict:
-    """Numbers of the tokens ``of`` by level of the first word and ratio of the two frequencies."""
-    lv, pair, single = (x[of] for x in model.parts(word, before, 1, looked))
-    ratio = np.clip(np.round(4 * np.log2(np.maximum(pair, 1e-12) / single)), -120, 120).astype(np.int64)
-    ratio[pair == 0] = -128
-    key, n = np.unique(lv * 512 + ratio + 128, return_counts=True)
-    return {"key": pa.array(key), "n": pa.array(n)}
+    ``looked``: levels of the distinct words and pairs, in their order, if they were looked up.
+    """
+    word, before, first = text
+    u, back = np.unique(word, return_inverse=True)
+    pair, again = np.unique(pair_key(before, word), return_inverse=True)
+    lv, pair_lv = looked or (model.filter.levels(u, 0), model.filter.levels(pair, 1))
+    scale = np.log10(model.n + 0.5 * (model.v + 1))
+    inside, part = np.zeros(len(u), bool), np.zeros(len(u))
+    if len(model.head):
+        k = np.minimum(np.searchsorted(model.head, u), len(model.head) - 1)
+        inside = model.head[k] == u
+        part = np.where(inside, np.log10(model.head_count[k] + 0.5) - scale, 0.0)
+    inside, outside = inside[back], np.zeros(len(word) + 1, np.int64)
+    np.cumsum(~inside, out=outside[1:])
+    tail = pa.ListArray.from_arrays(pa.array(outside[first].astype(np.int32)), pa.array(word[~inside].view(np.int64)))
+    return {
+        "_row": row, "doc_id": ids, "known": known, "n_tokens": pa.array(np.diff(first)),
+        "base": pa.array(K.sums(part[back], first)), "n_known": pa.array(K.sums(inside.astype(np.int64), first)),
+        "tail": tail, "words": _binary(np.where(u == BEGIN, FIRST, lv)[back], first), "pairs": _binary(pair_lv[again], first),
+    }
 
 
-def _share_batches(held):
+def _level_batches(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            data, offsets = K.utf8(batch.column(0))
+            data, offsets = K.utf8(batch.column(1))
             for lo, hi in K.slices(offsets):
                 at = offsets[lo : hi + 1]
-                word, before, _ = tokens(data[at[0] : at[-1]], at - at[0])
-                yield pa.RecordBatch.from_pydict(_share_cells(model, word, before, None, slice(None)))
+                text = tokens(data[at[0] : at[-1]], at - at[0])
+                n = hi - lo
+                ids, known = (batch.column(k).slice(lo, n) for k in (0, 2))
+                yield pa.RecordBatch.from_pydict(_levelled(model, pa.array(np.arange(row, row + n)), ids, known, text, None))
+                row += n
+
+    return run
+
+
+def _token_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, tuple]]:
+    """Rows of a batch, their offsets, and the levels of their tokens: (previous word, word, pair)."""
+    for batch in batches:
+        (word, offsets), (pair, _) = (K.utf8(batch.column(k)) for k in ("words", "pairs"))
+        for lo, hi in K.slices(offsets):
+            at = offsets[lo : hi + 1]
+            w, p = (x[at[0] : at[-1]].astype(np.int64) for x in (word, pair))
+            before = np.empty_like(w)
+            before[1:] = w[:-1]
+            before[at[:-1] - at[0]] = FIRST
+            yield batch.slice(lo, hi - lo), at - at[0], (before, w, p)
+
+
+CELLS = "key long, n long"
+
+
+def _share_batches(model: Model):
+    """Numbers of tokens by level of the first word and ratio of the two frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, (before, word, pair) in _token_levels(batches):
+            key, n = np.unique((before << 14) + (word << 7) + pair, return_counts=True)
+            lv, both, single = model.parts(key >> 14, key >> 7 & 127, key & 127, 1)
+            ratio = np.clip(np.round(4 * np.log2(np.maximum(both, 1e-12) / single)), -120, 120).astype(np.int64)
+            ratio[both == 0] = -128
+            cell, back = np.unique(lv * 512 + ratio + 128, return_inverse=True)
+            total = np.bincount(back, weights=n, minlength=len(cell)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(cell), "n": pa.array(total)})
 
     return run
 
@@ -302,48 +357,17 @@ def _fit_shares(rows) -> np.ndarray:
     return share
 
 
-CELLS = "key long, n long"
-SCORED = "_row long, doc_id long, n_tokens long, base double, known long, score double, tail array<long>"
-
-
-def _scored(model: Model, row: pa.Array, ids: pa.Array, text: tuple, looked: Looked) -> dict:
-    """Columns of SCORED for rows whose ``text`` is (word, previous word, row offsets)."""
-    word, before, first = text
-    scale = np.log10(model.n + 0.5 * (model.v + 1))
-    lv, pair, single = model.parts(word, before, looked=looked)
-    s = model.share[lv]
-    score = K.sums(np.log10(s * pair + (1 - s) * single), first)
-    if len(model.head):
-        k = np.minimum(np.searchsorted(model.head, word), len(model.head) - 1)
-        inside = model.head[k] == word
-    else:
-        k, inside = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
-    counts = model.head_count[k] if len(model.head) else np.zeros(len(word))
-    base = K.sums(np.where(inside, np.log10(counts + 0.5) - scale, 0.0), first)
-    known = K.sums(inside.astype(np.int64), first)
-    outside = np.zeros(len(word) + 1, np.int64)
-    np.cumsum(~inside, out=outside[1:])
-    tail = pa.ListArray.from_arrays(pa.array(outside[first].astype(np.int32)), pa.array(word[~inside].view(np.int64)))
-    return {
-        "_row": row, "doc_id": ids, "n_tokens": pa.array(np.diff(first)), "base": pa.array(base),
-        "known": pa.array(known), "score": pa.array(score), "tail": tail,
-    }
+SCORED = "_row long, doc_id long, n_tokens long, base double, n_known long, score double"
 
 
-def _score_batches(held):
+def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = held.value
-        task = TaskContext.get()
-        row = (task.partitionId() if task else 0) << 40
-        for batch in batches:
-            data, offsets = K.utf8(batch.column(1))
-            for lo, hi in K.slices(offsets):
-                at = offsets[lo : hi + 1]
-                text = tokens(data[at[0] : at[-1]], at - at[0])
-                n = hi - lo
-                rows = pa.array(np.arange(row, row + n))
-                yield pa.RecordBatch.from_pydict(_scored(model, rows, batch.column(0).slice(lo, n), text, None))
-                row += n
+        for rows, first, levels in _token_levels(batches):
+            lv, pair, single = model.parts(*levels)
+            s = model.share[lv]
+            score = K.sums(np.log10(s * pair + (1 - s) * single), first)
+            names = ["_row", "doc_id", "n_tokens", "base", "n_known"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in names), pa.array(score)], names=[*names, "score"])
 
     return run
 
@@ -381,9 +405,8 @@ def _ask_batches(bits: int):
             for lo, hi in zip(cut, np.append(cut[1:], len(blocks))):
                 at = offsets[lo : hi + 1]
                 word, before, _ = tokens(data[at[0] : at[-1]], at - at[0])
-                u, _, pair, _ = _distinct(word, before)
                 parts, kinds, keys = [], [], []
-                for kind, key in enumerate((u, pair)):
+                for kind, key in enumerate((np.unique(word), np.unique(pair_key(before, word)))):
                     part, low = _place(key, bits)
                     for p, x in zip(*_cut(part, low)):
                         parts.append(p)
@@ -418,10 +441,18 @@ def _look_up(bits: int, size: int):
         for segment in segments.column("segment"):
             data[0] |= np.frombuffer(segment.as_buffer(), np.uint8)
         part = Filter(bits, size, data)
-        out = []
-        for kind, keys in zip(asked.column("kind").to_pylist(), asked.column("keys")):
-            low = _unpack(1, keys.as_py())
-            out.append(part.levels_at(np.zeros(len(low), np.int64), low, kind).astype(np.uint8).tobytes())
+        kinds = asked.column("kind").to_numpy()
+        keys = pc.binary_length(asked.column("keys")).to_numpy() // 6
+        out = [b""] * len(kinds)
+        for kind in (0, 1):
+            rows = np.flatnonzero(kinds == kind)
+            ends = np.append(0, np.cumsum(keys[rows]))
+            for lo, hi in K.slices(ends, ASKED_KEYS):
+                raw = asked.column("keys").take(pa.array(rows[lo:hi])).to_pylist()
+                low = _unpack(1, b"".join(raw))
+                levels = part.levels_at(np.zeros(len(low), np.int64), low, kind).astype(np.uint8)
+                for row, found in zip(rows[lo:hi], np.split(levels, ends[lo + 1 : hi] - ends[lo])):
+                    out[row] = found.tobytes()
         return asked.select(["block", "row", "part", "kind"]).append_column("levels", pa.array(out, pa.binary()))
 
     return run
@@ -442,23 +473,12 @@ def _block_runs(texts: pa.Table, answers: pa.Table) -> Iterator[tuple[pa.Table,
         yield run, tokens(*K.utf8(run.column("t").combine_chunks())), (words, pairs)
 
 
-def _share_block(held):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for rows, (word, before, first), looked in _block_runs(texts, answers):
-            known = np.asarray(rows.column("known").to_numpy(), bool)
-            out.append(pa.table(_share_cells(held.value, word, before, looked, np.repeat(known, np.diff(first)))))
-        return pa.concat_tables(out)
-
-    return run
-
-
-def _score_block(held):
+def _level_block(held):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for rows, text, looked in _block_runs(texts, answers):
-            ids = (rows.column(k).combine_chunks() for k in ("row", "doc_id"))
-            out.append(pa.table(_scored(held.value, *ids, text, looked)))
+            columns = (rows.column(k).combine_chunks() for k in ("row", "doc_id", "known"))
+            out.append(pa.table(_levelled(held.value, *columns, text, looked)))
         return pa.concat_tables(out)
 
     return run
@@ -526,38 +546,35 @@ def score(
         head_word[order], head["n"].to_numpy(np.int64)[order],
     )
     doc_id = F.col(f"`{id_col}`").cast("long").alias("doc_id")
-    first = spark.sparkContext.broadcast(model)
+    texts = docs.select(doc_id, text, F.coalesce(training, F.lit(False)).alias("known"))
+    held = spark.sparkContext.broadcast(model)
     if whole is not None:
-        cells = known.select(text).mapInArrow(_share_batches(first), CELLS)
+        found = texts.mapInArrow(_level_batches(held), LEVELLED)
     else:
-        flag = F.coalesce(training, F.lit(False)).alias("known")
-        texts = stage(docs.select(doc_id, text, flag).mapInArrow(_block_batches, BLOCKS), "blocks")
-        asked = texts.select("block", "row", "t").mapInArrow(_ask_batches(bits), ASKED)
+        blocks = stage(texts.mapInArrow(_block_batches, BLOCKS), "blocks")
+        asked = blocks.select("block", "row", "t").mapInArrow(_ask_batches(bits), ASKED)
         with shuffles_freed(spark):
             answers = stage(
                 asked.groupBy("part").cogroup(segments.groupBy("part")).applyInArrow(_look_up(bits, size), ANSWERED), "answers"
             )
-        both = texts.groupBy("block").cogroup(answers.groupBy("block"))
-        cells = both.applyInArrow(_share_block(first), CELLS)
+        found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_level_block(held), LEVELLED)
     with shuffles_freed(spark):
-        model.share = _fit_shares(cells.groupBy("key").agg(F.sum("n").alias("n")).collect())
-    first.unpersist()
-    held = spark.sparkContext.broadcast(model)
-    if whole is not None:
-        found = docs.select(doc_id, text).mapInArrow(_score_batches(held), SCORED)
-    else:
-        found = both.applyInArrow(_score_block(held), SCORED)
+        levelled = stage(found, "levels")
+    held.unpersist()
+    model = replace(model, filter=None, head=model.head[:0], head_count=model.head_count[:0])  # what the levels leave to do
+    cells = levelled.filter("known").select("words", "pairs").mapInArrow(_share_batches(model), CELLS)
     with shuffles_freed(spark):
-        scored = stage(found, "scored")
-    rare = scored.select("_row", F.explode("tail").alias("word")).join(words.filter(F.col("n") < floor), "word", "left")
+        model = replace(model, share=_fit_shares(cells.groupBy("key").agg(F.sum("n").alias("n")).collect()))
+    scored = levelled.drop("known", "tail").mapInArrow(_score_batches(model), SCORED)
+    rare = levelled.select("_row", F.explode("tail").alias("word")).join(words.filter(F.col("n") < floor), "word", "left")
     scale = F.lit(float(np.log10(model.n + 0.5 * (model.v + 1))))
     rare = rare.groupBy("_row").agg(
         F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5) - scale).alias("_base"), F.count("n").alias("_known")
     )
-    return scored.drop("tail").join(rare, "_row", "left").select(
+    return scored.join(rare, "_row", "left").select(
         "doc_id",
         "n_tokens",
-        (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
         "score",

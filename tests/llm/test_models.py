@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,29 @@ def test_lm_in_parts(awkward, empty, documents):
             assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
+def test_lm_asks_of_a_part_are_probed_together(monkeypatch):
+    """Hundreds of small asks: one look-up a kind, cut where they hold many keys, with the levels of each key alone."""
+    import emberline.llm.lm_scoring as lm
+
+    rng = np.random.default_rng(5)
+    key, n = np.unique(rng.integers(0, 2**48, 3000, np.uint64)), rng.integers(1, 500, 3000).astype(np.uint32)
+    counted = pa.RecordBatch.from_pylist([{"part": 0, "kind": 1, "keys": lm._pack(0, 1, key, n)[2], "counts": n.tobytes()}])
+    segments = pa.table(pa.Table.from_batches(list(lm._segment_batches(4, 1 << 18)([counted]))))
+    cuts = np.split(np.append(key, rng.integers(0, 2**48, 500, np.uint64)), np.sort(rng.integers(0, 3500, 300)))
+    asked = pa.Table.from_pylist(
+        [{"block": i, "row": i, "part": 0, "kind": i % 2, "keys": lm._pack(0, 1, k, k)[2]} for i, k in enumerate(cuts)]
+    )
+    one = Filter(4, 1 << 18, np.frombuffer(segments["segment"][0].as_buffer(), np.uint8).reshape(1, -1))
+    want = [one.levels_at(np.zeros(len(k), np.int64), k, i % 2).tolist() for i, k in enumerate(cuts)]
+    calls, probe = [], Filter.levels_at
+    monkeypatch.setattr(Filter, "levels_at", lambda *a: calls.append(len(a[2])) or probe(*a))
+    for most, rounds in ((1 << 20, 2), (1000, 6)):
+        monkeypatch.setattr(lm, "ASKED_KEYS", most, raising=False)
+        calls.clear()
+        said = lm._look_up(4, 1 << 18)(asked, segments)
+        assert [list(x.as_py()) for x in said["levels"]] == want and len(calls) <= rounds
+
+
 def test_lm_awkward(awkward, empty):
     rows = score(awkward, F.col("doc_id") % 2 == 0).collect()
     assert len(rows) == awkward.count()

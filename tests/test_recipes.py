@@ -85,3 +85,27 @@ def test_menu_lookup_defaults(spark):
     got = {r["menu_profile"]: (r["gas_intensity_per_serving"], r["typical_dishes"], r["avg_cook_time_mins"])
            for r in recipes.menu_lookup(ev).collect()}
     assert got == {"veg_elaborate": (0.0128, 7, 30.0), "unknown": (0.012, 5, 30.0)}
+
+
+def test_menu_lookup_joins_one_table_once(spark):
+    menus = spark.createDataFrame(
+        [("veg_simple", 0.02, 40.0), ("snacks_only", None, 12.5), ("unknown", 9.0, 9.0)],
+        "menu_profile string, gas_intensity_per_serving double, avg_cook_time_mins double",
+    )
+    ev = spark.createDataFrame([(1, "veg_simple"), (2, "snacks_only"), (3, "unknown"), (4, None)], "id int, menu_profile string")
+    once = recipes.menu_lookup(ev, rates=menus, cook_times=menus)
+    twice = recipes.menu_lookup(ev, rates=menus, cook_times=menus.select("*"))
+    assert sorted(once.collect(), key=str) == sorted(twice.collect(), key=str)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for df in (once, twice)]
+    assert plans == [1, 2]
+
+
+def test_draws_are_read_as_whole_numbers(spark):
+    """The draw of the first 32 bits of an md5, which no step reads from text as a double."""
+    from hashlib import md5
+
+    from emberline.functions.expr import hash_uniform
+
+    df = spark.range(200).select("id", hash_uniform("42n", "id").alias("u"))
+    assert all(r.u == int(md5(f"42n:{r.id}".encode()).hexdigest()[:8], 16) / 2**32 for r in df.collect())
+    assert "as bigint) as double)" in df._jdf.queryExecution().optimizedPlan().toString()

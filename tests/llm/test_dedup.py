@@ -1,6 +1,7 @@
 """Exact dedup, near dedup and removal of repeats, against brute force."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from emberline.llm.exact_dedup import exact_dedup, exact_groups
 from emberline.llm.near_dedup import near_dedup, near_groups, superminhash
 from emberline.llm.oracle import SQL
 from emberline.llm.queries import QUERIES
+from emberline.sources.staging import stage
 from emberline.llm.suffix_dedup import SPAN, minimisers, pack_ids, remove_repeats, repeated, runs, suffix_order, unpack_ids
 
 
@@ -222,6 +224,38 @@ def test_repeats_of_the_table(documents):
     assert sorted(tuple(r) for r in remove_repeats(documents).collect()) == brute_removal(rows)
 
 
+def test_repeats_in_passes(spark, documents, monkeypatch):
+    """Runs that take more disk than the texts are exchanged in several passes, each of which gives its disk back."""
+    import emberline.llm.suffix_dedup as S
+
+    assert S._passes(0, 0) == S._passes(10, 10 * S.RUN_BYTES) == 1 and S._passes(11, 10 * S.RUN_BYTES) == 2
+    want = sorted(tuple(r) for r in remove_repeats(documents).collect())
+    staged, disk = [], spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for name in (found.apply(k).getName() for k in range(found.size())) if name.startswith("shuffle_")}
+
+    def keep(df, name):
+        if name == "strings" and not before:
+            before.append(files())
+        staged.append((name, stage(df, name)))
+        return staged[-1][1]
+
+    before = []
+    monkeypatch.setattr(S, "stage", keep)
+    monkeypatch.setattr(S, "_passes", lambda n_runs, n_bytes: 3 if 0 < n_runs < n_bytes else 0)
+    rows = remove_repeats(documents)
+    for _ in range(50):  # files are deleted in the background
+        if not files() - before[0]:
+            break
+        time.sleep(0.2)
+    assert not files() - before[0]
+    parts = [df.count() for name, df in staged if name == "strings"]
+    assert len(parts) == 3 and all(parts)
+    assert sorted(tuple(r) for r in rows.collect()) == want
+
+
 def test_repeats_awkward(awkward, empty):
     rows = remove_repeats(awkward).collect()
     assert len(rows) == awkward.count()
